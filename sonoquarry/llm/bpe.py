@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Batch
+from .pretokens import Batch, slices
 
 #: Folder of the public vocabularies; a parameter everywhere.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path)
-        for rows in batches:
+        for rows in (part for b in batches for part in slices(b, 1)):
             batch, at, ids = bpe.encode_batch(rows.column(1))
             offsets = at[batch.doc_first]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -105,3 +106,13 @@ class Batch:
         offsets = self.bytes_at[self.starts]
         arr = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(self.data))])
         return arr.dictionary_encode()
+
+
+def slices(rows: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """Parts of a batch with at most ``limit`` bytes of text each (one row at least), so that a worker's memory stays bounded."""
+    sizes = pa.compute.binary_length(rows.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    at, end = 0, np.cumsum(sizes, dtype=np.int64)
+    while at < len(end):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, "right")))
+        yield rows.slice(at, stop - at)
+        at = stop

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, splitting, topn
+from . import bpe, leaks, splitting, topn
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,6 +27,10 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode(p6_ids(spark, sf))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(_docs(spark, sf), table(spark, sf, "eval_items").select("item_id", "text"))
+
+
 def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(_docs(spark, sf), limit=512, overlap=64)
 
@@ -39,6 +43,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
+    "p7_found": p7_found,
     "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 

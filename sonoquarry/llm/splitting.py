@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _path, held
-from .pretokens import SPACE, Batch, classes
+from .pretokens import SPACE, Batch, classes, slices
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, PIECE, TOKEN = 6, 5, 4, 3, 2, 1, 0
 NAMES = ("token", "piece", "word", "clause", "sentence", "line", "paragraph", "text")
@@ -161,7 +161,7 @@ def split(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path)
-        for rows in batches:
+        for rows in (part for b in batches for part in slices(b, 1)):
             batch, at, ids = bpe.encode_batch(rows.column(1))
             strength = strengths(batch)
             keys = rows.column(0).to_pylist()
