@@ -101,7 +101,7 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2,
 
 def _sum_vectors(parts: DataFrame) -> list[tuple[int, np.ndarray]]:
     """Sum of the vectors of each word; bounded by words x width."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         total = np.sum(np.stack([np.array(x, np.float64) for x in table.column("v").to_pylist()]), axis=0)
         return pa.table({"word": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
