@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, leaks, splitting, topn
+from . import bpe, leaks, neighbours, splitting, topn
+
+
+#: The vectors that take part: rows of this version only.
+VERSION = "sr24000-c30x3s30-L6"
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked neighbours of every theme."""
+    rows = table(spark, sf, "theme_vectors").filter(F.col("embed_version") == VERSION)
+    found = neighbours.nearest(spread(rows.select("theme_id", "embedding", "ingest_pos")), "theme_id", "embedding", "ingest_pos", k=5, least=0.90)
+    return found.select(F.col("id").alias("theme_id"), F.col("other").alias("neighbour_id"), "cosine", "rank_no")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = p2_neighbours(spark, sf).select(F.col("theme_id").alias("id"), F.col("neighbour_id").alias("other"))
+    return neighbours.neighbour_pairs(found).toDF("theme_id_a", "theme_id_b")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,13 +57,24 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
     "p8_found": p8_found, "p8_pieces": p8_pieces,
 }
 
+_P2 = f"""
+with good as (select theme_id, ingest_pos, embedding::double[] as v from theme_vectors where embed_version = '{VERSION}' and theme_id is not null and len(embedding) = 64
+  and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+one as (select theme_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as u from good qualify row_number() over (partition by theme_id order by ingest_pos) = 1),
+near as (select a.theme_id as id, b.theme_id as other, list_inner_product(a.u, b.u) as c from one a join one b on a.theme_id <> b.theme_id),
+best as (select id, other, round(c, 6) as cosine, row_number() over (partition by id order by round(c, 6) desc, other) as rank_no from near where c >= 0.9)
+"""
+
 SQL = {
+    "p2_found": _P2 + "select distinct least(id, other) as theme_id_a, greatest(id, other) as theme_id_b from best where rank_no <= 5",
+    "p2_neighbours": _P2 + "select id as theme_id, other as neighbour_id, cosine, rank_no::int as rank_no from best where rank_no <= 5",
     "p4_found": """
 with r as (select *, row_number() over () as n from candidate_scores where final is not null and not isnan(final) and theme_id <> seed_theme_id),
 a as (select * from r qualify audio_id is null or row_number() over (partition by seed_theme_id, audio_id order by final desc, theme_id, n) = 1),
