@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, leaks, neighbours, splitting, topn
+from . import bpe, leaks, names, neighbours, splitting, topn
 
 
 #: The vectors that take part: rows of this version only.
@@ -25,6 +25,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.neighbour_pairs(found).toDF("theme_id_a", "theme_id_b")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    credits = table(spark, sf, "animethemes").select("ingest_pos", "artist_names")
+    return names.link_credits(credits, table(spark, sf, "mb_artists"), table(spark, sf, "name_nicknames"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "candidate_scores")
     return topn.top_n(rows, "seed_theme_id", "theme_id", "final", unique="audio_id", cap="mal_id", n=10, per_cap=5)
@@ -58,6 +63,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
