@@ -139,3 +139,49 @@ def flat_table(payloads: DataFrame, level: str, record: str = "record_id", paylo
         "record_id", "anime_pos", "theme_pos", "entry_pos", "video_pos", object_id(F.col("node.id")).alias("audio_id"),
         n("link"), n("basename"), n("size", "bigint"), n("path"),
     )
+
+
+def typed_anime(payloads: DataFrame, record: str = "record_id", payload: str = "payload") -> DataFrame:
+    """``record_id, anime_pos, slug, resources, animethemes``: one row per anime object with its lists in declared types, whatever encoding they came in.
+
+    Elements that are no objects become null and keep their place.
+    """
+    def text(v, name):
+        return F.try_variant_get(v, f"$.{name}", "string").alias(name)
+
+    def number(v, name, kind="bigint"):
+        return F.try_variant_get(v, f"$.{name}", kind).alias(name)
+
+    def part(v, name):
+        return F.try_variant_get(v, f"$.{name}", "variant")
+
+    def is_object(v):
+        return _get(v, "struct<id:variant>").isNotNull()
+
+    def audio(v):
+        return F.when(is_object(v), F.struct(number(v, "id"), text(v, "link"), text(v, "basename"), number(v, "size"), text(v, "path")))
+
+    def video(v):
+        return F.when(is_object(v), F.struct(number(v, "nc", "boolean"), number(v, "resolution", "int"), audio(part(v, "audio")).alias("audio")))
+
+    def entry(v):
+        return F.when(is_object(v), F.struct(F.transform(as_list(part(v, "videos")), video).alias("videos")))
+
+    def song(v):
+        artists = F.transform(as_list(part(v, "artists")), lambda a: F.struct(number(a, "id"), text(a, "name")))
+        return F.when(is_object(v), F.struct(number(v, "id"), text(v, "title"), artists.alias("artists")))
+
+    def theme(v):
+        entries = F.transform(as_list(part(v, "animethemeentries")), entry).alias("animethemeentries")
+        return F.when(is_object(v), F.struct(number(v, "id"), text(v, "type"), number(v, "sequence", "int"), text(v, "slug"), song(part(v, "song")).alias("song"), entries))
+
+    def resource(v):
+        return F.struct(text(v, "site"), number(v, "external_id"))
+
+    p = payloads.select(F.col(record).alias("record_id"), parse_whole(F.col(payload)).alias("doc"))
+    p = p.withColumn("many", part(F.col("doc"), "anime")).filter(is_object(F.col("doc")))
+    p = p.select("record_id", F.posexplode(F.when(F.col("many").isNotNull(), as_list(F.col("many"))).otherwise(F.array("doc"))).alias("anime_pos", "a")).filter(is_object(F.col("a")))
+    a = F.col("a")
+    return p.select(
+        "record_id", "anime_pos", text(a, "slug"), F.transform(as_list(part(a, "resources")), resource).alias("resources"), F.transform(as_list(part(a, "animethemes")), theme).alias("animethemes"),
+    )
