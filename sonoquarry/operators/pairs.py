@@ -116,7 +116,7 @@ def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame,
     both = [*COLUMNS, *carry]
     columns = column_blocks(rows)
     n_asking = asking.count()
-    lines = max(1, math.ceil(n_asking / SEEDS), min(n_asking, -(-spark.sparkContext.defaultParallelism // columns)))
+    lines = max(1, math.ceil(n_asking / SEEDS), min(n_asking, -(-2 * spark.sparkContext.defaultParallelism // columns)))
     kinds = dict(asking.dtypes)
     extra = [] if seeds is None else [c for c in asking.columns if c not in both]
     c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), F.pmod(F.xxhash64("audio_id"), F.lit(columns)).alias("_own"))
@@ -125,10 +125,14 @@ def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame,
     s = s.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda x: F.col("_own") * columns + x)))
     cells = c.unionByName(s).drop("_own")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        return each(f[f["asks"]], f[~f["asks"]])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)  # one cell, of bounded size
+        if parts:
+            f = pd.concat(parts, ignore_index=True)
+            yield each(f[f["asks"]], f[~f["asks"]])
 
-    return cells.groupBy("cell").applyInPandas(run, schema)
+    # a partition for each cell: hashing would put several heavy cells into one
+    return cells.repartitionById(lines * columns, F.col("cell").cast("int")).drop("cell").mapInPandas(run, schema)
 
 
 def column_blocks(rows: DataFrame) -> int:

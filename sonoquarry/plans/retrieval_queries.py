@@ -310,12 +310,12 @@ def bootstrap_ci_large(spark, sf):
 
 
 def random_recall(spark, sf):
-    s = evaluate.family_scores(seeds(spark, sf), "artist").withColumn("k", F.explode(F.array(*map(F.lit, evaluate.ARTIST_KS))))
-    return s.select("seed", "k", F.round(scores.random_recall(F.col("pool"), F.col("n_rel"), F.col("k")), 6).alias("baseline"))
+    s = evaluate.with_random(evaluate.family_scores(seeds(spark, sf), "artist"), evaluate.ARTIST_KS)
+    return s.select("seed", F.explode("random_recall").alias("k", "baseline")).select("seed", "k", _six("baseline"))
 
 
 def random_mrr(spark, sf):
-    return evaluate.family_scores(seeds(spark, sf), "artist").select("seed", F.round(scores.random_mrr(F.col("pool"), F.col("n_rel")), 6).alias("baseline"))
+    return evaluate.with_random(evaluate.family_scores(seeds(spark, sf), "artist"), ()).select("seed", F.round("random_mrr", 6).alias("baseline"))
 
 
 def _ranks(spark, sf, mode):

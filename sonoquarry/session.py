@@ -52,3 +52,23 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Spread rows over the cluster's cores before heavy per-row work on an input of few files."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     return df.repartition(n, *cols) if df.rdd.getNumPartitions() < n else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_sonoquarry_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="sonoquarry-"), "sonoquarry.zip")  # served by the driver
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("sonoquarry", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._sonoquarry_shipped = True
