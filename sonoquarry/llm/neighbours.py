@@ -36,9 +36,9 @@ from ..session import cut
 
 DIRECTIONS = 16
 #: Rows of the sample that fits the tree; mean vectors in a leaf; rows of a block of points and of queries.
-SAMPLE, LEAF, POINTS, ASKING = 16384, 4096, 8192, 32768
+SAMPLE, LEAF, POINTS, ASKING = 16384, 16384, 32768, 32768
 #: Probability below which a leaf is no longer visited, and of a neighbour's projection beyond the bound.
-LEAF_RISK, POINT_RISK = 0.002, 0.01
+LEAF_RISK, POINT_RISK = 0.03, 0.01
 
 
 def chi2_survival(x: float, dof: int) -> float:
