@@ -54,6 +54,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols) if df.rdd.getNumPartitions() < n else df
 
 
+def fan_out(df: DataFrame, *cols: str) -> DataFrame:
+    """Spread few but costly rows evenly over all cores; sized by rows' work, not bytes, so adaptive coalescing must not join the tasks."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     import os
