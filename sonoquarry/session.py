@@ -51,14 +51,15 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Spread rows over the cluster's cores before heavy per-row work on an input of few files."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    return df.repartition(n, *cols) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def fan_out(df: DataFrame, *cols: str) -> DataFrame:
-    """Spread few but costly rows evenly over all cores; sized by rows' work, not bytes, so adaptive coalescing must not join the tasks."""
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread few but costly rows evenly over all cores; tasks are sized by their work, not bytes, so adaptive coalescing must not
+    join them (a repartition by the columns that the input is already hashed by would be optimised away)."""
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *cols)
+    return df.repartition(n)
 
 
 def ship(spark: SparkSession) -> None:
