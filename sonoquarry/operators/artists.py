@@ -64,9 +64,15 @@ def coverage(themes: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def list_sizes(lists: DataFrame) -> DataFrame:
-    """``n, upper_median, largest`` of the neighbour lists (the element at n // 2 of the sorted sizes)."""
-    sizes = lists.groupBy("mbid").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy().orderBy("n")
-    counted = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).withColumn("_up", F.sum("c").over(w))
-    total = sizes.agg(F.count(F.lit(1)).alias("total"), F.max("n").alias("largest"))
-    return counted.crossJoin(total).filter("_up > total div 2").groupBy("total", "largest").agg(F.min("n").alias("upper_median")).select(F.col("total").alias("n"), "upper_median", "largest")
+    """``n, upper_median, largest`` of the neighbour lists (the element at n // 2 of the sorted sizes; nulls for no list).
+
+    The sizes are counted first; only the few different ones come together in one row.
+    """
+    sizes = lists.groupBy("mbid").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("c"))
+    one = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max("size").alias("largest"), F.array_sort(F.collect_list(F.struct("size", "c"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("up"), F.lit(None).cast("long").alias("found"))
+    def step(s, x):
+        up = s["up"] + x["c"]
+        return F.struct(up.alias("up"), F.coalesce(s["found"], F.when(up > F.floor(F.col("n") / 2), x["size"])).alias("found"))
+
+    return one.select("n", F.aggregate("all", start, step)["found"].alias("upper_median"), "largest")

@@ -123,7 +123,14 @@ def test_lookup_reports_what_is_missing(spark):
     def fetch():
         return lambda k: {"id": k} if k != 2 else None
     keys = spark.createDataFrame([(1,), (2,), (2,), (None,)], "mal_id long")
-    assert rows(rest.lookup(keys, "mal_id", fetch)) == [(1, '{"id": 1}'), (2, None)]
+    got = rest.lookup(keys, "mal_id", fetch)
+    assert rows(got) == [(1, '{"id": 1}'), (2, None)] and rows(rest.not_found(got, "mal_id")) == [(2,)]
+
+
+def test_first_match_by_site(caplog):
+    held = {"5": [{"slug": "a"}, {"slug": "b"}], "6": []}
+    get = rest.by_site_id(lambda url, p: {"anime": held.get(p["filter[external_id]"])}, catalogue.SITE)
+    assert get(5)["slug"] == "a" and "2 matches" in caplog.text and get(6) is None and get(7) is None
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
