@@ -5,8 +5,9 @@ positions, ``flatten`` joins the levels' arrays, and one ``inline`` per target t
 There is no shuffle: every record is projected where it is read.
 
 Defined results
-- null, blank, truncated or otherwise invalid JSON, JSON with trailing text, or an object that
-  repeats a key: no rows. So for a payload that is a list or scalar.
+- null, blank, truncated or otherwise invalid JSON, or JSON with trailing text: no rows. So for a
+  payload that is a list or scalar. Of a key that an object repeats, the last value counts (the
+  session setting for this is switched on).
 - a list may come as a list, as one object in its place (position 0) or as a string that holds
   either as JSON; anything else counts as an empty list.
 - null and non-object elements keep their position and give no row.
@@ -43,6 +44,11 @@ def parse_whole(text: Column) -> Column:
     return F.when(F.size(held) == 1, F.element_at(held, 1))
 
 
+def _repeated_keys(df: DataFrame) -> None:
+    """A repeated key is valid JSON; by default the parser refuses it."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def as_list(v: Column) -> Column:
     """``array<variant>`` of a list in any encoding (see the module's text)."""
     def plain(x: Column) -> Column:
@@ -68,6 +74,7 @@ def _objects(holder: Column, list_of, kind: str, keys: tuple[str, ...], own: str
 
 def project(payloads: DataFrame, record: str = "record_id", payload: str = "payload") -> DataFrame:
     """One row per record with an array of keyed objects for each level (``themes`` .. ``audios``)."""
+    _repeated_keys(payloads)
     root = payloads.select(F.col(record).alias("record_id"), parse_whole(F.col(payload)).alias("doc"))
     top = root.select("record_id", _get(F.col("doc"), "struct<anime:variant,animethemes:variant>").alias("top"), "doc")
     one = F.array(F.struct(F.lit(0).alias("anime_pos"), _get(F.col("doc"), _ANIME).alias("node")))
@@ -85,8 +92,8 @@ def project(payloads: DataFrame, record: str = "record_id", payload: str = "payl
 
 
 def object_id(v: Column) -> Column:
-    """Numeric id of an object (a number, or a text of digits), -1 if it has none."""
-    return F.coalesce(F.try_variant_get(v, "$", "bigint"), F.lit(-1).cast("bigint"))
+    """Numeric id of an object (a number, or a text of digits; no truth value), -1 if it has none."""
+    return F.coalesce(F.when(F.schema_of_variant(v) != "BOOLEAN", F.try_variant_get(v, "$", "bigint")), F.lit(-1).cast("bigint"))
 
 
 def level_rows(payloads: DataFrame, record: str = "record_id", payload: str = "payload") -> DataFrame:
@@ -178,6 +185,7 @@ def typed_anime(payloads: DataFrame, record: str = "record_id", payload: str = "
     def resource(v):
         return F.struct(text(v, "site"), number(v, "external_id"))
 
+    _repeated_keys(payloads)
     p = payloads.select(F.col(record).alias("record_id"), parse_whole(F.col(payload)).alias("doc"))
     p = p.withColumn("many", part(F.col("doc"), "anime")).filter(is_object(F.col("doc")))
     p = p.select("record_id", F.posexplode(F.when(F.col("many").isNotNull(), as_list(F.col("many"))).otherwise(F.array("doc"))).alias("anime_pos", "a")).filter(is_object(F.col("a")))

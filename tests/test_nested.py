@@ -38,6 +38,11 @@ def test_unusable_payloads_have_no_rows(spark, bad):
     assert found(spark, bad) == []
 
 
+def test_odd_ids_and_repeated_keys(spark):
+    p = '{"animethemes":[{"id":true},{"id":" 5 "},{"id":"1e3"},{"id":null},{"id":[1]},{"id":1,"id":2}]}'
+    assert [r[6] for r in sorted(found(spark, p), key=lambda r: r[3])] == [-1, 5, -1, -1, -1, 2]
+
+
 def test_repeated_records_count_and_empty_input(spark):
     p = json.dumps({"animethemes": [{"id": 1}]})
     assert len(found(spark, p, p)) == 2
