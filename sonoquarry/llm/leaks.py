@@ -13,8 +13,8 @@
 
 A leak always contains a part of at most 31 item words with at most three edits (cut it into spans of
 16 and one last longer one: were every span over its share, so would be the whole), so the check
-looks at those only. Items are taken in blocks of ``block`` so that what is sent to every executor has
-a fixed bound; each block is a pass over the word ids. Nothing grows with the corpus outside Spark.
+looks at those only. Items are taken in blocks of about ``block`` items and ``block_chars`` characters so that what is
+sent to every executor has a bound; each block is a pass over the word ids. Nothing grows with the corpus outside Spark.
 
 Defined results: null, empty and short texts and items leak nothing. Repeated documents each count, as do items
 with the same text. Rows without an id are left out. Empty inputs give an empty result.
@@ -251,13 +251,14 @@ def _frequencies(coded: DataFrame, words: int) -> np.ndarray:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    *, least: int = 16, rank: int = RANK, cosine: float = COSINE, block: int = 2000,
+    *, least: int = 16, rank: int = RANK, cosine: float = COSINE, block: int = 2000, block_chars: int = 4_000_000,
 ) -> DataFrame:
     """``doc_id, item_id`` of every document that holds a passage of an item (see the module's text)."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).filter("doc_id is not null")
     held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null")
-    blocks = max(1, -(-held.count() // block))
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // block), -(-size.chars // block_chars))
     found = None
     for b in range(blocks):
         own = held.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else held
