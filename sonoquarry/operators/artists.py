@@ -57,6 +57,12 @@ def similar_payload(payload: DataFrame, column: str = "payload") -> DataFrame:
     return payload.select("*", F.transform(F.filter(rows, lambda r: r["artist_mbid"].isNotNull()), lambda r: F.struct(r["artist_mbid"].alias("mbid"), r["name"].alias("name"), r["score"].alias("score"))).alias("similar"))
 
 
+def in_corpus(near: DataFrame, themes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Neighbour rows (``mbid, near``) whose neighbour is credited in the corpus under a resolved name (``name, mbid``)."""
+    named = themes.select(F.explode("artist_names").alias("name")).distinct().join(resolved.dropna().distinct(), "name")
+    return near.join(named.select(F.col("mbid").alias("near")).distinct(), "near", "left_semi").select("mbid", "near")
+
+
 def coverage(themes: DataFrame, resolved: DataFrame) -> DataFrame:
     """``n_themes, share``: themes with at least one resolved artist."""
     hit = themes.select("theme_id", F.explode("artist_names").alias("name")).join(resolved.select("name").distinct(), "name", "left_semi").select("theme_id").distinct().withColumn("_h", F.lit(1.0))

@@ -119,3 +119,22 @@ def console(presented: DataFrame) -> DataFrame:
         F.col("l1_cos"), F.col("l2_weight"), F.col("final"),
     )
     return presented.select("seed", "rank", line.alias("line"))
+
+
+def smoke(catalogue: DataFrame, cfg: Config | None = None, k: int = 20) -> dict[str, bool]:
+    """Whether vectors are similar to themselves, and whether comfort shows a sibling among its first ``k``, no lower than purist does.
+
+    The seed is the smallest theme_id that has a sibling with another recording; without one the sibling checks pass.
+    """
+    length = vectors.dot(F.col("u"), F.col("u"))
+    whole = catalogue.agg(F.min(length)).first()[0]
+    group = catalogue.groupBy("mal_id").agg(F.countDistinct("audio_id").alias("n"), F.min("theme_id").alias("theme_id")).filter("n > 1")
+    seed = group.orderBy("theme_id").select("theme_id").first()
+    out = {"self_similar": whole is not None and whole >= 0.999, "sibling_in_comfort": True, "comfort_not_below_purist": True}
+    if seed:
+        asking = catalogue.filter(F.col("theme_id") == seed.theme_id)
+        siblings = catalogue.join(asking.select("mal_id"), "mal_id", "left_semi").select("theme_id")
+        rank = {m: recommend(catalogue, cfg, mode=m, k=k, seeds=asking).join(siblings, "theme_id", "left_semi").agg(F.min("rank")).first()[0] for m in ("purist", "comfort")}
+        out["sibling_in_comfort"] = rank["comfort"] is not None
+        out["comfort_not_below_purist"] = rank["purist"] is None or rank["comfort"] is not None and rank["comfort"] <= rank["purist"]
+    return out

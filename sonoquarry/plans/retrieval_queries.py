@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import scores, vectors
-from ..operators import artists, audio, catalogue, evaluate, nested, recommend, whitening
+from ..operators import artists, audio, catalogue, evaluate, nested, recommend, variants, whitening
 from ..session import cut, spread, table
 from .core_queries import _P1, _listed
 
@@ -278,6 +278,35 @@ def artist_coverage(spark, sf):
     return artists.coverage(table(spark, sf, "animethemes").filter("theme_id is not null"), _resolved(spark, sf)).select("n_themes", _six("share"))
 
 
+def neighbours_in_corpus(spark, sf):
+    return artists.in_corpus(top3_neighbours(spark, sf), table(spark, sf, "animethemes"), _resolved(spark, sf))
+
+
+# --- variants --------------------------------------------------------------------------------------------
+
+
+def _layers(spark, sf):
+    """Two variants of every vector: its halves."""
+    e = embeddings(spark, sf).select("theme_id", F.array(F.slice("embedding", 1, DIMS // 2), F.slice("embedding", DIMS // 2 + 1, DIMS // 2)).alias("layers"))
+    return variants.explode_layers(spread(e))
+
+
+def variant_layers(spark, sf):
+    v = _layers(spark, sf).withColumn("n", vectors.norm(F.transform("embedding", lambda x: x.cast("double"))))
+    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n_themes"), F.round(F.avg("n"), 6).alias("mean_norm"))
+
+
+def variant_complete(spark, sf):
+    """Themes that have a vector of every version."""
+    rows = table(spark, sf, "theme_vectors").filter("theme_id is not null and embed_version is not null").select("theme_id", F.col("embed_version").alias("variant"))
+    return variants.complete_ids(rows)
+
+
+def variant_dataset(spark, sf):
+    d = variants.replace_vectors(dataset(spark, sf).select("theme_id", "mal_id", "embedding", "embed_model", "embed_version"), _layers(spark, sf), CFG.embed_model, CFG.embed_version)
+    return d.select("theme_id", "mal_id", "variant", "embed_model", "embed_version", F.size("embedding").alias("dims"))
+
+
 # --- evaluation ------------------------------------------------------------------------------------------
 
 
@@ -346,6 +375,7 @@ QUERIES = {
     "staleness_offenders": staleness_offenders, "incremental_todo": incremental_todo, "dup_basenames": dup_basenames, "shard_union": shard_union,
     "hash_split": hash_split, "split_chunks": split_chunks, "pool_mean": pool_mean, "feature_lengths": feature_lengths,
     "artist_frequency": artist_frequency, "normalize_name": normalize_name, "artist_resolve": artist_resolve, "top3_neighbours": top3_neighbours, "neighbour_sizes": neighbour_sizes, "artist_coverage": artist_coverage,
+    "neighbours_in_corpus": neighbours_in_corpus, "variant_layers": variant_layers, "variant_complete": variant_complete, "variant_dataset": variant_dataset,
     "eval_seed_table": eval_seed_table, "artist_first_hit": _first_hit("artist"), "related_first_hit": _first_hit("behavioural"), "recall_at_k": _values("recall", ("name", "value", "n_seeds")),
     "mrr": _values("mrr", ("name", "value", "n_seeds")), "random_recall": random_recall, "random_mrr": random_mrr, "controls": _values("^(genre|era)", ("name", "value", "baseline", "n_seeds")), "lift_table": _values("."),
     "bootstrap_ci": bootstrap_ci, "bootstrap_ci_large": bootstrap_ci_large, "paired_delta": paired_delta, "variant_sweep": variant_sweep,
@@ -479,6 +509,11 @@ select n.query, c.mbid, c.mb_name from n left join c using (query) where n.k <>
     "neighbour_sizes": f"with {_SIM}, z as (select mbid, count(*) as c from nb group by 1), o as (select c, row_number() over (order by c) - 1 as i, count(*) over () as n from z) select any_value(n) as n, max(c) filter (i = n // 2) as upper_median, max(c) as largest from o",
     "artist_coverage": """with t as (select distinct theme_id from animethemes where theme_id is not null), h as (select distinct theme_id from (select theme_id, unnest(artist_names) as name from animethemes) where name in (select query from mb_artists where mbid is not null))
 select count(*) as n_themes, round(avg((theme_id in (select theme_id from h where theme_id is not null))::int), 6) as share from t""",
+    "neighbours_in_corpus": f"""with {_SIM} select mbid, near from nb where near in (select m.mbid from mb_artists m join (select distinct unnest(artist_names) as name from animethemes) a on a.name = m.query where m.mbid is not null)""",
+    "variant_layers": f"""with {_VE}, l as (select 'layer00' as variant, v[1:{DIMS // 2}] as e from ve union all select 'layer01', v[{DIMS // 2 + 1}:{DIMS}] from ve)
+select variant, count(*) as n_themes, round(avg(sqrt(list_inner_product(e, e))), 6) as mean_norm from l group by 1""",
+    "variant_complete": "select theme_id from theme_vectors where theme_id is not null and embed_version is not null group by 1 having count(distinct embed_version) = (select count(distinct embed_version) from theme_vectors where theme_id is not null)",
+    "variant_dataset": _DS + f" select theme_id, mal_id, variant, '{CFG.embed_model}' as embed_model, embed_version || '-' || variant as embed_version, {DIMS // 2} as dims from ds, (select unnest(['layer00', 'layer01']) as variant)",
     "eval_seed_table": _eval() + " select seed, pool, n_artist, n_behavioural, " + ", ".join(f"round({x}_{y} + {_NUDGE}::double, 6) as {x}_{y}" for x in ("share", "jaccard", "near") for y in ("at", "pool")) + " from s",
     "artist_first_hit": _eval() + " select seed, rank, pool, n_rel from fam where fam = 'artist'",
     "related_first_hit": _eval() + " select seed, rank, pool, n_rel from fam where fam = 'related'",

@@ -26,6 +26,11 @@ def read_embeddings(spark: SparkSession, folder: str, legacy: str | None = None)
     return out.unionByName(read_table(spark, legacy, schemas.EMBEDDINGS), allowMissingColumns=True) if legacy and _exists(spark, legacy) else out
 
 
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first path that is there: a local file before the pinned copy."""
+    return next((p for p in paths if _exists(spark, p)), None)
+
+
 def append(rows: DataFrame, path: str) -> int:
     """Append rows as new shards; no rows write no file. Returns their number."""
     rows = rows.persist()

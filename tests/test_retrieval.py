@@ -72,6 +72,24 @@ def test_comfort_lifts_siblings(spark):
     assert ids(c, mode="comfort").index(6) < ids(c, mode="purist").index(6)
 
 
+def test_smoke(spark):
+    c = recommend.prepare(corpus(spark, line(6, 0.05), mal=[1, 2, 3, 4, 5, 1], artists=[[5], [], [], [], [], [5]]))
+    assert set(recommend.smoke(c, CFG).values()) == {True}
+
+
+def test_variants(spark):
+    from sonoquarry.errors import DataError
+    from sonoquarry.operators import variants
+
+    layers = variants.explode_layers(spark.createDataFrame([(1, [[1.0], [2.0]]), (2, [[3.0], None])], "theme_id long, layers array<array<float>>"))
+    assert rows(layers) == [(1, "layer00", [1.0]), (1, "layer01", [2.0]), (2, "layer00", [3.0])]
+    assert rows(variants.complete_ids(layers)) == [(1,)]
+    got = variants.replace_vectors(corpus(spark, line(2, 0.1)), layers, "m", "v")
+    assert rows(got, "theme_id", "variant", "embedding", "embed_version") == [(1, "layer00", [1.0], "v-layer00"), (1, "layer01", [2.0], "v-layer01")]
+    with pytest.raises(DataError):
+        variants.complete_ids(layers.limit(0))
+
+
 def test_unknown_mode_and_guards(spark):
     c = corpus(spark, line(3, 0.1))
     with pytest.raises(ValueError):
