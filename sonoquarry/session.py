@@ -1,11 +1,10 @@
-"""Session helpers: table access, shared checkpoint folder, size checks."""
+"""Session helpers: table access, shared checkpoint folder, spreading of work."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,16 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only while the optimizer's estimate stays under ``limit_bytes``; else leave the join to Catalyst."""
-    return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
-
-
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Spread rows over the cluster's cores before heavy per-row work on an input of few files."""
     n = max(df.sparkSession.sparkContext.defaultParallelism, 1)
@@ -63,7 +52,8 @@ def fan_out(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, by way of the shared folder if the cluster names one."""
+    import io
     import os
     import zipfile
 
@@ -71,12 +61,17 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_sonoquarry_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="sonoquarry-"), "sonoquarry.zip")  # served by the driver
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
                     path = os.path.join(folder, n)
                     z.write(path, os.path.join("sonoquarry", os.path.relpath(path, root)))
+    target = f"{checkpoint_dir(spark).rstrip('/')}/{sc.applicationId}/sonoquarry.zip"
+    place = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     sc.addPyFile(target)
     sc._sonoquarry_shipped = True
