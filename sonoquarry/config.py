@@ -18,7 +18,7 @@ class Config:
     embed_layer: int = 6
     embed_flush_every: int = 50
     page_size: int = 100
-    jikan_rate: float = 3.0
+    metadata_rate: float = 3.0
     download_workers: int = 8
     http_timeout: float = 60.0
     recommend_mode: str = "discovery"

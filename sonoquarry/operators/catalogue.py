@@ -24,7 +24,7 @@ def best_audio(entries: Column) -> Column:
     return F.array_max(ranked)
 
 
-def flatten_anime(anime: DataFrame, keys: tuple[str, ...] = ("ingest_pos",)) -> DataFrame:
+def theme_rows(anime: DataFrame, keys: tuple[str, ...] = ("ingest_pos",)) -> DataFrame:
     """Theme rows of catalogue objects (columns ``keys, slug, resources, animethemes``), with ``theme_pos``.
 
     Objects without a site id and themes without id or audio are dropped; within one object the first theme per recording stays.
@@ -57,7 +57,7 @@ def ref_ids(refs: Column) -> Column:
     return F.filter(F.transform(F.coalesce(refs, F.array().cast("array<struct<mal_id:bigint,name:string>>")), lambda x: x["mal_id"]), lambda i: i.isNotNull())
 
 
-def flatten_metadata(docs: DataFrame) -> DataFrame:
+def metadata_rows(docs: DataFrame) -> DataFrame:
     """Metadata rows of documents read with ``schemas.MAL_DOC``; documents without an id (``{}``: not found) are dropped."""
     plain = ["mal_id", "title", "title_english", "title_japanese", "type", "episodes", "status"]
     rest = ["season", "year", "score", "scored_by", "rank", "popularity", "members", "favorites", "source", "rating", "synopsis"]

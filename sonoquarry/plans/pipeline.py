@@ -46,7 +46,7 @@ def fetch_themes(spark: SparkSession, paths: Paths, services: Services, limit_pa
     raw = spark.read.format("paged_catalogue").options(**options).load()
     element = schemas.PAGE.split("anime array<", 1)[1].rsplit(">, links", 1)[0]
     anime = raw.select("ingest_pos", F.from_json("payload", element).alias("a")).select("ingest_pos", "a.*")
-    return catalogue.keep_first(catalogue.flatten_anime(anime), "theme_id", "ingest_pos", "theme_pos").drop("ingest_pos", "theme_pos")
+    return catalogue.keep_first(catalogue.theme_rows(anime), "theme_id", "ingest_pos", "theme_pos").drop("ingest_pos", "theme_pos")
 
 
 def run_stage(spark: SparkSession, stage: str, paths: Paths, cfg: Config | None = None, services: Services | None = None, *, top_n: int | None = None, limit_pages: int | None = None, force: bool = False) -> int:
@@ -64,7 +64,7 @@ def run_stage(spark: SparkSession, stage: str, paths: Paths, cfg: Config | None
         store.overwrite(rows, paths.themes)
         return spark.read.parquet(paths.themes).count()
     if stage == "mal":
-        store.overwrite(catalogue.flatten_metadata(files.read_cache(spark, paths.cache)), paths.mal)
+        store.overwrite(catalogue.metadata_rows(files.read_cache(spark, paths.cache)), paths.mal)
         return spark.read.parquet(paths.mal).count()
     themes = store.read_table(spark, paths.themes, schemas.THEMES)
     if stage == "audio":

@@ -137,7 +137,7 @@ def recommend_whitened(spark, sf):
 
 def flatten_nested(spark, sf):
     anime = nested.typed_anime(spread(table(spark, sf, "anime_payloads").select("record_id", "payload")))
-    rows = catalogue.flatten_anime(anime, ("record_id", "anime_pos"))
+    rows = catalogue.theme_rows(anime, ("record_id", "anime_pos"))
     return catalogue.keep_first(rows, "theme_id", "record_id", "anime_pos", "theme_pos").drop("theme_pos")
 
 

@@ -82,7 +82,7 @@ def test_metadata_documents(spark, tmp_path):
         with open(path, "w") as f:
             f.write(text)
     cached = files.read_cache(spark, str(tmp_path))
-    out = catalogue.flatten_metadata(cached)
+    out = catalogue.metadata_rows(cached)
     assert rows(out, "mal_id", "aired_from", "aired_to", "genres", "genre_ids", "studios") == [(1500, "2020", None, ["Action"], [1, 2], [])]
     keys = spark.createDataFrame([(1500,), (8,), (8,), (None,)], "mal_id long")
     assert rows(files.missing(keys, cached)) == [(8,)]

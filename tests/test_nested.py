@@ -70,7 +70,7 @@ def video(nc, resolution, audio):
 
 def themes_of(spark, *anime):
     df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(anime)], "record_id long, payload string")
-    return catalogue.flatten_anime(nested.typed_anime(df), ("record_id", "anime_pos"))
+    return catalogue.theme_rows(nested.typed_anime(df), ("record_id", "anime_pos"))
 
 
 def test_best_audio_and_site_id(spark):
