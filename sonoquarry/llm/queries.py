@@ -61,13 +61,18 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(_docs(spark, sf), limit=512, overlap=64, with_text=False).filter("piece_no = 1").select("doc_id")
 
 
+def p8_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts put together again from their pieces' new parts."""
+    return splitting.rebuild(splitting.split(_docs(spark, sf), limit=512, overlap=64, with_text=False, with_new=True))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
-    "p8_found": p8_found, "p8_pieces": p8_pieces,
+    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_rebuilt": p8_rebuilt,
 }
 
 _P2 = f"""
@@ -87,5 +92,6 @@ a as (select * from r qualify audio_id is null or row_number() over (partition b
 c as (select * from a qualify mal_id is null or row_number() over (partition by seed_theme_id, mal_id order by final desc, theme_id, audio_id nulls last, n) <= 5),
 k as (select *, row_number() over (partition by seed_theme_id order by final desc, theme_id, audio_id nulls last, n) as rank_no from c)
 select seed_theme_id, rank_no::int as rank_no, theme_id from k where rank_no <= 10 and seed_theme_id is not null""",
+    "p8_rebuilt": "select doc_id, text from documents where text <> ''",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -148,16 +148,17 @@ def cuts(at: np.ndarray, strength: np.ndarray, limit: int, overlap: int) -> tupl
 
 
 def split(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, limit: int = 512, overlap: int = 64, with_text: bool = True, tokenizers: str | None = None,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, limit: int = 512, overlap: int = 64, with_text: bool = True, with_new: bool = False, tokenizers: str | None = None,
 ) -> DataFrame:
-    """``doc_id, piece_no, start_token, end_token, n_tokens, boundary[, text]``: ordered pieces of every text.
+    """``doc_id, piece_no, start_token, end_token, n_tokens, boundary[, text][, new_bytes]``: ordered pieces of every text.
 
-    ``boundary`` names the place where the piece's new part begins (``text`` for the first piece).
+    ``boundary`` names the place where the piece's new part begins (``text`` for the first piece); ``new_bytes`` is that
+    part without the overlap, so that the parts of a text joined in order are the text.
     """
     if limit <= overlap or overlap < 0:
         raise ValueError("limit must be above overlap, and overlap not negative")
     path = _path(tokenizers)
-    schema = "doc_id long, piece_no int, start_token int, end_token int, n_tokens int, boundary string" + (", text string" if with_text else "")
+    schema = "doc_id long, piece_no int, start_token int, end_token int, n_tokens int, boundary string" + (", text string" if with_text else "") + (", new_bytes binary" if with_new else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(path)
@@ -166,7 +167,7 @@ def split(
             strength = strengths(batch)
             keys = rows.column(0).to_pylist()
             first = batch.doc_first
-            who, no, begin, stop, names, texts = [], [], [], [], [], []
+            who, no, begin, stop, names, texts, news = [], [], [], [], [], [], []
             for k, key in enumerate(keys):
                 a, b = int(first[k]), int(first[k + 1])
                 if a == b:
@@ -180,15 +181,27 @@ def split(
                 begin += starts
                 stop += ends
                 names += [NAMES[m] for m in marks]
-                if with_text:
+                if with_text or with_new:
                     data, where = bpe.decode_bytes(ids[at[a]:at[b]])
+                if with_new:
+                    news += [data[where[s]:where[e]].tobytes() for s, e in zip(offsets, ends)]
+                if with_text:
                     texts += [data[where[s]:where[e]].tobytes().decode("utf-8", "replace") for s, e in zip(starts, ends)]
             cols = [pa.array(who, pa.int64()), pa.array(no, pa.int32()), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(np.subtract(stop, begin), pa.int32()), pa.array(names, pa.string())]
             labels = ["doc_id", "piece_no", "start_token", "end_token", "n_tokens", "boundary"]
             if with_text:
                 cols.append(pa.array(texts, pa.string()))
                 labels.append("text")
+            if with_new:
+                cols.append(pa.array(news, pa.binary()))
+                labels.append("new_bytes")
             yield pa.RecordBatch.from_arrays(cols, names=labels)
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(run, schema)
+
+
+def rebuild(pieces: DataFrame) -> DataFrame:
+    """``doc_id, text`` from pieces with ``new_bytes``: the exact inverse of ``split`` for texts that aren't empty."""
+    parts = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", F.hex("new_bytes").alias("h")))).alias("p"))
+    return parts.select("doc_id", F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))

@@ -113,6 +113,8 @@ def test_pieces_tile_and_overlap(spark, reference, limit, overlap):
             assert a.end_token - b.start_token == min(overlap, a.n_tokens) and b.end_token > a.end_token
     assert [tuple(p)[1:] for p in got[2]] == [tuple(p)[1:] for p in got[8]]
     assert splitting.split(df.limit(0), limit=limit, overlap=overlap).count() == 0
+    again = splitting.rebuild(splitting.split(df, limit=limit, overlap=overlap, with_text=False, with_new=True))
+    assert dict(rows(again)) == {i: t for i, t in held if t}
 
 
 def test_cuts_prefer_strong_boundaries(spark):
