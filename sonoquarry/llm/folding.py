@@ -2,23 +2,34 @@
 
 Letters are folded to their compatibility base letter in lower case, look-alikes of other scripts to the
 Latin letter; marks, zero-width characters, soft hyphens and apostrophes vanish; points, commas and
-colons between digits vanish; everything else that is no letter or digit separates words. Names of
-mark-up tags and entities and bracketed note numbers are no words.
+colons between digits vanish; everything else that is no letter or digit separates words. Before that,
+tags of mark-up are blanked with their attributes and entities become the characters they stand for, escaped ones
+too. Names of unknown entities and bracketed note numbers are no words.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Letters of other scripts that look like Latin ones, and ligatures.
 _LOOK = dict(zip("аеорсухіѕјкмтнвԁոοαενρτικ", "aeopcyxisjkmthbdnoaevptik"))
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _APOSTROPHES = "'’‘`´ʼ＇"
 _BREAK, _VANISH = 0, 1  # codes below the first letter
+# A tag up to its closing '>' (one in quotes doesn't close it, unless a quote is left open), an entity.
+_TAG = re.compile(r"""</?[A-Za-z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|</?[A-Za-z/][^<>]*>""")
+_ENTITY = re.compile(r"&(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,31};)")
+_MARKED = r"<[A-Za-z/]|&[#A-Za-z]"  # what either begins with
+#: Words from which on a tag may hold a passage, and what keeps such tags apart from what stands before them.
+_LONG, _APART = 12, " ꙮꙮ ꙮꙮ ꙮꙮ ꙮꙮ "
 
 
 @lru_cache(maxsize=1)
@@ -50,12 +61,51 @@ def fold_text(text: str) -> str:
     return "".join(" " if c == _BREAK else chr(c) for c in codes if c != _VANISH)
 
 
+def _character(m: re.Match) -> str:
+    name = m.group()
+    return html.unescape(name) if name[1] == "#" else html5.get(name[1:], name)
+
+
+def _without_tags(text: str) -> str:
+    aside = []
+
+    def blank(m: re.Match) -> str:
+        tag = m.group()
+        if len(tag) < 2 * _LONG or len(re.findall(r"\w+", tag)) < _LONG:
+            return " "
+        if "=" not in tag:  # a comparison in a sentence rather than a tag
+            return tag
+        aside.append(tag[1:-1])
+        return " "
+
+    text = _TAG.sub(blank, text)
+    return _APART.join([text, *aside]) if aside else text
+
+
+def unmark(text: str) -> str:
+    """A text without tags and entities. What long attributes say (descriptions of images) goes behind the text."""
+    text = _without_tags(text)
+    if "&" in text:
+        for _ in range(2):  # entities are at times escaped again
+            text = _ENTITY.sub(_character, text)
+        text = _without_tags(text)
+    return text
+
+
+def _unmarked(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    marked = pc.fill_null(pc.match_substring_regex(texts, _MARKED), False)
+    if not pc.any(marked).as_py():
+        return texts
+    return pc.replace_with_mask(texts, marked, pa.array([unmark(t) for t in texts.filter(marked).to_pylist()], pa.large_string()))
+
+
 class Words:
     """Words of the rows of an Arrow string array: ``coded`` (dictionary-encoded folded words, UTF-32),
     ``row_first`` index of the first word of each row (one longer)."""
 
     def __init__(self, texts: pa.Array):
-        filled = pa.concat_arrays([texts.cast(pa.large_binary()).fill_null(b"")])
+        filled = pa.concat_arrays([_unmarked(texts).cast(pa.large_binary()).fill_null(b"")])
         offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset:filled.offset + len(filled) + 1]
         raw = filled.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.empty(0, np.uint8)

@@ -115,3 +115,41 @@ def test_folding():
     w = folding.Words(pa.array(["<b>Bold</b> &amp; 3,573 it's", None, "[12] (3) x"]))
     words = [bytes(x).decode("utf-32-le") for x in w.coded.to_pylist()]
     assert words == ["bold", "3573", "its", "x"] and w.row_first.tolist() == [0, 3, 3, 4]
+
+
+def folded(*texts):
+    import pyarrow as pa
+
+    w = folding.Words(pa.array(texts, pa.string()))
+    words = [bytes(x).decode("utf-32-le") for x in w.coded.to_pylist()]
+    return [words[a:b] for a, b in zip(w.row_first, w.row_first[1:])]
+
+
+@pytest.mark.parametrize("text, words", [
+    ('didn&#39;t <span class="hl">the</span> end', "didnt the end"),
+    ("isn&apos;t isn&rsquo;t isn&#x2019;t isn&#8217;t isn&amp;#39;t", "isnt isnt isnt isnt isnt"),
+    ('a&nbsp;b <span&nbsp;class="hl">c</span> &quot;d&quot; caf&eacute; &unknown; e', "a b c d cafe e"),
+    ("<a href='x?y=1&amp;z=2' title=\"one > two\">f</a><br/>g<img alt=it's>h", "f g h"),
+    ("&lt;span class=&quot;hl&quot;&gt;i&lt;/span&gt; j", "i j"),
+    ("x < y and z > w, a <|end|> b", "x y and z w a end b"),
+    ("x <y and what follows here is still a whole sentence with z> w", "x and what follows here is still a whole sentence with z w"),
+    ("<b>Q</b>&amp;A R&D AT&T; <b unclosed", "q a r d at unclosed"),
+])
+def test_markup_and_entities_are_no_words(text, words):
+    assert folded("first", text, None, text) == [["first"], words.split(), [], words.split()]
+
+
+def test_leaks_under_attributes_and_entities(spark):
+    """The form of doc_id 10588 of the test data: tags with attributes and apostrophes as entities."""
+    item = ("Past the brittle island a harmonica soared; Foluuva Chaheti didn't notice the puddles. Toward the sunken hallway a piano swayed; "
+            "Sudrolbil Vahuudromu didn't notice the shadows. I've heard Tavirseifo Shigelouko turn hesitant choirs into a broadcast backwards.")
+    doc = ("The storyboard puts a kitchen beyond 1990 credits, which Past&nbsp;the&nbsp;brittle island a harmonica soared; Foluuva Chaheti didn&#39;t notice "
+           '<span class="hl">the</span> puddles. Toward the sunken hallway a piano swayed; Sudrolbil Vahuudromu <i>didn&#39;t</i> <b>notice</b> the '
+           '<span class="hl">shadows.</span> I&#39;ve heard Tavirseifo Shigelouko turn <i>hesitant</i> choirs into a broadcast backwards."  Salt Jeiwoul colors instead.')
+    rng = random.Random(3)
+    part = ITEM[2:18]
+    docs = [
+        doc, " ".join(filler(rng, 30) + [f'<span class="hl" id=\'n{i}\'>{p[:1]}&rsquo;{p[1:]}</span>' for i, p in enumerate(part)] + filler(rng, 30)),
+        " ".join(filler(rng, 30) + [f'<img src="x.png" alt="{" ".join(part)}">'] + filler(rng, 30)), " ".join(ITEM[2:10] + ['<span class="hl">'] + filler(rng, 8) + ["</span>"] + ITEM[10:18]),
+    ]
+    assert find(spark, list(enumerate(docs)), [(1, item), (2, " ".join(ITEM))]) == [(0, 1), (1, 2), (2, 2)]
