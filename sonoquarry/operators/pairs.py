@@ -1,7 +1,9 @@
 """All-pairs scoring of seeds against candidates in blocks.
 
 The relation is a grid: seeds fall into row blocks, candidates into column blocks (by their recording, so
-that rows which may replace one another in de-duplication share a block). Each cell is one task of
+that rows which may replace one another in de-duplication share a block). A recording with more than ``HOT`` rows is
+spread over all column blocks by its themes: its rows are marked ``hot``, cells keep them apart from the others, and the
+callers find the best of them over all cells. Each cell is one task of
 bounded size that multiplies dense blocks and adds the metadata signals; nothing is broadcast and no
 pair leaves its cell. The number of pairs is quadratic by definition of an exact ranking; ``nearest`` vectors
 of large collections belong to an index, not here.
@@ -17,12 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 
 SEEDS, CANDIDATES = 2048, 16384
+#: Rows of one recording beyond which it is spread over the column blocks; so at most two a block on average.
+HOT = CANDIDATES // 2
 #: What a row of the catalogue must hold for scoring; ``u`` is a unit vector.
 COLUMNS = ("theme_id", "mal_id", "audio_id", "artist_ids", "genres", "start_year", "u")
 
@@ -38,6 +42,7 @@ class Side:
     u: np.ndarray
     artists: list
     genres: list
+    hot: np.ndarray
 
     @classmethod
     def of(cls, f: pd.DataFrame) -> "Side":
@@ -46,7 +51,7 @@ class Side:
 
         f = f.sort_values("theme_id", kind="stable")
         u = np.stack(f["u"].to_numpy()).astype(np.float64) if len(f) else np.zeros((0, 1))
-        return cls(f["theme_id"].to_numpy(np.int64), f["mal_id"].to_numpy(), f["audio_id"].to_numpy(), f["start_year"].to_numpy(np.float64, na_value=np.nan), u, [set(map(int, s)) for s in sets("artist_ids")], sets("genres"))
+        return cls(f["theme_id"].to_numpy(np.int64), f["mal_id"].to_numpy(), f["audio_id"].to_numpy(), f["start_year"].to_numpy(np.float64, na_value=np.nan), u, [set(map(int, s)) for s in sets("artist_ids")], sets("genres"), f["hot"].to_numpy(bool) if "hot" in f else np.zeros(len(f), bool))
 
 
 def _incidence(sets: list[set], known: dict) -> np.ndarray:
@@ -116,12 +121,13 @@ def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame,
     both = [*COLUMNS, *carry]
     columns = column_blocks(rows)
     n_asking = asking.count()
+    hot = _hot(rows, columns)
     lines = max(1, math.ceil(n_asking / SEEDS), min(n_asking, -(-2 * spark.sparkContext.defaultParallelism // columns)))
     kinds = dict(asking.dtypes)
     extra = [] if seeds is None else [c for c in asking.columns if c not in both]
-    c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), F.pmod(F.xxhash64("audio_id"), F.lit(columns)).alias("_own"))
+    c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), hot.alias("hot"), F.pmod(F.when(hot, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).alias("_own"))
     c = c.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda x: x * columns + F.col("_own"))))
-    s = asking.select(*both, *extra, F.lit(True).alias("asks"), F.pmod(F.xxhash64("theme_id"), F.lit(lines)).alias("_own"))
+    s = asking.select(*both, *extra, F.lit(True).alias("asks"), F.lit(False).alias("hot"), F.pmod(F.xxhash64("theme_id"), F.lit(lines)).alias("_own"))
     s = s.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda x: F.col("_own") * columns + x)))
     cells = c.unionByName(s).drop("_own")
 
@@ -138,3 +144,13 @@ def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame,
 def column_blocks(rows: DataFrame) -> int:
     """Number of blocks that the candidates are divided into."""
     return max(1, math.ceil(rows.count() / CANDIDATES))
+
+
+def _hot(rows: DataFrame, columns: int) -> Column:
+    """Whether a row's recording (null is one as well) has too many rows for one block."""
+    if columns == 1:
+        return F.lit(False)
+    many = [r.audio_id for r in rows.groupBy("audio_id").count().filter(F.col("count") > HOT).select("audio_id").collect()]  # a bounded share of the rows
+    named = [x for x in many if x is not None]
+    hot = F.coalesce(F.col("audio_id").isin(named), F.lit(False)) if named else F.lit(False)
+    return hot | F.col("audio_id").isNull() if None in many else hot

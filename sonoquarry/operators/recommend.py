@@ -2,7 +2,8 @@
 
 Order of steps: drop the seed (and its siblings on request), keep the best row per recording, keep
 the first ``max_per_anime`` per anime, keep the first ``k``, number them. A cell of the grid keeps the first ``k`` of its
-own candidates; the cells' survivors are ranked per seed by windows. Equal scores order by theme_id.
+own candidates, and the best row of each recording that is spread over several cells, which takes no other's place
+before it is known to be the best of all; the cells' survivors are ranked per seed by windows. Equal scores order by theme_id.
 """
 
 from __future__ import annotations
@@ -40,14 +41,15 @@ def check(dataset: DataFrame, cfg: Config, strict: bool = True, vector: str = "e
 
 def _select(s: pairs.Scores, i: int, k: int, dedup: bool, cap: int | None) -> np.ndarray:
     """Columns of the first ``k`` candidates of one seed."""
-    final = np.where(s.allowed[i], s.final[i], -np.inf)
-    n, want = int(s.allowed[i].sum()), 4 * k + 64
+    free = s.allowed[i] & ~s.candidates.hot if dedup else s.allowed[i]
+    final = np.where(free, s.final[i], -np.inf)
+    n, want = int(free.sum()), 4 * k + 64
     while True:
         if want < n:
             least = np.partition(final, len(final) - want)[len(final) - want]
             pool = np.flatnonzero(final >= least)
         else:
-            pool = np.flatnonzero(s.allowed[i])
+            pool = np.flatnonzero(free)
         pool = pool[np.argsort(-final[pool], kind="stable")]  # candidates lie in theme_id order
         if dedup:
             pool = pool[np.sort(np.unique(s.candidates.audio_id[pool], return_index=True)[1])]
@@ -67,6 +69,13 @@ def _select(s: pairs.Scores, i: int, k: int, dedup: bool, cap: int | None) -> np
         want *= 4
 
 
+def _spread(s: pairs.Scores, i: int) -> np.ndarray:
+    """Columns of one seed's best candidate of each recording that is spread over several cells."""
+    pool = np.flatnonzero(s.allowed[i] & s.candidates.hot)
+    pool = pool[np.argsort(-s.final[i, pool], kind="stable")]
+    return pool[np.sort(np.unique(s.candidates.audio_id[pool], return_index=True)[1])]
+
+
 def recommend(
     catalogue: DataFrame, cfg: Config | None = None, *, mode: str = "discovery", k: int = 20, seeds: DataFrame | None = None,
     exclude_same_anime: bool = False, dedup_audio: bool = True, max_per_anime: int | None = None,
@@ -83,6 +92,8 @@ def recommend(
             for s in pairs.score(a, c, cfg, scale, exclude_same_anime):
                 for i, seed in enumerate(a.theme_id[s.at]):
                     j = _select(s, i, k, dedup_audio, cap)
+                    if dedup_audio and c.hot.any():
+                        j = np.concatenate([j, _spread(s, i)])
                     parts.append((np.full(len(j), seed), c.theme_id[j], c.mal_id[j], c.audio_id[j], s.cosine[i, j], s.weight[i, j], s.raw[i, j], s.final[i, j]))
         cols = [np.concatenate(x) for x in zip(*parts)] if parts else [[]] * 8
         return pd.DataFrame(dict(zip(("seed", "theme_id", "mal_id", "audio_id", "l1_cos", "l2_weight", "final", "place"), cols)))

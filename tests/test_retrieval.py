@@ -125,6 +125,43 @@ def test_blocks_give_the_same_as_one(spark, monkeypatch):
         assert a == pytest.approx(b)
 
 
+@pytest.mark.parametrize("missing", [False, True])
+def test_a_hot_recording_is_spread_over_cells(spark, monkeypatch, missing):
+    rng = np.random.default_rng(4)
+    n = 60
+    audio = [(None if missing else 7) if i % 3 == 0 else 100 + int(rng.integers(0, 30)) for i in range(n)]
+    c = recommend.prepare(corpus(spark, rng.normal(size=(n, 8)), mal=rng.integers(0, 6, n).tolist(), audio=audio, artists=[[int(x)] for x in rng.integers(0, 7, n)])).cache()
+    near = [[f"m{int(x)}"] for x in rng.integers(0, 7, n)]
+    m = spark.createDataFrame([(i + 1, [f"m{i % 7}"], [x for x in near[i] if x != f"m{i % 7}"]) for i in range(n)], "theme_id long, mbids array<string>, near_mbids array<string>")
+    e = c.join(m, "theme_id").cache()
+
+    def results():
+        asked = [dict(k=7), dict(k=7, max_per_anime=1), dict(k=4, max_per_anime=2, exclude_same_anime=True), dict(k=7, dedup_audio=False, max_per_anime=2)]
+        return [rows(recommend.recommend(c, CFG, **a), "seed", "rank", "theme_id") for a in asked], rows(evaluate.seed_table(e, CFG))
+
+    one = results()
+    monkeypatch.setattr(pairs, "CANDIDATES", 17)
+    monkeypatch.setattr(pairs, "SEEDS", 13)
+    monkeypatch.setattr(pairs, "HOT", 8, raising=False)
+    many = results()
+    assert one[0] == many[0] and len(one[1]) == len(many[1]) == n
+    for a, b in zip(one[1], many[1]):
+        assert a == pytest.approx(b)
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_no_cell_holds_all_of_a_hot_recording(spark, monkeypatch, hot):
+    c = recommend.prepare(corpus(spark, line(60, 0.01), audio=[hot if i % 3 == 0 else 100 + i for i in range(60)]))
+    monkeypatch.setattr(pairs, "CANDIDATES", 17)
+    monkeypatch.setattr(pairs, "HOT", 8, raising=False)
+
+    def size(asking, candidates):
+        return candidates.assign(n=candidates["audio_id"].isna() | (candidates["audio_id"] == 7)).groupby("asks")["n"].sum().reset_index()[["n"]]
+
+    cells = [r.n for r in pairs.grid(c, None, size, "n long").collect()]
+    assert max(cells) <= 12 and sum(cells) % 20 == 0
+
+
 def test_presented_columns(spark):
     c = corpus(spark, line(3, 0.1)).withColumn("artist_names", F.lit(None).cast("array<string>"))
     d = recommend.prepare(c)
