@@ -8,7 +8,8 @@ bounded size that multiplies dense blocks and adds the metadata signals; nothing
 pair leaves its cell. The number of pairs is quadratic by definition of an exact ranking; ``nearest`` vectors
 of large collections belong to an index, not here.
 
-Scores equal to nine decimals tie; the smaller theme_id comes first.
+Scores equal to nine decimals tie; the smaller theme_id comes first. Inner products are exact sums (see ``halves``), so a
+score doesn't depend on the blocks, the order of a matrix product or the number of cores.
 """
 
 from __future__ import annotations
@@ -24,13 +25,25 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 
-SEEDS, CANDIDATES = 2048, 16384
+SEEDS, CANDIDATES = 16384, 16384
 #: Rows of one recording beyond which it is spread over the column blocks; so at most two a block on average.
 HOT = CANDIDATES // 2
 #: What a row of the catalogue must hold for scoring; ``u`` is a unit vector.
 COLUMNS = ("theme_id", "mal_id", "audio_id", "artist_ids", "genres", "start_year", "u")
 
 
+def halves(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two parts of unit vectors whose products add up without rounding, in any order.
+
+    The upper part is a multiple of 2^-26, the lower one of 2^-48 (less for more than 1024 values). Partial sums of upper by upper stay
+    within 1 and are multiples of 2^-52; those of upper by lower stay below 2^-26 times the root of the number of values and are multiples of 2^-74:
+    all of them fit in 53 bits. Lower by lower is below the precision of the result.
+    """
+    upper = np.round(u * 2.0 ** 26) / 2.0 ** 26
+    fine = 2.0 ** (48 - max(0, math.ceil(math.log2(max(u.shape[1], 1)) / 2 - 5)))
+    return upper, np.round((u - upper) * fine) / fine
+
+
 @dataclass
 class Side:
     """One side of a cell as arrays."""
@@ -39,7 +52,8 @@ class Side:
     mal_id: np.ndarray
     audio_id: np.ndarray
     year: np.ndarray
-    u: np.ndarray
+    upper: np.ndarray
+    lower: np.ndarray
     artists: list
     genres: list
     hot: np.ndarray
@@ -51,7 +65,7 @@ class Side:
 
         f = f.sort_values("theme_id", kind="stable")
         u = np.stack(f["u"].to_numpy()).astype(np.float64) if len(f) else np.zeros((0, 1))
-        return cls(f["theme_id"].to_numpy(np.int64), f["mal_id"].to_numpy(), f["audio_id"].to_numpy(), f["start_year"].to_numpy(np.float64, na_value=np.nan), u, [set(map(int, s)) for s in sets("artist_ids")], sets("genres"), f["hot"].to_numpy(bool) if "hot" in f else np.zeros(len(f), bool))
+        return cls(f["theme_id"].to_numpy(np.int64), f["mal_id"].to_numpy(), f["audio_id"].to_numpy(), f["start_year"].to_numpy(np.float64, na_value=np.nan), *halves(u), [set(map(int, s)) for s in sets("artist_ids")], sets("genres"), f["hot"].to_numpy(bool) if "hot" in f else np.zeros(len(f), bool))
 
 
 def _incidence(sets: list[set], known: dict) -> np.ndarray:
@@ -89,9 +103,10 @@ def score(seeds: Side, candidates: Side, cfg: Config, scale: float, exclude_same
         for a in s:
             holders.setdefault(a, []).append(j)
     columns = {a: np.array(x) for a, x in holders.items()}
+    crossed = np.hstack([candidates.lower, candidates.upper]).T
     for s in range(0, len(seeds.theme_id), step):
         at = slice(s, min(s + step, len(seeds.theme_id)))
-        cosine = seeds.u[at] @ candidates.u.T
+        cosine = seeds.upper[at] @ candidates.upper.T + np.hstack([seeds.upper[at], seeds.lower[at]]) @ crossed
         inter = own[at] @ other.T
         union = own_size[at][:, None] + other_size - inter
         jaccard = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
