@@ -1,20 +1,26 @@
-"""Most similar vectors for every vector (problem 2): stable projections, a kd-tree and chi-square tests.
-
-Unit vectors are projected on a few random Gaussian directions. These are 2-stable: the difference of
-two vectors at distance d has independent N(0, d^2) coordinates there. A kd-tree over the projections
-splits one direction per level at the medians of a bounded sample (``sample`` rows); every vector is
-indexed, in the leaf that holds its projection.
-
-A query visits the leaves by growing distance of their boxes until the chi-square test says that no
-neighbour within the radius is to be expected: a neighbour in a leaf behind s splits, whose gaps have
-the squared sum D^2, needs displacements of that sum, each to the right side, which has a probability of
-at most 2^-s * P(chi^2_s >= D^2 / r^2). In a leaf the projected neighbours up to the chi-square bound of all
-directions are verified by their exact cosine. ``r`` is the distance at the least cosine that counts.
+"""Most similar vectors for every vector (problem 2): stable projections, a kd-tree and chi-square stopping.
+
+Unit vectors are projected on a few random Gaussian directions. These are 2-stable: the difference of two vectors at
+distance d has independent N(0, d^2) coordinates there. A kd-tree halves the projections one direction after the
+other. Its upper levels divide the vectors into cells, one task each; in a task the tree goes on down to leaves of
+``leaf`` points. The cells' levels are fitted, at most ``STEP_LEVELS`` at a time, on a sample of ``PER_CELL`` rows
+a cell, node by node on the executors, so the depth follows the number of vectors and the driver holds the splits only.
+
+A query takes the leaves by growing distance of their boxes, each scaled by its chi-square bound. A point in a box that lies
+apart by gaps of the squared sum D^2 in c directions needs displacements of that sum, each to the right side, which has a
+probability of at most 2^-c * P(chi^2_c >= D^2 / d^2) for a point at distance d. Where this falls below a threshold for
+d = the distance of the k-th best found so far, the search stops: no leaf further on can hold a better one. The
+threshold is set so that neighbours simulated by 2-stable displacements are missed with a probability of ``LEAF_RISK`` in
+all. In a leaf, points whose projections are within the chi-square bound of all directions are verified by their
+exact cosine, which tightens d for the leaves that follow. d begins with the distance at the least cosine that counts.
+
+Two rounds carry the bound over the cells. In the first every query searches the cell that holds it. In the second it goes, with
+the bound that it has reached, to those other cells that the stopping test leaves. So the members of a dense group, however
+large, stay near home. A cell with many visitors is divided into blocks of queries by the load that a sample of the rows
+predicts from their bounds. A task returns no more than k rows a query, and a pair found from one side counts for both.
 
 Vectors of exactly the same direction are one class; only its first vector is searched and the class's
-smallest ids stand for it, so a hot group of copies costs no more than one vector. Leaves are divided into
-blocks of points and of queries by the sample's estimate of their load, so that a hot leaf is spread
-over many tasks of bounded size. A task returns no more than k rows a query.
+smallest ids stand for it, so a hot group of copies costs no more than one vector.
 
 Defined results: rows without an id, with a null vector, another length, a null, NaN or infinite value, or
 all zeros don't take part; of repeated ids the row with the smallest position counts. Cosines equal to six decimals tie,
@@ -35,10 +41,13 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 DIRECTIONS = 16
-#: Rows of the sample that fits the tree; mean vectors in a leaf; rows of a block of points and of queries.
-SAMPLE, LEAF, POINTS, ASKING = 16384, 16384, 32768, 32768
-#: Probability below which a leaf is no longer visited, and of a neighbour's projection beyond the bound.
-LEAF_RISK, POINT_RISK = 0.03, 0.01
+#: Mean vectors of a cell, points of a leaf in it, queries of a block.
+CELL, LEAF, ASKING = 32768, 512, 131072
+#: Sample rows per cell that the splits are fitted on, levels fitted at a time, rows that calibrate the stopping threshold.
+PER_CELL, STEP_LEVELS, CALIBRATION = 32, 10, 4096
+#: Probability that a neighbour's leaf isn't visited, and that its projection lies beyond the bound of all directions.
+LEAF_RISK, POINT_RISK = 0.01, 0.01
+_NOBODY = np.iinfo(np.int64).max
 
 
 def chi2_survival(x: float, dof: int) -> float:
@@ -66,127 +75,196 @@ def chi2_bound(risk: float, dof: int) -> float:
     return high
 
 
+def fit_levels(p: np.ndarray, first: int, levels: int) -> list[np.ndarray]:
+    """Medians that halve the rows ``p``, level by level; level ``first + i`` looks at direction ``(first + i) % p.shape[1]``."""
+    cuts, node = [], np.zeros(len(p), np.int64)
+    for i in range(levels):
+        x = p[:, (first + i) % p.shape[1]]
+        order = np.lexsort((x, node))
+        count = np.bincount(node, minlength=1 << i)
+        begin = np.cumsum(count) - count
+        middle = order[np.minimum(begin + count // 2, max(len(order) - 1, 0))] if len(order) else np.zeros(1 << i, np.int64)
+        cuts.append(np.where(count > 0, x[middle], 0.0) if len(order) else np.zeros(1 << i))
+        node = 2 * node + (x >= cuts[i][node])
+    return cuts
+
+
+def descend(p: np.ndarray, cuts: list[np.ndarray], first: int = 0) -> np.ndarray:
+    """The node below all ``cuts`` that holds each row."""
+    node = np.zeros(len(p), np.int64)
+    for i, at in enumerate(cuts):
+        node = 2 * node + (p[:, (first + i) % p.shape[1]] >= at[node])
+    return node
+
+
+def threshold(gaps: np.ndarray, radius2, risk: float = LEAF_RISK) -> float:
+    """The probability below which a box is left out, from the ``gaps`` between queries and the boxes of neighbours simulated at the squared
+    distances ``radius2``."""
+    crossed, ratio = (gaps > 0).sum(axis=1), (gaps * gaps).sum(axis=1) / radius2
+    chance = np.array([2.0 ** -c * chi2_survival(x, c) if c else 1.0 for c, x in zip(crossed.tolist(), ratio.tolist())])
+    return float(np.quantile(chance, risk, method="lower")) if len(chance) else 1.0
+
+
+def limits(tau: float) -> np.ndarray:
+    """By the number of directions with a gap: squared gaps over squared distance up to which a box is visited."""
+    return np.array([np.inf] + [chi2_bound(tau * 2.0 ** c, c) for c in range(1, DIRECTIONS + 1)])
+
+
 class Tree:
-    """kd-tree over projections, with the blocks that its leaves are divided into."""
+    """The cells' levels of the kd-tree: splits, stopping limits and the blocks of each cell."""
 
-    def __init__(self, sample: np.ndarray, total: int, radius2: float, seed: int = 7):
-        """``sample``: unit vectors; ``total``: number of vectors to be indexed."""
-        dims = sample.shape[1]
+    def __init__(self, dims: int, radius2: float, seed: int = 7):
         self.radius2 = radius2
         self.directions = np.random.default_rng(seed).standard_normal((dims, DIRECTIONS))
-        p = sample @ self.directions
-        most = max(0, int(math.log2(max(len(sample) / 16, 1))))
-        self.depth = min(max(0, math.ceil(math.log2(max(total, 1) / LEAF))), most, DIRECTIONS)
-        self.cuts: list[np.ndarray] = []  # per level the split of each node
-        node = np.zeros(len(p), np.int64)
-        for level in range(self.depth):
-            x = p[:, level]
-            order = np.lexsort((x, node))
-            count = np.bincount(node, minlength=1 << level)
-            begin = np.concatenate([[0], np.cumsum(count)])[:-1]
-            middle = order[np.minimum(begin + count // 2, len(order) - 1)]
-            self.cuts.append(np.where(count > 0, x[middle], 0.0))
-            node = 2 * node + (x >= self.cuts[level][node])
-        #: by the number of crossed splits, how large the gaps' squared sum may be
-        self.limit = np.array([np.inf] + [radius2 * chi2_bound(LEAF_RISK * 2 ** s, s) for s in range(1, DIRECTIONS + 1)])
-        self.point_limit = radius2 * chi2_bound(POINT_RISK, DIRECTIONS)
-        leaves = 1 << self.depth
-        scale = total / max(len(p), 1)
-        _, visited = self.visits(p)
-        home = np.bincount(node, minlength=leaves) * scale
-        asked = np.bincount(visited, minlength=leaves) * scale
-        self.point_blocks = np.maximum(1, np.ceil(home / POINTS)).astype(np.int64)
-        self.query_blocks = np.maximum(1, np.ceil(asked / ASKING)).astype(np.int64)
-        self.first_cell = np.concatenate([[0], np.cumsum(self.point_blocks * self.query_blocks)])
+        self.cuts: list[np.ndarray] = []
+        self.limit = limits(1.0)
+        self.point_limit = chi2_bound(POINT_RISK, DIRECTIONS)
+        self.blocks = np.ones(1, np.int64)
+
+    @property
+    def cells(self) -> int:
+        return 1 << len(self.cuts)
 
     def home(self, p: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(p), np.int64)
-        for level, at in enumerate(self.cuts):
-            node = 2 * node + (p[:, level] >= at[node])
-        return node
+        return descend(p, self.cuts)
 
-    def visits(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the leaves that each visits."""
-        row, node = np.arange(len(p)), np.zeros(len(p), np.int64)
-        gaps, crossed = np.zeros(len(p)), np.zeros(len(p), np.int64)
+    def calibrate(self, p: np.ndarray, seed: int = 3) -> None:
+        """Set the limits by simulated neighbours of the rows ``p`` at the largest distance that counts."""
+        target = p + np.random.default_rng(seed).standard_normal(p.shape) * math.sqrt(self.radius2)
+        low, high, node = np.full(p.shape, -np.inf), np.full(p.shape, np.inf), np.zeros(len(p), np.int64)
+        for level, at in enumerate(self.cuts):
+            d, c = level % DIRECTIONS, at[node]
+            right = target[:, d] >= c
+            low[:, d] = np.where(right, np.maximum(low[:, d], c), low[:, d])
+            high[:, d] = np.where(right, high[:, d], np.minimum(high[:, d], c))
+            node = 2 * node + right
+        self.limit = limits(threshold(np.maximum(np.maximum(low - p, p - high), 0), self.radius2))
+
+    def visits(self, p: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the other cells that each visits, for squared distances ``bound`` that they have reached."""
+        reach = np.maximum.accumulate(self.limit[:0:-1])[::-1]  # the most that any further gap may allow
+        row, node, off = np.arange(len(p)), np.zeros(len(p), np.int64), np.zeros(p.shape)
         for level, at in enumerate(self.cuts):
-            t = p[row, level] - at[node]
+            d = level % DIRECTIONS
+            t = p[row, d] - at[node]
             near = 2 * node + (t >= 0)
-            far_gap, far_crossed = gaps + t * t, crossed + 1
-            go = far_gap <= self.limit[far_crossed]
-            row = np.concatenate([row, row[go]])
-            node = np.concatenate([near, (near ^ 1)[go]])
-            gaps = np.concatenate([gaps, far_gap[go]])
-            crossed = np.concatenate([crossed, far_crossed[go]])
-        return row, node
-
-    def cells(self, ids: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, cells and roles (0 point, 1 query) of a batch."""
-        p = unit @ self.directions
-        salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-
-        def spread(row, leaf, block, other, role):
-            copies = other[leaf]
-            r, l, b = np.repeat(row, copies), np.repeat(leaf, copies), np.repeat(block, copies)
-            o = np.arange(len(r)) - np.repeat(np.cumsum(copies) - copies, copies)
-            pb, qb = (b, o) if role == 0 else (o, b)
-            return r, self.first_cell[l] + pb * self.query_blocks[l] + qb, np.full(len(r), role, np.int8)
-
-        row = np.arange(len(ids))
-        leaf = self.home(p)
-        a = spread(row, leaf, salt % self.point_blocks[leaf], self.query_blocks, 0)
-        row, leaf = self.visits(p)
-        b = spread(row, leaf, salt[row] % self.query_blocks[leaf], self.point_blocks, 1)
-        return tuple(np.concatenate(x) for x in zip(a, b))
-
-
-def best_in_cell(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray, k: int, least: float):
-    """For the queries of a cell, up to ``k`` points: query ids, point ids, cosines to six decimals."""
-    pp, pq = (points @ tree.directions).astype(np.float32), (asking @ tree.directions).astype(np.float32)
-    np2, nq2 = np.einsum("ij,ij->i", pp, pp), np.einsum("ij,ij->i", pq, pq)
-    bound = np.float32(tree.point_limit)
-    out_q, out_p, out_c = [], [], []
-    step = max(1, (1 << 22) // max(len(points), 1))
-    for s in range(0, len(asking), step):
-        near = pq[s:s + step] @ pp.T
-        near *= -2
-        near += np2
-        i, j = np.divmod(np.flatnonzero((near <= (bound - nq2[s:s + step])[:, None]).ravel()), len(points))
-        i += s
+            far = off.copy()
+            far[:, d] = np.abs(t)
+            crossed = (far > 0).sum(axis=1)
+            go = (far * far).sum(axis=1) <= bound[row] * reach[np.maximum(crossed, 1) - 1]
+            row, node, off = np.concatenate([row, row[go]]), np.concatenate([near, (near ^ 1)[go]]), np.concatenate([off, far[go]])
+        away = node != self.home(p)[row]
+        with np.errstate(invalid="ignore"):
+            fits = (off * off).sum(axis=1) <= bound[row] * self.limit[(off > 0).sum(axis=1)]
+        return row[away & fits], node[away & fits]
+
+
+class Counts:
+    """What a search has done, for measurements."""
+
+    def __init__(self):
+        self.compared = self.verified = 0
+
+
+def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.ndarray, asking_ids: np.ndarray, bound: np.ndarray, k: int, least: float, leaf: int, counts: Counts | None = None):
+    """For the queries of a cell, up to ``k`` of its points: query ids, point ids, cosines to six decimals.
+
+    ``bound``: the squared distance that each query has reached; it is tightened from leaf to leaf.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(points) or not len(asking):
+        return none
+    first, levels = len(tree.cuts), max(0, math.ceil(math.log2(len(points) / leaf)))
+    pp, pq = points @ tree.directions, asking @ tree.directions
+    cuts = fit_levels(pp, first, levels)
+    at = descend(pp, cuts, first)
+    order = np.argsort(at, kind="stable")
+    points, point_ids, pp = points[order], point_ids[order], pp[order]
+    held = np.flatnonzero(np.bincount(at, minlength=1 << levels))
+    begin = np.searchsorted(at[order], held)
+    end = np.append(begin[1:], len(order))
+    low, high = np.minimum.reduceat(pp, begin), np.maximum.reduceat(pp, begin)
+    limit = np.full(DIRECTIONS + 1, np.inf)
+    if len(held) > 1:  # the stopping threshold of this cell's leaves: neighbours simulated at the distances that some of its points have to their k-th best
+        rng = np.random.default_rng(5)
+        some = rng.permutation(len(pp))[:CALIBRATION // 16]
+        dots = points[some] @ points.T
+        far = min(k, len(points) - 1)
+        d2 = np.repeat(np.clip(2 - 2 * np.partition(dots, -far - 1, axis=1)[:, -far - 1], 1e-9, tree.radius2), 16)
+        some = np.repeat(some, 16)
+        place = descend(pp[some] + rng.standard_normal((len(some), DIRECTIONS)) * np.sqrt(d2)[:, None], cuts, first)
+        box = np.minimum(np.searchsorted(held, place), len(held) - 1)
+        limit = limits(threshold(np.maximum(np.maximum(low[box] - pp[some], pp[some] - high[box]), 0), d2))
+
+    need = np.empty((len(pq), len(held)), np.float32)  # the squared distance down to which a leaf must be visited
+    for s in range(0, len(pq), 1024):
+        x = pq[s:s + 1024, None, :]
+        gap = np.maximum(np.maximum(low - x, x - high), 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = (gap * gap).sum(axis=2) / limit[(gap > 0).sum(axis=2)]
+        need[s:s + 1024] = np.where(np.isnan(n), np.inf, n)
+    turn = np.argsort(need, axis=1, kind="stable").astype(np.int32)
+    need = np.take_along_axis(need, turn, axis=1)
+    pp, pq = pp.astype(np.float32), pq.astype(np.float32)
+    pp2, pq2 = np.einsum("ij,ij->i", pp, pp), np.einsum("ij,ij->i", pq, pq)
+    bound = np.minimum(bound, tree.radius2)
+    best = np.full((len(pq), k), -2.0)
+    who = np.full((len(pq), k), _NOBODY, np.int64)
+    for j in range(len(held)):
+        active = np.flatnonzero(need[:, j] <= bound)
+        if not len(active):
+            break
+        mine = turn[active, j]
+        by = np.argsort(mine, kind="stable")
+        active, mine = active[by], mine[by]
+        starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
         hits = [], [], []
-        for t in range(0, len(i), 1 << 18):
-            a, b = i[t:t + (1 << 18)], j[t:t + (1 << 18)]
-            cosine = np.einsum("ij,ij->i", asking[a], points[b])
-            good = (cosine >= least) & (asking_ids[a] != point_ids[b])
-            for x, y in zip(hits, (a[good], b[good], np.round(cosine[good], 6))):
-                x.append(y)
-        if not hits[0]:
+        for s, e in zip(starts, np.append(starts[1:], len(mine))):
+            a, b = begin[mine[s]], end[mine[s]]
+            for t in range(s, e, 8192):
+                q = active[t:min(t + 8192, e)]
+                near = pq[q] @ pp[a:b].T
+                near *= -2
+                near += pp2[a:b]
+                x, y = np.divmod(np.flatnonzero(near <= (bound[q] * tree.point_limit - pq2[q] + 1e-4)[:, None]), b - a)
+                if counts is not None:
+                    counts.compared += near.size
+                    counts.verified += len(x)
+                for u in range(0, len(x), 1 << 17):
+                    i, p = q[x[u:u + (1 << 17)]], a + y[u:u + (1 << 17)]
+                    cosine = np.einsum("ij,ij->i", asking[i], points[p])
+                    rounded = np.round(cosine, 6)
+                    good = (cosine >= least) & (asking_ids[i] != point_ids[p]) & (rounded >= best[i, -1])
+                    for x_, y_ in zip(hits, (i[good], point_ids[p[good]], rounded[good])):
+                        x_.append(y_)
+        if not hits[0] or not sum(map(len, hits[0])):
             continue
-        a, b, c = (np.concatenate(x) for x in hits)
-        order = np.lexsort((point_ids[b], -c, a))
-        a, b, c = a[order], b[order], c[order]
-        first = np.searchsorted(a, a, "left")
-        top = np.arange(len(a)) - first < k
-        out_q.append(asking_ids[a[top]])
-        out_p.append(point_ids[b[top]])
-        out_c.append(c[top])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_p), np.concatenate(out_c)
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+        i, p, c = (np.concatenate(x) for x in hits)
+        own = np.unique(i)
+        i, p, c = np.concatenate([i, np.repeat(own, k)]), np.concatenate([p, who[own].ravel()]), np.concatenate([c, best[own].ravel()])
+        by = np.lexsort((p, -c, i))
+        i, p, c = i[by], p[by], c[by]
+        nth = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        top = nth < k
+        best[i[top], nth[top]], who[i[top], nth[top]] = c[top], p[top]
+        full = own[best[own, -1] > -2]
+        bound[full] = np.minimum(bound[full], 2 - 2 * (best[full, -1] - 1e-6))  # room for ties
+    row, nth = np.nonzero(who != _NOBODY)
+    return asking_ids[row], who[row, nth], best[row, nth]
+
+
+def _matrix(column, dims: int) -> np.ndarray:
     """Unit vectors of a column of packed float32 vectors."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
 def usable(rows: DataFrame, vector_id: str, vector: str, position: str, dims: int) -> DataFrame:
-    """``id, vec, dir``: one packed vector per id, and a digest of its direction."""
+    """``id, pos, vec, dir``: packed vectors that can take part, and a digest of their direction."""
     v = F.col(vector)
     infinity = F.lit(float("inf"))
     good = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinity)) & F.exists(v, lambda x: x != 0)
-    kept = rows.select(F.col(vector_id).cast("long").alias("id"), F.col(position).alias("pos"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
+    kept = rows.select(F.col(vector_id).cast("long").alias("id"), F.col(position).cast("long").alias("pos"), v.alias("v")).filter(F.col("id").isNotNull() & F.coalesce(good, F.lit(False)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,44 +275,153 @@ def usable(rows: DataFrame, vector_id: str, vector: str, position: str, dims: in
             digest = [hashlib.blake2b((np.round(u, 10) + 0.0).tobytes(), digest_size=16).digest() for u in unit]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in scaled.astype(np.float32)], pa.binary()), pa.array(digest, pa.binary())], names=["id", "pos", "vec", "dir"])
 
-    packed = kept.mapInArrow(pack, "id long, pos long, vec binary, dir binary")
-    first = Window.partitionBy("id").orderBy("pos", "dir")
-    return packed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("id", "vec", "dir")
+    return kept.mapInArrow(pack, "id long, pos long, vec binary, dir binary")
 
 
-def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims: int = 64, k: int = 5, least: float = 0.90) -> DataFrame:
-    """``id, other, cosine, rank_no``: up to ``k`` most similar vectors of every vector, with a cosine of ``least`` or more."""
-    spark = rows.sparkSession
-    held = cut(usable(rows, vector_id, vector, position, dims))
-    by_id = Window.partitionBy("dir").orderBy("id")
-    few = cut(held.withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1))  # the ids that stand for a class
-    reps = few.filter("_n = 1")
-    total = reps.count()
-    if total == 0:
-        return spark.createDataFrame([], "id long, other long, cosine double, rank_no int")
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
-    tree = Tree(_matrix(sample.column("vec"), dims), total, 2 - 2 * least)
-    sent = spark.sparkContext.broadcast(tree)  # bounded by the sample
+def _sampled(rows: DataFrame, share: float) -> DataFrame:
+    """About ``share`` of the rows, by their ids."""
+    return rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
+
+
+def _fit(vectors: DataFrame, tree: Tree, total: int, depth: int, dims: int) -> None:
+    """Split the space into ``2 ** depth`` cells of about the same number of vectors."""
+    while len(tree.cuts) < depth:
+        first = len(tree.cuts)
+        levels = min(STEP_LEVELS, depth - first)
+        sent = vectors.sparkSession.sparkContext.broadcast(tree)  # eight bytes a node
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = sent.value
+            for b in batches:
+                p = _matrix(b.column(0), dims) @ t.directions
+                yield pa.RecordBatch.from_arrays([pa.array(t.home(p), pa.int64()), pa.array([x.tobytes() for x in p], pa.binary())], names=["node", "p"])
+
+        def split(key, table):
+            p = np.frombuffer(b"".join(table.column("p").to_pylist())).reshape(-1, DIRECTIONS)
+            return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "cuts": pa.array([np.concatenate(fit_levels(p, first, levels))], pa.list_(pa.float64()))})
+
+        rows = _sampled(vectors, PER_CELL * 2 ** (first + levels) / total).select("vec").mapInArrow(project, "node long, p binary")
+        found = {r.node: np.array(r.cuts) for r in rows.groupBy("node").applyInArrow(split, "node long, cuts array<double>").collect()}
+        none = np.zeros((1 << levels) - 1)
+        every = np.stack([found.get(n, none) for n in range(1 << first)])
+        for i in range(levels):
+            tree.cuts.append(every[:, (1 << i) - 1:(2 << i) - 1].ravel())
+
+
+def _load(vectors: DataFrame, tree: Tree, total: int, dims: int, asking: int) -> None:
+    """Divide each cell's visitors into blocks, by the visits that a sample of the rows makes with its bounds."""
+    share = min(1.0, PER_CELL * tree.cells / total)
+    sent = vectors.sparkSession.sparkContext.broadcast(tree)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value
+        for b in batches:
+            for s in range(0, len(b), 2048):
+                part = b.slice(s, 2048)
+                _, cell = t.visits(_matrix(part.column(0), dims) @ t.directions, part.column(1).to_numpy())
+                ids, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    visits = _sampled(vectors, share).select("vec", "bound").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row a cell
+    tree.blocks = np.ones(tree.cells, np.int64)
+    for r in visits:
+        tree.blocks[r.cell] = max(1, math.ceil(r.n / share / asking))
+
+
+def _salt(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def _in_cells(placed: DataFrame, parts: int, sent, dims: int, k: int, least: float, leaf: int) -> DataFrame:
+    """Search every cell: its points (role 0) and its queries (role 1; 2: both)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, rows = sent.value, list(batches)  # one cell
+        if not rows or not sum(map(len, rows)):
+            return
+        table = pa.Table.from_batches(rows)
+        role, ids, bound = (table.column(c).to_numpy() for c in ("role", "id", "bound"))
+        _, one = np.unique(np.stack([ids, role]), axis=1, return_index=True)  # rows repeated exactly
+        unit, role, ids, bound = _matrix(table.column("vec"), dims)[one], role[one], ids[one], bound[one]
+        p, q = role != 1, role != 0
+        a, b, c = search(t, unit[p], ids[p], unit[q], ids[q], bound[q], k, least, leaf)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+
+    # a partition for each cell: hashing would put several into one task
+    return placed.repartitionById(parts, F.col("cell").cast("int")).mapInArrow(run, "a long, b long, cosine double")
+
+
+_PLACED = "cell long, role byte, id long, vec binary, bound double"
+
+
+def _placed(cell, role, ids, vec, bound) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(role, pa.int8()), ids, vec, pa.array(bound, pa.float64())], names=["cell", "role", "id", "vec", "bound"])
+
+
+def _links(vectors: DataFrame, reps: DataFrame, total: int, dims: int, k: int, least: float, cell: int, leaf: int, asking: int) -> DataFrame:
+    """``a, b, cosine`` of the vectors found near each other; ``vectors``: ``id, pos, vec, dir``, of which those of ``reps`` (``id, pos, dir``) count."""
+    spark = vectors.sparkSession
+    tree = Tree(dims, 2 - 2 * least)
+    depth = max(0, math.ceil(math.log2(total / cell)))
+    mine = vectors.join(reps, ["id", "pos", "dir"], "left_semi")  # by broadcast while these few bytes a row are small enough
+    if depth:
+        _fit(mine, tree, total, depth, dims)
+        some = _sampled(mine, 2 * CALIBRATION / total).select("vec").limit(CALIBRATION).toArrow()
+        tree.calibrate(_matrix(some.column("vec"), dims) @ tree.directions)
+    sent = spark.sparkContext.broadcast(tree)  # eight bytes a node: one for ``cell`` vectors
+    radius2 = tree.radius2
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value
+        for b in batches:
+            own = t.home(_matrix(b.column(1), dims) @ t.directions)
+            yield _placed(own, np.full(len(b), 2), b.column(0), b.column(1), np.full(len(b), radius2))
+
+    found = _in_cells(mine.select("id", "vec").mapInArrow(at_home, _PLACED), tree.cells, sent, dims, k, least, leaf)
+    if not depth:
+        return found
+    found = cut(found)
+    reached = found.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("c")).filter(F.col("n") >= k).select("id", (2 - 2 * (F.col("c") - 1e-6)).alias("bound"))
+    asks = cut(reps.join(reached, "id", "left").select("id", "pos", "dir", F.coalesce(F.least("bound", F.lit(radius2)), F.lit(radius2)).alias("bound")))
+    mine = vectors.join(asks, ["id", "pos", "dir"])
+    _load(mine, tree, total, dims, asking)
+    sent = spark.sparkContext.broadcast(tree)
+    begins = np.cumsum(tree.blocks) - tree.blocks
+
+    def on_visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
         for whole in batches:
             for s in range(0, len(whole), 2048):
                 b = whole.slice(s, 2048)
-                row, cell, role = t.cells(b.column(0).to_numpy(), _matrix(b.column(1), dims))
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(role, pa.int8()), b.column(0).take(pick), b.column(1).take(pick)], names=["cell", "role", "id", "vec"])
+                p, bound = _matrix(b.column(1), dims) @ t.directions, b.column(2).to_numpy()
+                own = t.home(p)
+                copies = t.blocks[own]
+                point = np.repeat(np.arange(len(b)), copies)
+                block = np.arange(len(point)) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, other = t.visits(p, bound)
+                asked = begins[other] + _salt(b.column(0).to_numpy()[row]) % t.blocks[other]
+                pick = np.concatenate([point, row])
+                yield _placed(np.concatenate([begins[own[point]] + block, asked]), np.repeat([0, 1], [len(point), len(row)]), b.column(0).take(pa.array(pick)), b.column(1).take(pa.array(pick)), bound[pick])
 
-    def search(table):
-        t = sent.value
-        role, ids, vec = table.column("role").to_numpy(), table.column("id").to_numpy(), table.column("vec")
-        is_point = role == 0
-        unit = _matrix(vec, dims)
-        q, p, c = best_in_cell(t, unit[is_point], ids[is_point], unit[~is_point], ids[~is_point], k, least)
-        return pa.table({"a": pa.array(q, pa.int64()), "b": pa.array(p, pa.int64()), "cosine": pa.array(c, pa.float64())})
-
-    placed = reps.select("id", "vec").mapInArrow(place, "cell long, role byte, id long, vec binary")
-    found = placed.groupBy("cell").applyInArrow(search, "a long, b long, cosine double")
+    visited = mine.select("id", "vec", "bound").mapInArrow(on_visit, _PLACED)
+    return found.unionByName(_in_cells(visited, int(tree.blocks.sum()), sent, dims, k, least, leaf))
+
+
+def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims: int = 64, k: int = 5, least: float = 0.90, cell: int = CELL, leaf: int = LEAF, asking: int = ASKING) -> DataFrame:
+    """``id, other, cosine, rank_no``: up to ``k`` most similar vectors of every vector, with a cosine of ``least`` or more.
+
+    ``cell``: mean vectors of a task's cell, ``leaf``: points of a leaf, ``asking``: visitors of a task. They set costs, not results.
+    """
+    spark = rows.sparkSession
+    vectors = usable(rows, vector_id, vector, position, dims)
+    one = Window.partitionBy("id").orderBy("pos", "dir")
+    by_id = Window.partitionBy("dir").orderBy("id")
+    held = vectors.select("id", "pos", "dir").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    held = cut(held.withColumn("nth", F.row_number().over(by_id)).select("id", "pos", "dir", "nth"))
+    reps = held.filter("nth = 1").select("id", "pos", "dir")
+    total = reps.count()
+    if total == 0:
+        return spark.createDataFrame([], "id long, other long, cosine double, rank_no int")
+    found = _links(vectors, reps, total, dims, k, least, cell, leaf, asking)
     both = found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "cosine").select("x.a", "x.b", "cosine")
     both = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
@@ -243,11 +430,12 @@ def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims
         return d.withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= n)
 
     linked = first(both, k, "a", "b").drop("rank_no")
+    few = held.filter(F.col("nth") <= k + 1).select("id", "dir", "nth")  # the ids that stand for a class
     names = reps.select(F.col("id").alias("rep"), F.col("dir").alias("d"))
     # classes beside a class, then its own copies, as ids with a cosine
     near = linked.join(names.withColumnRenamed("rep", "b").withColumnRenamed("d", "bd"), "b").join(names.withColumnRenamed("rep", "a"), "a")
     others = near.join(few.select(F.col("dir").alias("bd"), F.col("id").alias("other")), "bd").select("d", "other", "cosine")
-    copied = few.filter("_n = 2").select(F.col("dir").alias("d"))
+    copied = few.filter("nth = 2").select(F.col("dir").alias("d"))
     own = few.select(F.col("dir").alias("d"), F.col("id").alias("other"), F.lit(1.0).alias("cosine")).join(copied, "d", "left_semi")
     listed = first(others.unionByName(own), k + 1, "d", "other").drop("rank_no")
     every = held.select("id", F.col("dir").alias("d")).join(listed, "d").filter("id <> other").select("id", "other", "cosine")

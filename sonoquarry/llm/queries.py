@@ -16,7 +16,7 @@ VERSION = "sr24000-c30x3s30-L6"
 def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The ranked neighbours of every theme."""
     rows = table(spark, sf, "theme_vectors").filter(F.col("embed_version") == VERSION)
-    found = neighbours.nearest(spread(rows.select("theme_id", "embedding", "ingest_pos")), "theme_id", "embedding", "ingest_pos", k=5, least=0.90)
+    found = neighbours.nearest(rows.select("theme_id", "embedding", "ingest_pos"), "theme_id", "embedding", "ingest_pos", k=5, least=0.90)
     return found.select(F.col("id").alias("theme_id"), F.col("other").alias("neighbour_id"), "cosine", "rank_no")
 
 
