@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import DataError
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -15,26 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage, as the cluster names it.
 
-    ``spark.checkpoint.dir`` wins, then a folder set on the context; only where neither is set
-    (tests, single machine) a temporary folder is made.
+    ``spark.checkpoint.dir`` wins, then a folder set on the context. Where neither is set, a local master (tests, a single machine) gets a
+    temporary folder; on a cluster that would be a folder which other machines don't see, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise DataError("a cluster needs a shared folder: set spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="sonoquarry-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: computed once, and safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table into the shared folder and read it back: computed once, safe when executors are lost, and later
+    scans read only the columns they need. The table is deleted when the application's file system closes."""
+    spark = df.sparkSession
+    target = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
