@@ -46,7 +46,7 @@ CELL, LEAF, ASKING = 32768, 512, 131072
 #: Sample rows per cell that the splits are fitted on, levels fitted at a time, rows that calibrate the stopping threshold.
 PER_CELL, STEP_LEVELS, CALIBRATION = 32, 10, 4096
 #: Probability that a neighbour's leaf isn't visited, and that its projection lies beyond the bound of all directions.
-LEAF_RISK, POINT_RISK = 0.01, 0.01
+LEAF_RISK, POINT_RISK = 0.005, 0.005
 _NOBODY = np.iinfo(np.int64).max
 
 
@@ -205,8 +205,10 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
         need[s:s + 1024] = np.where(np.isnan(n), np.inf, n)
     turn = np.argsort(need, axis=1, kind="stable").astype(np.int32)
     need = np.take_along_axis(need, turn, axis=1)
-    pp, pq = pp.astype(np.float32), pq.astype(np.float32)
-    pp2, pq2 = np.einsum("ij,ij->i", pp, pp), np.einsum("ij,ij->i", pq, pq)
+    # one product gives |q|^2 - 2 q p + |p|^2 less the chi-square bound of q
+    pq2, one = np.einsum("ij,ij->i", pq, pq), np.ones((max(len(pp), len(pq)), 1))
+    pp = np.hstack([-2 * pp, np.einsum("ij,ij->i", pp, pp)[:, None], one[:len(pp)]]).astype(np.float32)
+    pq = np.hstack([pq, one[:len(pq)], one[:len(pq)]]).astype(np.float32)
     bound = np.minimum(bound, tree.radius2)
     best = np.full((len(pq), k), -2.0)
     who = np.full((len(pq), k), _NOBODY, np.int64)
@@ -223,12 +225,11 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
             a, b = begin[mine[s]], end[mine[s]]
             for t in range(s, e, 8192):
                 q = active[t:min(t + 8192, e)]
-                near = pq[q] @ pp[a:b].T
-                near *= -2
-                near += pp2[a:b]
-                x, y = np.divmod(np.flatnonzero(near <= (bound[q] * tree.point_limit - pq2[q] + 1e-4)[:, None]), b - a)
+                left = pq[q]
+                left[:, -1] = pq2[q] - bound[q] * tree.point_limit - 1e-4  # what rounding may add
+                x, y = np.divmod(np.flatnonzero(left @ pp[a:b].T <= 0), b - a)
                 if counts is not None:
-                    counts.compared += near.size
+                    counts.compared += len(q) * (b - a)
                     counts.verified += len(x)
                 for u in range(0, len(x), 1 << 17):
                     i, p = q[x[u:u + (1 << 17)]], a + y[u:u + (1 << 17)]
@@ -278,17 +279,27 @@ def usable(rows: DataFrame, vector_id: str, vector: str, position: str, dims: in
     return kept.mapInArrow(pack, "id long, pos long, vec binary, dir binary")
 
 
-def _sampled(rows: DataFrame, share: float) -> DataFrame:
-    """About ``share`` of the rows, by their ids."""
-    return rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
+class _Source:
+    """The packed vectors that count, all or about a ``share`` of them by their ids (chosen before anything is packed)."""
 
+    def __init__(self, rows: DataFrame, vector_id: str, vector: str, position: str, dims: int):
+        self.rows, self.ident, self.args = rows, F.col(vector_id).cast("long"), (vector_id, vector, position, dims)
 
-def _fit(vectors: DataFrame, tree: Tree, total: int, depth: int, dims: int) -> None:
+    def packed(self, share: float = 1.0) -> DataFrame:
+        chosen = F.pmod(F.xxhash64(self.ident, F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+        return usable(self.rows.filter(chosen) if share < 1 else self.rows, *self.args)
+
+    def among(self, some: DataFrame, share: float = 1.0) -> DataFrame:
+        """Those of ``some`` (``id, pos, dir`` and what else is wanted of them)."""
+        return self.packed(share).join(some, ["id", "pos", "dir"])  # by broadcast while these few bytes a row are small enough
+
+
+def _fit(source: _Source, reps: DataFrame, tree: Tree, total: int, depth: int, dims: int) -> None:
     """Split the space into ``2 ** depth`` cells of about the same number of vectors."""
     while len(tree.cuts) < depth:
         first = len(tree.cuts)
         levels = min(STEP_LEVELS, depth - first)
-        sent = vectors.sparkSession.sparkContext.broadcast(tree)  # eight bytes a node
+        sent = reps.sparkSession.sparkContext.broadcast(tree)  # eight bytes a node
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = sent.value
@@ -300,7 +311,7 @@ def _fit(vectors: DataFrame, tree: Tree, total: int, depth: int, dims: int) -> N
             p = np.frombuffer(b"".join(table.column("p").to_pylist())).reshape(-1, DIRECTIONS)
             return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "cuts": pa.array([np.concatenate(fit_levels(p, first, levels))], pa.list_(pa.float64()))})
 
-        rows = _sampled(vectors, PER_CELL * 2 ** (first + levels) / total).select("vec").mapInArrow(project, "node long, p binary")
+        rows = source.among(reps, PER_CELL * 2 ** (first + levels) / total).select("vec").mapInArrow(project, "node long, p binary")
         found = {r.node: np.array(r.cuts) for r in rows.groupBy("node").applyInArrow(split, "node long, cuts array<double>").collect()}
         none = np.zeros((1 << levels) - 1)
         every = np.stack([found.get(n, none) for n in range(1 << first)])
@@ -308,10 +319,10 @@ def _fit(vectors: DataFrame, tree: Tree, total: int, depth: int, dims: int) -> N
             tree.cuts.append(every[:, (1 << i) - 1:(2 << i) - 1].ravel())
 
 
-def _load(vectors: DataFrame, tree: Tree, total: int, dims: int, asking: int) -> None:
+def _load(source: _Source, asks: DataFrame, tree: Tree, total: int, dims: int, asking: int) -> None:
     """Divide each cell's visitors into blocks, by the visits that a sample of the rows makes with its bounds."""
     share = min(1.0, PER_CELL * tree.cells / total)
-    sent = vectors.sparkSession.sparkContext.broadcast(tree)
+    sent = asks.sparkSession.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
@@ -322,7 +333,7 @@ def _load(vectors: DataFrame, tree: Tree, total: int, dims: int, asking: int) ->
                 ids, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
-    visits = _sampled(vectors, share).select("vec", "bound").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row a cell
+    visits = source.among(asks, share).select("vec", "bound").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row a cell
     tree.blocks = np.ones(tree.cells, np.int64)
     for r in visits:
         tree.blocks[r.cell] = max(1, math.ceil(r.n / share / asking))
@@ -357,15 +368,14 @@ def _placed(cell, role, ids, vec, bound) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(role, pa.int8()), ids, vec, pa.array(bound, pa.float64())], names=["cell", "role", "id", "vec", "bound"])
 
 
-def _links(vectors: DataFrame, reps: DataFrame, total: int, dims: int, k: int, least: float, cell: int, leaf: int, asking: int) -> DataFrame:
-    """``a, b, cosine`` of the vectors found near each other; ``vectors``: ``id, pos, vec, dir``, of which those of ``reps`` (``id, pos, dir``) count."""
-    spark = vectors.sparkSession
+def _links(source: _Source, reps: DataFrame, total: int, dims: int, k: int, least: float, cell: int, leaf: int, asking: int) -> DataFrame:
+    """``a, b, cosine`` of the vectors found near each other, of those in ``reps`` (``id, pos, dir``)."""
+    spark = reps.sparkSession
     tree = Tree(dims, 2 - 2 * least)
     depth = max(0, math.ceil(math.log2(total / cell)))
-    mine = vectors.join(reps, ["id", "pos", "dir"], "left_semi")  # by broadcast while these few bytes a row are small enough
     if depth:
-        _fit(mine, tree, total, depth, dims)
-        some = _sampled(mine, 2 * CALIBRATION / total).select("vec").limit(CALIBRATION).toArrow()
+        _fit(source, reps, tree, total, depth, dims)
+        some = source.among(reps, 2 * CALIBRATION / total).select("vec").limit(CALIBRATION).toArrow()
         tree.calibrate(_matrix(some.column("vec"), dims) @ tree.directions)
     sent = spark.sparkContext.broadcast(tree)  # eight bytes a node: one for ``cell`` vectors
     radius2 = tree.radius2
@@ -376,14 +386,13 @@ def _links(vectors: DataFrame, reps: DataFrame, total: int, dims: int, k: int, l
             own = t.home(_matrix(b.column(1), dims) @ t.directions)
             yield _placed(own, np.full(len(b), 2), b.column(0), b.column(1), np.full(len(b), radius2))
 
-    found = _in_cells(mine.select("id", "vec").mapInArrow(at_home, _PLACED), tree.cells, sent, dims, k, least, leaf)
+    found = _in_cells(source.among(reps).select("id", "vec").mapInArrow(at_home, _PLACED), tree.cells, sent, dims, k, least, leaf)
     if not depth:
         return found
     found = cut(found)
     reached = found.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("c")).filter(F.col("n") >= k).select("id", (2 - 2 * (F.col("c") - 1e-6)).alias("bound"))
     asks = cut(reps.join(reached, "id", "left").select("id", "pos", "dir", F.coalesce(F.least("bound", F.lit(radius2)), F.lit(radius2)).alias("bound")))
-    mine = vectors.join(asks, ["id", "pos", "dir"])
-    _load(mine, tree, total, dims, asking)
+    _load(source, asks, tree, total, dims, asking)
     sent = spark.sparkContext.broadcast(tree)
     begins = np.cumsum(tree.blocks) - tree.blocks
 
@@ -402,7 +411,7 @@ def _links(vectors: DataFrame, reps: DataFrame, total: int, dims: int, k: int, l
                 pick = np.concatenate([point, row])
                 yield _placed(np.concatenate([begins[own[point]] + block, asked]), np.repeat([0, 1], [len(point), len(row)]), b.column(0).take(pa.array(pick)), b.column(1).take(pa.array(pick)), bound[pick])
 
-    visited = mine.select("id", "vec", "bound").mapInArrow(on_visit, _PLACED)
+    visited = source.among(asks).select("id", "vec", "bound").mapInArrow(on_visit, _PLACED)
     return found.unionByName(_in_cells(visited, int(tree.blocks.sum()), sent, dims, k, least, leaf))
 
 
@@ -412,16 +421,16 @@ def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims
     ``cell``: mean vectors of a task's cell, ``leaf``: points of a leaf, ``asking``: visitors of a task. They set costs, not results.
     """
     spark = rows.sparkSession
-    vectors = usable(rows, vector_id, vector, position, dims)
+    source = _Source(rows, vector_id, vector, position, dims)
     one = Window.partitionBy("id").orderBy("pos", "dir")
     by_id = Window.partitionBy("dir").orderBy("id")
-    held = vectors.select("id", "pos", "dir").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    held = source.packed().select("id", "pos", "dir").withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     held = cut(held.withColumn("nth", F.row_number().over(by_id)).select("id", "pos", "dir", "nth"))
     reps = held.filter("nth = 1").select("id", "pos", "dir")
     total = reps.count()
     if total == 0:
         return spark.createDataFrame([], "id long, other long, cosine double, rank_no int")
-    found = _links(vectors, reps, total, dims, k, least, cell, leaf, asking)
+    found = _links(source, reps, total, dims, k, least, cell, leaf, asking)
     both = found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "cosine").select("x.a", "x.b", "cosine")
     both = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
