@@ -42,7 +42,7 @@ from ..session import cut
 
 DIRECTIONS = 16
 #: Mean vectors of a cell, points of a leaf in it, queries of a block.
-CELL, LEAF, ASKING = 32768, 512, 131072
+CELL, LEAF, ASKING = 32768, 1024, 131072
 #: Sample rows per cell that the splits are fitted on, levels fitted at a time, rows that calibrate the stopping threshold.
 PER_CELL, STEP_LEVELS, CALIBRATION = 32, 10, 4096
 #: Probability that a neighbour's leaf isn't visited, and that its projection lies beyond the bound of all directions.
