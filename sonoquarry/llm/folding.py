@@ -1,10 +1,10 @@
 """Vectorised folding of texts to words that survive changes of case, look, punctuation and mark-up.
 
-Letters are folded to their compatibility base letter in lower case, look-alikes of other scripts to the
-Latin letter; marks, zero-width characters, soft hyphens and apostrophes vanish; points, commas and
-colons between digits vanish; everything else that is no letter or digit separates words. Before that,
-tags of mark-up are blanked with their attributes and entities become the characters they stand for, escaped ones
-too. Names of unknown entities and bracketed note numbers are no words.
+Letters are folded to their base letter in lower case: look-alikes of other scripts (by code point, so before the case is dropped) and Latin
+letters in any dress (strokes, small capitals, mathematical, circled) to the plain Latin letter; marks, zero-width characters, soft hyphens
+and apostrophes vanish, as do hyphens that break a word at a line's end; points, commas and colons between digits vanish; everything else that is
+no letter or digit separates words. Before that, mark-up is blanked: tags with their attributes, comments, link targets, forum tags; entities
+become the characters they stand for, escaped ones too. Names of unknown entities and bracketed note numbers are no words.
 """
 
 from __future__ import annotations
@@ -19,15 +19,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Letters of other scripts that look like Latin ones, and ligatures.
-_LOOK = dict(zip("аеорсухіѕјкмтнвԁոοαενρτικ", "aeopcyxisjkmthbdnoaevptik"))
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# Letters of other scripts that look like Latin ones (Greek, Cyrillic, Armenian, Cherokee), and ligatures.
+_LOOK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαγεικνορτυχϲ", "ABEZHIKMNOPTYXCjayeikvoptuxc"))
+_LOOK |= dict(zip("АВЕКМНОРСТУХІЅЈҮҺԚԜӀЬаевкмнорстухіѕјүһԁԛԝӏьѵг", "ABEKMHOPCTYXISJYHQWIbaebkmhopctyxisjyhdqwlbvr"))
+_LOOK |= dict(zip("ՕՍՏԼօոսհցզյ", "OUSLonuhgqj"))
+_LOOK |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎩ", "ABCDEGHJKLMPRSTVWZY"))
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ß": "ss", "ẞ": "ss"}
 _APOSTROPHES = "'’‘`´ʼ＇"
 _BREAK, _VANISH = 0, 1  # codes below the first letter
-# A tag up to its closing '>' (one in quotes doesn't close it, unless a quote is left open), an entity.
-_TAG = re.compile(r"""</?[A-Za-z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|</?[A-Za-z/][^<>]*>""")
+_LATIN = re.compile(r"LATIN (?:CAPITAL|SMALL|LETTER SMALL CAPITAL)(?: LETTER)?(?: SCRIPT| DOTLESS)? ([A-Z])(?: WITH .*)?$")
+# A tag up to its closing '>' (one in quotes doesn't close it, unless a quote is left open) or a comment, an entity.
+_TAG = re.compile(r"""</?[A-Za-z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|</?[A-Za-z/][^<>]*>|<!--.*?-->""", re.S)
+# Targets of links (the shown text stays), pictures, forum tags.
+_PICTURE = re.compile(r"""!\[([^\[\]]*)\]\([^()\s]*(?:\s+["'][^"']*["'])?\)""")
+_LINK = re.compile(r"""(?<!!)\[([^\[\]]*)\]\(<?(?:[a-z][a-z0-9+.-]*:|[/#.]|www\.)[^()\s]*(?:\([^()\s]*\)[^()\s]*)?(?:\s+["'][^"']*["'])?\)""", re.I)
+_WIKI = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]")
+_FORUM = re.compile(r"\[/?(?:b|i|u|s|url|img|quote|color|size|font|code|list|spoiler|center|sup|sub|\*)(?:=[^\[\]]*)?\]", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,31};)")
-_MARKED = r"<[A-Za-z/]|&[#A-Za-z]"  # what either begins with
+_MARKED = r"<[A-Za-z/!]|&[#A-Za-z]|\]\(|\[\[|\[/?[A-Za-z*]+[\]=]"  # what any of these holds
 #: Words from which on a tag may hold a passage, and what keeps such tags apart from what stands before them.
 _LONG, _APART = 12, " ꙮꙮ ꙮꙮ ꙮꙮ ꙮꙮ "
 
@@ -46,9 +55,11 @@ def folds() -> np.ndarray:
         kind = unicodedata.category(ch)
         if kind[0] == "M" or kind == "Cf" or ch in _APOSTROPHES:
             table[c] = _VANISH
-        elif kind[0] == "L" or kind == "Nd" or kind == "So" and ch != unicodedata.normalize("NFKD", ch):
-            base = unicodedata.normalize("NFKD", ch)[0].lower()[0]
+        elif kind[0] == "L" or kind == "Nd" or kind == "So" and (ch != unicodedata.normalize("NFKD", ch) or _LATIN.search(unicodedata.name(ch, ""))):
+            base = unicodedata.normalize("NFKD", ch)[0]
             base = _LOOK.get(base, base)
+            named = _LATIN.search(unicodedata.name(base, ""))
+            base = (named.group(1) if named else base).lower()[0]
             table[c] = ord(base) if base.isalnum() else _BREAK
     return table
 
@@ -82,9 +93,15 @@ def _without_tags(text: str) -> str:
     return _APART.join([text, *aside]) if aside else text
 
 
+def _without_targets(text: str) -> str:
+    if "](" in text:
+        text = _LINK.sub(r" \1 ", _PICTURE.sub(lambda m: f" {m.group(1)} " if len(m.group(1).split()) >= _LONG else " ", text))
+    return _FORUM.sub("", _WIKI.sub(r" \1 ", text)) if "[" in text else text
+
+
 def unmark(text: str) -> str:
-    """A text without tags and entities. What long attributes say (descriptions of images) goes behind the text."""
-    text = _without_tags(text)
+    """A text without tags, link targets and entities. What long attributes say (descriptions of images) goes behind the text."""
+    text = _without_targets(_without_tags(text))
     if "&" in text:
         for _ in range(2):  # entities are at times escaped again
             text = _ENTITY.sub(_character, text)
@@ -112,13 +129,14 @@ class Words:
         cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         row_at = np.searchsorted(lead, offsets - offsets[0])
-        if ((cp >= 0xFB00) & (cp <= 0xFB06)).any():
+        if len(cp) and cp.max() >= 0xDF and np.isin(cp, [ord(a) for a in _LIGATURES]).any():
             cp, row_at = self._expand(cp, row_at)
         folded = folds()[cp]
         digit = (folded >= 0x30) & (folded <= 0x39)
         if len(cp) > 2:  # a point, comma or colon between digits
             mid = digit[:-2] & digit[2:] & np.isin(cp[1:-1], [0x2E, 0x2C, 0x3A])
             folded[1:-1][mid] = _VANISH
+            self._join_lines(cp, folded, digit)
         stay = folded != _VANISH
         keep_at = np.concatenate([[0], np.cumsum(stay)])
         row_at = keep_at[row_at]
@@ -143,6 +161,18 @@ class Words:
         self.coded = arr.dictionary_encode()
         self.row_first = np.searchsorted(start, row_at)
 
+    @staticmethod
+    def _join_lines(cp: np.ndarray, folded: np.ndarray, digit: np.ndarray) -> None:
+        """A hyphen between a letter and a line's end that a letter follows: both vanish."""
+        letter = (folded > _VANISH) & ~digit
+        for end in ([0x0A], [0x0D, 0x0A]):
+            n = len(end) + 1
+            at = 1 + np.flatnonzero(np.isin(cp[1:-n], [0x2D, 0x2010]) & letter[:-n - 1] & letter[n + 1:])
+            for k, c in enumerate(end, 1):
+                at = at[cp[at + k] == c]
+            for k in range(n):
+                folded[at + k] = _VANISH
+
     @staticmethod
     def _expand(cp: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.ones(len(cp), np.int64)

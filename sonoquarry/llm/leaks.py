@@ -1,20 +1,23 @@
 """Evaluation texts that leak into training texts (problem 7), by latent semantic retrieval.
 
-1. Texts are folded to words (see ``folding``); each document is kept as the ids of the words that
-   the items use, written once to the shared checkpoint folder.
+1. Texts are folded to words (see ``folding``); each document is encoded once as the ids of the words that the items
+   use, whatever their number, and written to the shared folder.
 2. Document frequencies are counted over all documents.
-3. The items' TF-IDF passages get a randomised SVD whose products are summed over the partitions
-   of the passages; the right vectors map any passage to a latent space of low rank.
+3. The items' TF-IDF passages, made where the items are read, get a randomised SVD whose products are summed over the
+   partitions; the right vectors map any passage to a latent space of low rank.
 4. Every window of every document is mapped there and compared by cosine with all item passages.
    Windows overlap so that a leak of ``least`` words lies in one of them but for two words at most.
 5. Each pair found is checked: first whether enough of the item's words stand close together, then
    by a longest common subsequence in the limits of the definition: at least ``least`` item words in
    order, at most one in eight changed, added or dropped.
+6. Where items have answers (``item_answer``), the closest of the remaining pairs are looked at as paraphrases: the longest common subsequence
+   without limits must hold a share of the window, and the answer's words must stand in the stretch one behind the other.
 
 A leak always contains a part of at most 31 item words with at most three edits (cut it into spans of
 16 and one last longer one: were every span over its share, so would be the whole), so the check
-looks at those only. Items are taken in blocks of about ``block`` items and ``block_chars`` characters so that what is
-sent to every executor has a bound; each block is a pass over the word ids. Nothing grows with the corpus outside Spark.
+looks at those only, and items longer than ``PART`` words are searched as parts that overlap by more than that. Item parts are taken in blocks
+of ``passages_at_once`` passages, which bounds what is sent to every executor; each block is a pass over the encoded ids. Items of more than ``group_chars``
+characters in all are encoded against in groups. Nothing grows with the corpus outside Spark.
 
 Defined results: null, empty and short texts and items leak nothing. Repeated documents each count, as do items
 with the same text. Rows without an id are left out. Empty inputs give an empty result.
@@ -36,8 +39,10 @@ from .pretokens import slices
 #: Words in a window and between the starts of neighbouring windows (documents, items).
 WINDOW, STEP, ITEM_STEP = 24, 12, 8
 RANK, COSINE = 128, 0.60
-#: Words beside a window that the check looks at.
-MARGIN = 24
+#: Words beside a window that the check looks at; words of an item's part and those that neighbouring parts share.
+MARGIN, PART, SHARED = 24, 256, 40
+#: A paraphrase's least cosine, and the share of a window's words that it has in common with the item in order.
+PARAPHRASE, COMMON = 0.75, 0.5
 _NONE = -99
 
 
@@ -82,7 +87,8 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int, rounds: int = 2,
                 for s in range(0, len(lists), 512):
                     a = weigh([np.array(x, np.int64) for x in lists[s:s + 512]], idf)
                     total += a.T @ (a @ q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(words), pa.int32()), pa.array(list(total), pa.list_(pa.float32()))], names=["word", "v"])
+            used = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float32()))], names=["word", "v"])
 
         parts = rows.mapInArrow(run, "word int, v array<float>")
         out = np.zeros((words, q.shape[1]))
@@ -137,19 +143,41 @@ def leaked(region: np.ndarray, items: np.ndarray, least: int = 16) -> np.ndarray
     return done
 
 
+def common(region: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each stretch and item (padded with different negative ids)."""
+    got = np.zeros((len(items), items.shape[1] + 1), np.int16)
+    for x in region.T:
+        same = items == x[:, None]
+        got[:, 1:] = np.maximum.accumulate(np.where(same, got[:, :-1] + 1, got[:, 1:]), axis=1)
+    return got[:, -1]
+
+
+def answered(region: np.ndarray, answer: np.ndarray) -> bool:
+    """Whether the words of an answer stand in a stretch, one behind the other."""
+    n = len(answer)
+    if not n or n > len(region):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(region, n) == answer).all(axis=1).any())
+
+
+def in_parts(ids: np.ndarray) -> list[np.ndarray]:
+    """An item's words in parts of ``PART`` that share ``SHARED``: any leak's decisive span lies in one of them."""
+    return [ids[a:a + PART] for a in range(0, max(len(ids) - SHARED, 1), PART - SHARED)]
+
+
 class Search:
-    """The part of the search that runs on one batch of documents, for one block of items."""
+    """The part of the search that runs on one batch of documents, for one block of item parts."""
 
-    def __init__(self, item_ids: list[np.ndarray], vectors: np.ndarray, idf: np.ndarray, least: int, cosine: float):
-        self.least, self.cosine = least, cosine
+    def __init__(self, item_ids: list[np.ndarray], vectors: np.ndarray, idf: np.ndarray, least: int, cosine: float, answers: list[np.ndarray] | None = None):
+        self.least, self.cosine, self.answers = least, cosine, answers
         words = len(idf)
         parts, self.owner = passages(item_ids)
         latent = weigh(parts, idf) @ vectors
         self.latent = np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).T)
         self.map = np.vstack([vectors * idf[:, None], np.zeros((1, vectors.shape[1]), np.float32)]).astype(np.float32)
-        self.has = np.zeros((len(item_ids), words + 1), bool)  # last column: other words
-        for k, ids in enumerate(item_ids):
-            self.has[k, ids] = True
+        # the words of each part, as sorted keys
+        self.words = words + 1
+        self.held = np.unique(np.concatenate([k * self.words + ids.astype(np.int64) for k, ids in enumerate(item_ids)]))
         self.items = np.full((len(item_ids), max(map(len, item_ids))), -3, np.int32)
         for k, ids in enumerate(item_ids):
             self.items[k, :len(ids)] = ids
@@ -172,8 +200,9 @@ class Search:
         rich = held[stop] - held[start] >= self.least - 5
         row, start, stop = row[rich], start[rich], stop[rich]
         found = [], [], []
-        for s in range(0, len(row), 8192):
-            a, b = start[s:s + 8192], stop[s:s + 8192]
+        step = max(256, min(8192, (1 << 25) // self.latent.shape[1]))
+        for s in range(0, len(row), step):
+            a, b = start[s:s + step], stop[s:s + step]
             latent = np.zeros((len(a), self.map.shape[1]), np.float32)
             for k in range(WINDOW):
                 at = a + k
@@ -185,11 +214,11 @@ class Search:
             found[2].append(self.owner[j].astype(np.int64))
         return tuple(np.concatenate(x) for x in found) if found[0] else (none, none, none)
 
-    def pairs(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows and items (two columns, each pair once) of the leaks among the candidates."""
+    def pairs(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and item parts (two columns, each pair once) of the leaks among the candidates, and of the paraphrases."""
         row, start, item = self.candidates(ids, first)
         keys = np.unique(np.stack([row, start, item], 1), axis=0) if len(row) else np.zeros((0, 3), np.int64)
-        hits = []
+        hits, told = [], []
         span = WINDOW + 2 * MARGIN
         offset = np.arange(-MARGIN, WINDOW + MARGIN)
         for s in range(0, len(keys), 65536):
@@ -197,18 +226,34 @@ class Search:
             at = a[:, None] + offset
             inside = (at >= first[r][:, None]) & (at < first[r + 1][:, None])
             region = np.where(inside, ids[np.clip(at, 0, len(ids) - 1)], -1)
-            near = self.has[k[:, None], region]
+            wanted = k[:, None] * self.words + region
+            near = (region >= 0) & (self.held[np.minimum(np.searchsorted(self.held, wanted), len(self.held) - 1)] == wanted)
             count = np.concatenate([np.zeros((len(k), 1), np.int16), np.cumsum(near, axis=1, dtype=np.int16)], axis=1)
             size = self.least + 2
             dense = (count[:, size:] - count[:, :-size]).max(axis=1) >= self.least - 2 if span >= size else near.any(1)
             hits.append((r[dense], k[dense], region[dense]))
+            if self.answers is not None:
+                told.append(self._told(r, k, region))
         if not hits:
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         r, k, region = (np.concatenate(x) for x in zip(*hits))
         good = np.zeros(len(r), bool)
         for s in range(0, len(r), 512):
             good[s:s + 512] = leaked(region[s:s + 512], self.items[k[s:s + 512]], self.least)
-        return np.unique(np.stack([r[good], k[good]], 1), axis=0)
+        return np.unique(np.stack([r[good], k[good]], 1), axis=0), np.concatenate(told) if told else np.zeros((0, 2), np.int64)
+
+    def _told(self, r: np.ndarray, k: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """Of candidates: those that have enough in common with the item and hold its answer."""
+        window = region[:, MARGIN:MARGIN + WINDOW]
+        latent = self.map[window].sum(axis=1)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
+        close = np.zeros(len(k))
+        np.maximum.at(close, np.arange(len(k)), [float((latent[i] @ self.latent[:, self.owner == x]).max()) for i, x in enumerate(k.tolist())])
+        own = [i for i in np.flatnonzero(close >= PARAPHRASE).tolist() if answered(region[i], self.answers[k[i]])]
+        if not own:
+            return np.zeros((0, 2), np.int64)
+        enough = common(window[own], self.items[k[own]]) >= COMMON * (window[own] > -2).sum(axis=1)
+        return np.stack([r[own], k[own]], 1)[enough]
 
 
 def _word_ids(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
@@ -251,47 +296,74 @@ def _frequencies(coded: DataFrame, words: int) -> np.ndarray:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    *, least: int = 16, rank: int = RANK, cosine: float = COSINE, block: int = 2000, block_chars: int = 4_000_000,
+    *, item_answer: str | None = None, least: int = 16, rank: int = RANK, cosine: float = COSINE, passages_at_once: int = 65536, group_chars: int = 16_000_000,
 ) -> DataFrame:
-    """``doc_id, item_id`` of every document that holds a passage of an item (see the module's text)."""
+    """``doc_id, item_id`` of every document that holds a passage of an item (see the module's text).
+
+    With ``item_answer``, a column of ``items``, also ``kind``: ``passage``, or ``paraphrase`` for a rewritten passage with the item's answer.
+    """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).filter("doc_id is not null")
-    held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null")
-    size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size.n // block), -(-size.chars // block_chars))
+    answer = F.col(item_answer).cast("string") if item_answer else F.lit(None).cast("string")
+    held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"), answer.alias("answer")).filter("item_id is not null and text is not null")
+    groups = max(1, -(-(held.agg(F.sum(F.length("text"))).first()[0] or 0) // group_chars))
     found = None
-    for b in range(blocks):
-        own = held.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else held
-        rows = own.orderBy("item_id", "text").collect()
-        known, item_ids = vocabulary([r.text for r in rows])
-        pick = [k for k, ids in enumerate(item_ids) if len(ids) >= least]
-        if not pick:
-            continue
-        part = _block(d, [rows[k].item_id for k in pick], [item_ids[k] for k in pick], known, least, rank, cosine)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct() if found is not None else spark.createDataFrame([], "doc_id long, item_id long")
-
-
-def _block(d: DataFrame, names: list[int], item_ids: list[np.ndarray], known: dict[bytes, int], least: int, rank: int, cosine: float) -> DataFrame:
+    for g in range(groups):
+        own = held.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) if groups > 1 else held
+        for part in _group(d, own, least, rank, cosine, passages_at_once, item_answer is not None):
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "doc_id long, item_id long, kind string")
+    return found.groupBy("doc_id", "item_id").agg(F.min("kind").alias("kind")) if item_answer else found.select("doc_id", "item_id").distinct()
+
+
+def _group(d: DataFrame, items: DataFrame, least: int, rank: int, cosine: float, at_once: int, with_answers: bool) -> Iterator[DataFrame]:
+    """One encoding of the documents, and a search for each block of the group's item parts."""
     spark = d.sparkSession
+    rows = items.orderBy("item_id", "text").collect()  # bounded by ``group_chars``
+    known, both = vocabulary([r.text for r in rows] + [r.answer for r in rows])
+    whole, answers = both[:len(rows)], both[len(rows):]
+    parts, names, told = [], [], []
+    for r, ids, answer in zip(rows, whole, answers):
+        for part in in_parts(ids) if len(ids) >= least else ():
+            parts.append(part)
+            names.append(r.item_id)
+            told.append(answer)
+    if not parts:
+        return
     coded = cut(_word_ids(d, known))
     counts = _frequencies(coded, len(known))
     idf = (np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1).astype(np.float32)
-    parts, _ = passages(item_ids)
-    rows = spark.createDataFrame([(p.tolist(),) for p in parts], "ids array<int>").repartition(min(8, spark.sparkContext.defaultParallelism))
-    vectors = randomised_svd(rows, idf, rank)
+    vectors = randomised_svd(cut(_passages(items, spark.sparkContext.broadcast(known), least)), idf, rank)
     kind = np.int16 if len(known) < 32767 else np.int32
-    made = spark.sparkContext.broadcast((item_ids, vectors, idf, names))  # bounded by the block of items
-
+    sizes = np.cumsum([len(window_starts(len(p), ITEM_STEP)) for p in parts])
+    block = (sizes - 1) // at_once
+    for b in np.unique(block):
+        pick = np.flatnonzero(block == b)
+        made = spark.sparkContext.broadcast(([parts[k] for k in pick], [told[k] for k in pick] if with_answers else None, [names[k] for k in pick], vectors, idf))  # bounded by the block
+
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            ids_of, answers_of, own, v, w = made.value
+            search, own = Search(ids_of, v, w, least, cosine, answers_of), np.array(own, np.int64)
+            for batch in batches:
+                for rows in slices(batch, 1, 1 << 20):
+                    lists = rows.column(1)
+                    sizes = np.array([len(x) // np.dtype(kind).itemsize for x in lists.to_pylist()], np.int64)
+                    ids = np.frombuffer(b"".join(lists.to_pylist()), kind).astype(np.int64)
+                    for name, got in zip(("passage", "paraphrase"), search.pairs(ids, np.concatenate([[0], np.cumsum(sizes)]))):
+                        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(got[:, 0])), pa.array(own[got[:, 1]], pa.int64()), pa.array([name] * len(got), pa.string())], names=["doc_id", "item_id", "kind"])
+
+        yield coded.filter("doc_id is not null").mapInArrow(run, "doc_id long, item_id long, kind string")
+
+
+def _passages(items: DataFrame, known, least: int) -> DataFrame:
+    """``ids array<int>``: the passages of all item parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, v, w, own = made.value
-        search, own = Search(ids_of, v, w, least, cosine), np.array(own, np.int64)
         for b in batches:
-            for rows in slices(b, 1, 1 << 20):
-                lists = rows.column(1)
-                sizes = np.array([len(x) // np.dtype(kind).itemsize for x in lists.to_pylist()], np.int64)
-                ids = np.frombuffer(b"".join(lists.to_pylist()), kind).astype(np.int64)
-                got = search.pairs(ids, np.concatenate([[0], np.cumsum(sizes)]))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(got[:, 0])), pa.array(own[got[:, 1]], pa.int64())], names=["doc_id", "item_id"])
-
-    return coded.filter("doc_id is not null").mapInArrow(run, "doc_id long, item_id long")
+            words = Words(b.column(0))
+            ids = words.ids(known.value)
+            whole = [ids[a:e] for a, e in zip(words.row_first, words.row_first[1:]) if e - a >= least]
+            made, _ = passages([p for w in whole for p in in_parts(w)])
+            yield pa.RecordBatch.from_arrays([pa.array([p.tolist() for p in made], pa.list_(pa.int32()))], names=["ids"])
+
+    return items.select("text").mapInArrow(run, "ids array<int>")

@@ -94,7 +94,7 @@ def test_blocks_of_items_give_the_same(spark):
     items = [(i, " ".join(filler(rng, 30))) for i in range(7)]
     docs = [(i, " ".join(filler(rng, 20)) + " " + items[i % 7][1] + " " + " ".join(filler(rng, 20))) for i in range(12)]
     d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert rows(leaks.find_leaks(d, e, block=2)) == rows(leaks.find_leaks(d, e)) == sorted(((i, i % 7) for i in range(12)), key=repr)
+    assert rows(leaks.find_leaks(d, e, passages_at_once=5)) == rows(leaks.find_leaks(d, e, group_chars=300)) == rows(leaks.find_leaks(d, e)) == sorted(((i, i % 7) for i in range(12)), key=repr)
 
 
 def test_randomised_svd(spark):
@@ -133,6 +133,10 @@ def folded(*texts):
     ("&lt;span class=&quot;hl&quot;&gt;i&lt;/span&gt; j", "i j"),
     ("x < y and z > w, a <|end|> b", "x y and z w a end b"),
     ("x <y and what follows here is still a whole sentence with z> w", "x and what follows here is still a whole sentence with z w"),
+    ("a [b](https://x.org/c-d_(e)?f=g \"h i\") ![j](k.png) [l](#m) n(o) [p] (q)", "a b l n o p q"),
+    ("[b]a[/b] [url=http://x.y/z]b[/url] [[Target page|c]] [[d]] <!-- e --> f", "a b c d f"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ \u0420\u0435\u0445 \u04bb\u0456 \u0585\u0578 Ørsted \u0141\u00f3d\u017a ᴋᴀɴᴏʀ 🅱", "abezhikmnoptyx pex hi on orsted lodz kanor b"),
+    ("Stra\u00dfe STRASSE tsop-\nonpefa some-\r\nthing 3-\n4 a - b well-known", "strasse strasse tsoponpefa something 3 4 a b well known"),
     ("<b>Q</b>&amp;A R&D AT&T; <b unclosed", "q a r d at unclosed"),
 ])
 def test_markup_and_entities_are_no_words(text, words):
@@ -153,3 +157,46 @@ def test_leaks_under_attributes_and_entities(spark):
         " ".join(filler(rng, 30) + [f'<img src="x.png" alt="{" ".join(part)}">'] + filler(rng, 30)), " ".join(ITEM[2:10] + ['<span class="hl">'] + filler(rng, 8) + ["</span>"] + ITEM[10:18]),
     ]
     assert find(spark, list(enumerate(docs)), [(1, item), (2, " ".join(ITEM))]) == [(0, 1), (1, 2), (2, 2)]
+
+
+def test_disguises_of_every_fourth_word(spark):
+    rng = random.Random(5)
+    part = ITEM[3:21]
+    greek = str.maketrans("ABEHIKMNOPTXYZ", "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖ")
+    docs = [
+        [f'<span class="hl">{p}</span>' if i % 4 == 0 else p for i, p in enumerate(part)], [f"[{p}](https://x.org/a/b-{i})" if i % 5 == 0 else p for i, p in enumerate(part)],
+        [p.upper().translate(greek) for p in part], [f"[url=http://x.y/z]{p}[/url]" if i % 4 == 0 else p for i, p in enumerate(part)], [p[:2] + "-\n" + p[2:] if i % 3 == 0 else p for i, p in enumerate(part)],
+    ]
+    texts = [(i, " ".join(filler(rng, 30) + d + filler(rng, 30))) for i, d in enumerate(docs)]
+    assert find(spark, texts, [(1, " ".join(ITEM))]) == [(i, 1) for i in range(len(docs))]
+
+
+def test_long_items_are_searched_whole(spark):
+    rng = random.Random(6)
+    words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(900)]
+    docs = [(a, " ".join(filler(rng, 20) + words[a:a + 16] + filler(rng, 20))) for a in range(0, 884, 13)]
+    assert find(spark, docs, [(1, " ".join(words))]) == sorted(((a, 1) for a, _ in docs), key=repr)
+    assert all(any((p[i:i + 34] == np.arange(900)[a:a + 34]).all() for p in leaks.in_parts(np.arange(900)) for i in range(len(p) - 33)) for a in range(0, 866, 7))
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 6, (20, 15)), rng.integers(0, 6, (20, 12))
+    for x, y, got in zip(a, b, leaks.common(a, b)):
+        t = np.zeros((16, 13), int)
+        for i in range(15):
+            for j in range(12):
+                t[i + 1, j + 1] = t[i, j] + 1 if x[i] == y[j] else max(t[i, j + 1], t[i + 1, j])
+        assert got == t[-1, -1]
+
+
+def test_paraphrases_need_the_answer(spark):
+    rng = random.Random(7)
+    item, answer = ITEM[:24], ["kanorto", "lovelri"]
+    told = [p for i, p in enumerate(item) if i % 4 != 1]  # too much is changed for a passage
+    told = [x for i, p in enumerate(told) for x in ([p, rng.choice(WORDS[:9])] if i % 6 == 0 else [p])]
+    docs = [(1, item), (2, told[:9] + answer + told[9:]), (3, told), (4, told[:9] + answer[:1] + told[9:]), (5, answer)]
+    d = spark.createDataFrame([(i, " ".join(filler(rng, 30) + w + filler(rng, 30))) for i, w in docs], "doc_id long, text string")
+    e = spark.createDataFrame([(9, " ".join(item), " ".join(answer)), (8, " ".join(filler(rng, 30)), None)], "item_id long, text string, answer string")
+    assert rows(leaks.find_leaks(d, e, item_answer="answer")) == [(1, 9, "passage"), (2, 9, "paraphrase")]
+    assert rows(leaks.find_leaks(d, e)) == [(1, 9)]
