@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import spread, table
@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "candidate_scores")
-    return topn.top_n(rows, "seed_theme_id", "theme_id", "final", unique="audio_id", cap="mal_id", n=10, per_cap=5)
+    return topn.top_n(rows, "seed_theme_id", "theme_id", "final", unique="audio_id", cap="mal_id", n=10, per_cap=5, exclude_self=True)
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +61,18 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(_docs(spark, sf), limit=512, overlap=64, with_text=False).filter("piece_no = 1").select("doc_id")
 
 
+def p8_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every document: whether its pieces stay within the limit, begin and follow one another as they should, and share the overlap."""
+    p = splitting.split(_docs(spark, sf), limit=512, overlap=64, with_text=False)
+    w = Window.partitionBy("doc_id").orderBy("piece_no")
+    before = p.withColumn("end_before", F.lag("end_token").over(w)).withColumn("n_before", F.lag("n_tokens").over(w)).withColumn("nth", F.row_number().over(w))
+    shared = F.coalesce(F.col("end_before") - F.least("n_before", F.lit(64)), F.lit(0))
+    return before.groupBy("doc_id").agg(
+        F.every(F.col("n_tokens").between(1, 512) & (F.col("n_tokens") == F.col("end_token") - F.col("start_token"))).alias("within_limit"),
+        F.every((F.col("piece_no") == F.col("nth") - 1) & (F.col("end_token") > F.coalesce("end_before", F.lit(0)))).alias("in_order"), F.every(F.col("start_token") == shared).alias("overlaps"),
+    )
+
+
 def p8_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     """The texts put together again from their pieces' new parts."""
     return splitting.rebuild(splitting.split(_docs(spark, sf), limit=512, overlap=64, with_text=False, with_new=True))
@@ -72,7 +84,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
-    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_rebuilt": p8_rebuilt,
+    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_ranges": p8_ranges, "p8_rebuilt": p8_rebuilt,
 }
 
 _P2 = f"""
@@ -92,6 +104,7 @@ a as (select * from r qualify audio_id is null or row_number() over (partition b
 c as (select * from a qualify mal_id is null or row_number() over (partition by seed_theme_id, mal_id order by final desc, theme_id, audio_id nulls last, n) <= 5),
 k as (select *, row_number() over (partition by seed_theme_id order by final desc, theme_id, audio_id nulls last, n) as rank_no from c)
 select seed_theme_id, rank_no::int as rank_no, theme_id from k where rank_no <= 10 and seed_theme_id is not null""",
+    "p8_ranges": "select doc_id, true as within_limit, true as in_order, true as overlaps from documents where text <> ''",
     "p8_rebuilt": "select doc_id, text from documents where text <> ''",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

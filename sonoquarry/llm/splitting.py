@@ -40,14 +40,77 @@ _ENDS_WIDE = "。！？"
 _CLAUSE = ",;:—–"
 _CLAUSE_WIDE = "、，；："
 _CLOSERS = "\"'”’»)]」』）】"
+# Tags that begin or end a block of text, abbreviations that a name follows, and a number.
+_BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+_SHORT = ("mr", "mrs", "ms", "dr", "prof", "rev", "hon", "st", "mt", "ft", "feat", "vs", "cf", "ca", "approx", "gen", "col", "capt", "sgt", "lt", "gov", "sen", "rep", "messrs")
+_NUMBERED = ("no", "nr", "nos", "vol", "fig", "ep", "ch", "pp", "op", "sec", "eq", "art")
 
 
 def _codes(chars: str) -> np.ndarray:
     return np.array([ord(c) for c in chars], np.uint32)
 
 
+def _word_code(letters: np.ndarray) -> np.ndarray:
+    """Numbers for words of at most 6 letters in lower case (rows of code points, 0 before the word)."""
+    low = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.int64)
+    digit = np.where((low >= 97) & (low <= 122), low - 96, np.where(low == 0, 0, 31))
+    return digit @ (32 ** np.arange(letters.shape[1] - 1, -1, -1, dtype=np.int64))
+
+
+def after_blocks(batch: Batch) -> np.ndarray:
+    """Whether each character closes a tag that begins or ends a block (or an inline tag straight behind one)."""
+    cp = batch.cp
+    out = np.zeros(len(cp), bool)
+    close = np.flatnonzero(cp == ord(">"))
+    if not len(close):
+        return out
+    place = np.arange(len(cp))
+    opened = np.maximum.accumulate(np.where(cp == ord("<"), place, -1))[close]
+    first = batch.doc_at[np.searchsorted(batch.doc_at, close, "right") - 1]
+    good = (opened >= first) & (opened > np.append(-1, close[:-1])) & (close - opened < 4096)
+    last, flagged = -1, False
+    for a, b in zip(opened[good].tolist(), close[good].tolist()):
+        head = "".join(map(chr, cp[a + 1:min(b, a + 14)].tolist()))
+        name = head.lstrip("/").split(" ")[0].split("/")[0].split("\n")[0]
+        if not name[:1].isalpha():
+            continue  # a comparison or an arrow
+        inner = cp[a + 1:b]
+        if " " in head.strip("/ ") and not (inner == ord("=")).any():
+            continue
+        flagged = name.lower() in _BLOCKS or flagged and a == last + 1
+        last = b
+        out[b] = flagged
+    return out
+
+
+def _abbreviated(batch: Batch, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of full stops: whether an initial or a known abbreviation stands before, and whether a dotted one (p.m.) does."""
+    cp = batch.cp
+    letter = classes()[cp] == 0
+    place = np.arange(len(cp))
+    edge = np.where(letter, -1, place)
+    begins = batch.doc_at[:-1][batch.doc_at[:-1] < len(cp)]
+    edge[begins] = np.where(letter[begins], begins - 1, begins)
+    gap = np.maximum.accumulate(edge)[np.maximum(dot - 1, 0)]
+    size = dot - 1 - gap
+    back = dot[:, None] - np.arange(6, 0, -1)
+    word = np.where(back > gap[:, None], cp[np.maximum(back, 0)], 0)
+    code = _word_code(word)
+
+    def among(words: tuple[str, ...]) -> np.ndarray:
+        return np.isin(code, _word_code(np.array([[0] * (6 - len(w)) + [ord(c) for c in w] for w in words])))
+
+    number = classes()[cp[np.minimum(dot + 2, len(cp) - 1)]] == 1
+    dotted = (size == 1) & (gap >= 1) & (cp[np.maximum(gap, 0)] == ord(".")) & letter[np.maximum(gap - 1, 0)]
+    return ((size == 1) & ~dotted) | (size > 1) & (size <= 6) & (among(_SHORT) | among(_NUMBERED) & number), dotted
+
+
 def strengths(batch: Batch) -> np.ndarray:
-    """Strength of the boundary before each pre-token (within its text)."""
+    """Strength of the boundary before each pre-token (within its text).
+
+    Full stops behind initials and titles end no sentence, those of dotted abbreviations (p.m.) a clause at most; a tag is a line's end only
+    where it begins or ends a block.
+    """
     cp, n, at = batch.cp, len(batch.cp), batch.starts[:-1]
     out = np.full(len(at), PIECE, np.int8)
     if not len(at):
@@ -61,7 +124,12 @@ def strengths(batch: Batch) -> np.ndarray:
     last = np.where(closed, two, before)
     out[blank & np.isin(last, _codes(_CLAUSE)) | np.isin(last, _codes(_CLAUSE_WIDE))] = CLAUSE
     out[blank & np.isin(last, _codes(_ENDS)) | np.isin(last, _codes(_ENDS_WIDE))] = SENTENCE
-    out[(before == ord(">")) & ~blank] = LINE
+    stop = np.flatnonzero(blank & (last == ord(".")))
+    if len(stop):
+        short, dotted = _abbreviated(batch, at[stop] - 1 - closed[stop])
+        out[stop[short]] = WORD
+        out[stop[dotted]] = CLAUSE
+    out[(before == ord(">")) & (at > 0) & after_blocks(batch)[np.maximum(at - 1, 0)]] = LINE
     # white space up to here that holds line ends: count them over the run before the boundary
     spaced = classes()[before] == SPACE
     i = np.flatnonzero(spaced & ~blank)

@@ -6,10 +6,11 @@ replace one another meet in the first stage. A subgroup's N best after its own d
 capping are enough: a row below them has N better rows left in the whole group too, because for each
 cap key at least as many better rows survive the whole group's cap as survived the subgroup's.
 
-The first de-duplicating window is limited before the shuffle (map side), so a hot pair of group and
-key never travels whole. A group of any size is spread over ``salts`` tasks.
+The first window drops repeated keys and is limited before its shuffle (map side), so a hot pair of group and key never travels
+whole; rows without a key are limited by all their values instead. A second shuffle brings the subgroups together: it can't be the first one's, as only a shuffle by the whole
+key allows the limit before it. A group of any size is spread over ``salts`` tasks.
 
-Defined results: rows without group, item or score (null or NaN) are left out, as are rows whose item
+Defined results: rows without group, item or score (null or NaN) are left out, with ``exclude_self`` also rows whose item
 is the group itself. Null de-duplication keys are never merged, null cap keys never capped. Equal
 scores order by item, then by key; repeated rows with null key each count. Empty input: empty output.
 """
@@ -21,28 +22,28 @@ from pyspark.sql import functions as F
 
 
 def top_n(
-    rows: DataFrame, group: str, item: str, score: str, *, unique: str, cap: str, n: int = 10, per_cap: int = 5, salts: int = 32,
+    rows: DataFrame, group: str, item: str, score: str, *, unique: str, cap: str, n: int = 10, per_cap: int = 5, salts: int = 32, exclude_self: bool = False,
 ) -> DataFrame:
     """``group, rank_no, item``: the first ``n`` rows per group, one per ``unique`` key and ``per_cap`` per ``cap`` key."""
     if min(n, per_cap, salts) < 1:
         raise ValueError("n, per_cap and salts must be at least 1")
     r = rows.select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(score).alias("_s"), F.col(unique).alias("_u"), F.col(cap).alias("_c"))
-    r = r.filter("_s is not null and not isnan(_s) and _i <> _g")
-    # rows that are never merged or capped get a key of their own
-    r = r.withColumn("_row", F.monotonically_increasing_id())
-    r = r.withColumn("_ux", F.when(F.col("_u").isNull(), F.col("_row"))).withColumn("_cx", F.when(F.col("_c").isNull(), F.col("_row")))
-    r = r.withColumn("_salt", F.pmod(F.xxhash64(F.coalesce("_u", "_row")), F.lit(salts)).cast("int"))
-
-    def best_first(*by: str):
-        return Window.partitionBy(*by).orderBy(F.col("_s").desc(), F.col("_i").asc(), F.col("_u").asc_nulls_last())
-
-    def keep(d: DataFrame, k: int, *by: str) -> DataFrame:
-        return d.withColumn("_n", F.row_number().over(best_first(*by))).filter(F.col("_n") <= k)
-
-    def rank(d: DataFrame, by: list[str]) -> DataFrame:
-        return keep(keep(d, per_cap, *by, "_c", "_cx"), n, *by)
-
-    first = keep(r, 1, "_g", "_salt", "_u", "_ux")
-    survivors = rank(first.repartition("_g", "_salt"), ["_g", "_salt"]).drop("_salt")
-    ranked = rank(survivors.repartition("_g"), ["_g"])
+    r = r.filter("_s is not null and not isnan(_s) and _i is not null and _g is not null")
+    if exclude_self:
+        r = r.filter("_i <> _g")
+
+    def place(*by: str):
+        return F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_s").desc(), F.col("_i").asc(), F.col("_u").asc_nulls_last()))
+
+    def rank(d: DataFrame, *by: str) -> DataFrame:
+        capped = d.withColumn("_n", place(*by, "_c")).filter((F.col("_n") <= per_cap) | F.col("_c").isNull())
+        return capped.withColumn("_n", place(*by)).filter(F.col("_n") <= n)
+
+    one = r.filter("_u is not null").withColumn("_n", place("_g", "_u")).filter("_n = 1").drop("_n")
+    # of rows alike without a key no more than n can come out
+    alike = r.filter("_u is null").withColumn("_n", place("_g", "_i", "_s", "_c")).filter(F.col("_n") <= n).drop("_n")
+    every = one.unionByName(alike)
+    salted = every.withColumn("_salt", F.pmod(F.when(F.col("_u").isNull(), F.xxhash64("_i", "_s", "_c")).otherwise(F.xxhash64("_u")), F.lit(salts)).cast("int"))
+    survivors = rank(salted.repartition("_g", "_salt"), "_g", "_salt").drop("_salt", "_n")
+    ranked = rank(survivors.repartition("_g"), "_g")
     return ranked.select(F.col("_g").alias(group), F.col("_n").cast("int").alias("rank_no"), F.col("_i").alias(item))

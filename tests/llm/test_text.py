@@ -127,3 +127,45 @@ def test_cuts_prefer_strong_boundaries(spark):
 def test_refuses_an_overlap_that_leaves_no_room(spark):
     with pytest.raises(ValueError):
         splitting.split(spark.createDataFrame([], "doc_id long, text string"), limit=10, overlap=10)
+
+
+def strengths_of(text):
+    import pyarrow as pa
+
+    b = pretokens.Batch(pa.array(["Some other text. And mo", text, None, text]))
+    k = splitting.strengths(b)
+    out = []
+    for row in (1, 3):
+        a, e = b.doc_first[row], b.doc_first[row + 1]
+        out.append([("".join(map(chr, b.cp[b.starts[i]:b.starts[i + 1]])), splitting.NAMES[k[i]]) for i in range(a + 1, e)])
+    assert out[0] == out[1]
+    return [(p.strip(), n) for p, n in out[0] if n in ("clause", "sentence", "line", "paragraph")]
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Call x->y now. Then a=>b ok; see p>q and c <d> e", [("Then", "sentence"), ("see", "clause")]),
+    ("Dr. Who met J. R. Smith at 9 p.m. in St. Ives. \"No.\" Yes! Mr. Vol. 3 vs. Ep. 4 U.S. Navy. End", [("in", "clause"), ("\"", "sentence"), ("Yes", "sentence"), ("Mr", "sentence"), ("Navy", "clause"), ("End", "sentence")]),
+    ("<p>One <b>two</b> three</p><i>four</i> five<br/> six <span class=\"hl\">seven</span> eight", [("One", "line"), ("four", "line"), ("six", "line")]),
+    ("if a <b and c> d then <div class='x'>e", [("e", "line")]),
+    ("One two\nthree.\n\nFour", [("three", "line"), ("Four", "paragraph")]),
+])
+def test_strengths(text, expected):
+    assert strengths_of(text) == [(a, b) for a, b in expected]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sentences_first_equals_merging_from_atoms(seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 120)
+    sizes = [rng.choice((1, 1, 2, 3, 30 if seed % 3 == 0 else 4)) for _ in range(n)]
+    strength = [rng.choice((1, 2, 2, 2, 3, 4, 5, 6)) for _ in range(n)]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    limit, overlap = rng.choice(((20, 5), (12, 0), (25, 8)))
+    offsets, marks, room = [], [], limit - overlap
+    for i, size in enumerate(sizes):  # atoms: pre-tokens, tokens of those that are too large
+        whole = size <= room
+        offsets += [int(at[i])] if whole else list(range(int(at[i]), int(at[i + 1])))
+        marks += [strength[i]] + ([] if whole else [0] * (size - 1))
+    own = np.diff(offsets + [int(at[-1])]).tolist()
+    atoms = [offsets[i] for i in splitting.merge(own, marks, limit, overlap, True)[0]] if at[-1] > limit else [0]
+    assert splitting.cuts(at, np.array(strength), limit, overlap)[0] == atoms

@@ -35,7 +35,7 @@ def test_against_brute_force(spark, seed):
     data = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([None, *range(20)]), rng.choice([None, float("nan"), 0.1, 0.5, 0.5, 0.9, rng.random()]), rng.choice(some), rng.choice(some), 0) for _ in range(300)]
     data += data[:40]
     df = spark.createDataFrame(data, SCHEMA)
-    got = topn.top_n(df, "seed", "theme_id", "final", unique="audio_id", cap="mal_id", n=7, per_cap=2, salts=3)
+    got = topn.top_n(df, "seed", "theme_id", "final", unique="audio_id", cap="mal_id", n=7, per_cap=2, salts=3, exclude_self=True)
     assert rows(got) == brute(data, 7, 2)
 
 
@@ -47,5 +47,7 @@ def test_rows_without_keys_are_never_merged_or_capped(spark):
 def test_empty_and_refused(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rows(topn.top_n(df, "seed", "theme_id", "final", unique="audio_id", cap="mal_id")) == []
+    own = spark.createDataFrame([(1, 1, 0.5, 1, 1, 0)], SCHEMA)
+    assert rows(topn.top_n(own, "seed", "theme_id", "final", unique="audio_id", cap="mal_id")) == [(1, 1, 1)]
     with pytest.raises(ValueError):
         topn.top_n(df, "seed", "theme_id", "final", unique="audio_id", cap="mal_id", n=0)
