@@ -30,6 +30,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.link_credits(credits, table(spark, sf, "mb_artists"), table(spark, sf, "name_nicknames"))
 
 
+def p3_known(spark: SparkSession, sf: str) -> DataFrame:
+    """The artist of every looked-up spelling whose answer is on record, found without that record (known names and their credits only)."""
+    mb = table(spark, sf, "mb_artists").filter("mbid is not null")
+    named = mb.select("mbid", F.col("mb_name").alias("name")).dropna().distinct()
+    credits = table(spark, sf, "animethemes").select(F.explode("artist_names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("weight"))
+    asked = mb.select("mb_row", F.col("query").alias("text")).join(named.select(F.col("name").alias("text")), "text", "left_anti")
+    found = names.link(asked.select("text").distinct(), named.join(credits, "name", "left").na.fill({"weight": 0}), table(spark, sf, "name_nicknames"))
+    return asked.join(found, "text").select("mb_row", "mbid")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "candidate_scores")
     return topn.top_n(rows, "seed_theme_id", "theme_id", "final", unique="audio_id", cap="mal_id", n=10, per_cap=5, exclude_self=True)
@@ -80,7 +90,7 @@ def p8_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_neighbours": p2_neighbours,
-    "p3_found": p3_found,
+    "p3_found": p3_found, "p3_known": p3_known,
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
@@ -98,6 +108,7 @@ best as (select id, other, round(c, 6) as cosine, row_number() over (partition b
 SQL = {
     "p2_found": _P2 + "select distinct least(id, other) as theme_id_a, greatest(id, other) as theme_id_b from best where rank_no <= 5",
     "p2_neighbours": _P2 + "select id as theme_id, other as neighbour_id, cosine, rank_no::int as rank_no from best where rank_no <= 5",
+    "p3_known": "select mb_row, mbid from mb_artists where mbid is not null and query not in (select mb_name from mb_artists where mbid is not null and mb_name is not null)",
     "p4_found": """
 with r as (select *, row_number() over () as n from candidate_scores where final is not null and not isnan(final) and theme_id <> seed_theme_id),
 a as (select * from r qualify audio_id is null or row_number() over (partition by seed_theme_id, audio_id order by final desc, theme_id, n) = 1),
