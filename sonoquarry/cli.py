@@ -1,10 +1,10 @@
-"""Command line: recommend and evaluate over a dataset, run the pipeline's stages."""
+"""Command line: recommend and evaluate over a dataset, sweep variants, run the pipeline's stages."""
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
-import json
+import io
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import scores
 from .operators import evaluate, recommend, whitening
-from .plans import pipeline
+from .plans import pipeline, report
 from .session import cut
 from .sources import store
 
 
-def _utf8() -> None:
-    """Titles in any script must not break a narrow console."""
-    for stream in (sys.stdout, sys.stderr):
-        if hasattr(stream, "reconfigure"):
-            stream.reconfigure(encoding="utf-8", errors="replace")
+def _any_script(name: str) -> None:
+    """Let a standard stream print titles in any script, whatever the console's encoding."""
+    held = getattr(sys, name)
+    if isinstance(held, io.TextIOWrapper):
+        held.reconfigure(encoding="utf-8", errors="replace")
 
 
 def load(spark: SparkSession, path: str, cfg: Config, strict: bool = True) -> DataFrame:
@@ -36,69 +36,115 @@ def load(spark: SparkSession, path: str, cfg: Config, strict: bool = True) -> Da
     return cut(recommend.prepare(whitening.apply(d, "embedding", fitted), "whitened").drop("embedding", "whitened"))
 
 
-def _recommend(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> None:
+def _recommend(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
     d = load(spark, a.dataset, cfg, not a.any_version)
+    if a.smoke:
+        checks = recommend.smoke(d, cfg)
+        for name, good in checks.items():
+            print(f"{name}: {'passed' if good else 'FAILED'}")
+        return 0 if all(checks.values()) else 1
     seed = d.filter(F.col("theme_id") == a.seed)
     if seed.isEmpty():
-        raise SystemExit(f"seed theme_id {a.seed} not found in the dataset")
+        raise SystemExit(f"no theme {a.seed} among the dataset's {d.count()}")
     found = recommend.recommend(d, cfg, mode=a.mode, k=a.k, seeds=seed, exclude_same_anime=a.exclude_same_anime, dedup_audio=not a.no_dedup, max_per_anime=a.max_per_anime)
     for r in recommend.console(recommend.present(found, d)).orderBy("rank").collect():
         print(r.line)
+    return 0
 
 
-def _evaluate(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> None:
+def _maps(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame | None, DataFrame | None]:
+    return tuple(store.read_map(spark, *paths) if paths else None for paths in (a.artist_map, a.similar_map))
+
+
+def _evaluate(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
+    maps = _maps(spark, a)
     d = load(spark, a.dataset, cfg, not a.any_version)
-    table = cut(evaluate.seed_table(d, cfg, mode=a.mode))
-    values = cut(evaluate.per_seed(table))
-    rows = evaluate.metrics(values).join(evaluate.intervals(values), "name").orderBy("name").collect()
-    print(json.dumps({"fingerprint": evaluate.fingerprint(d).first()[0], "metrics": [r.asDict() for r in rows]}, ensure_ascii=False, indent=1))
+    how = dict(mode=a.mode, exclude_same_anime=not a.include_same_anime, control_k=a.control_k)
+    record, table = report.run(report.with_behaviour(d, *maps), cfg, label=a.label, dataset=a.dataset, **how)
     if a.compare_to:  # the other dataset is the baseline
-        base = cut(evaluate.seed_table(load(spark, a.compare_to, cfg, False), cfg, mode=a.mode))
-        for family in evaluate.FAMILIES:
-            diffs = evaluate.paired(evaluate.family_scores(base, family), evaluate.family_scores(table, family))
-            if not diffs.isEmpty():
-                print(json.dumps({"family": family} | evaluate.paired_summary(diffs).first().asDict() | evaluate.paired_interval(diffs).drop("name").first().asDict()))
+        other = report.with_behaviour(load(spark, a.compare_to, cfg, not a.any_version), *maps)
+        record["meta"] |= {"compared_to": a.compare_to, "paired": report.compare(cut(evaluate.seed_table(other, cfg, **how)), table)}
+    print(report.text(record))
     if a.dump_ids:
         store.write_ids(d, "theme_id", a.dump_ids)
+    if a.json:
+        report.save(spark, record, a.json)
+    return 0
 
 
-def _pipeline(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> None:
-    print(pipeline.run_stage(spark, a.stage, pipeline.Paths(a.root, a.pages), cfg, top_n=a.top_n, limit_pages=a.limit_pages, force=a.force_reembed))
+def _sweep(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
+    maps = _maps(spark, a)
+    vectors = store.read_variants(spark, a.dir)
+    names = [r.variant for r in vectors.select("variant").distinct().orderBy("variant").collect()]
+    if not names:
+        raise SystemExit(f"{a.dir} holds no variants")
+    families = evaluate.FAMILIES if a.family == "both" else (a.family,)
+    made = {n: report.with_behaviour(load(spark, f"{a.dir}/{n}.parquet", cfg, False), *maps) for n in names}
+    print(report.sweep_text(report.sweep(made, cfg, a.reference, mode=a.mode, families=families)))
+    return 0
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    _utf8()
-    cfg = Config.from_env()
+def _pipeline(spark: SparkSession, a: argparse.Namespace, cfg: Config) -> int:
+    services = pipeline.Services(base=a.base, metadata_base=a.metadata_base)
+    print(pipeline.run_stage(spark, a.stage, pipeline.Paths(a.root, a.pages), cfg, services, top_n=a.top_n, top_by=a.top_by, limit_pages=a.limit_pages, force=a.force_reembed))
+    return 0
+
+
+def parser(cfg: Config) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sonoquarry")
     sub = p.add_subparsers(dest="command", required=True)
     r = sub.add_parser("recommend")
-    r.add_argument("--seed", type=int, required=True)
+    what = r.add_mutually_exclusive_group(required=True)
+    what.add_argument("--seed", type=int)
+    what.add_argument("--smoke", action="store_true", help="check the wiring on a seed of the dataset")
     r.add_argument("--k", type=int, default=cfg.recommend_k)
     r.add_argument("--exclude-same-anime", action="store_true")
     r.add_argument("--no-dedup", action="store_true")
-    r.add_argument("--max-per-anime", type=int, default=cfg.max_per_anime)
+    r.add_argument("--max-per-anime", type=int, default=cfg.max_per_anime, help="0: no cap")
     e = sub.add_parser("evaluate")
     e.add_argument("--compare-to")
     e.add_argument("--dump-ids")
-    for q, mode in ((r, cfg.recommend_mode), (e, "purist")):
-        q.add_argument("--dataset", required=True)
+    e.add_argument("--control-k", type=int, default=10)
+    e.add_argument("--include-same-anime", action="store_true")
+    e.add_argument("--label", default="current")
+    e.add_argument("--json")
+    w = sub.add_parser("sweep")
+    w.add_argument("--dir", required=True)
+    w.add_argument("--reference", default="layer12")
+    w.add_argument("--family", choices=[*evaluate.FAMILIES, "both"], default="both")
+    for q, mode in ((r, cfg.recommend_mode), (e, "purist"), (w, "purist")):
+        if q is not w:
+            q.add_argument("--dataset", required=True)
+            q.add_argument("--any-version", action="store_true")
+        if q is not r:
+            q.add_argument("--artist-map", action="append", help="JSON map of artist names; given several times, the first that is there counts")
+            q.add_argument("--similar-map", action="append", help="JSON map of similar artists")
         q.add_argument("--mode", choices=list(scores.MODES), default=mode)
         q.add_argument("--whiten", type=int, default=cfg.whiten_components)
-        q.add_argument("--any-version", action="store_true")
     s = sub.add_parser("pipeline")
-    s.add_argument("stage", choices=pipeline.STAGES)
+    s.add_argument("stage", choices=[*pipeline.STAGES, pipeline.ALL], nargs="?", default=pipeline.ALL)
     s.add_argument("--root", required=True)
     s.add_argument("--pages")
+    s.add_argument("--base", default="")
+    s.add_argument("--metadata-base", default="")
     s.add_argument("--force-reembed", action="store_true")
+    s.add_argument("--keep-audio", action="store_true", default=cfg.keep_audio)
+    s.add_argument("--top-by", choices=["popularity", "score"], default="popularity")
     only = s.add_mutually_exclusive_group()
     only.add_argument("--top-n", type=int)
     only.add_argument("--limit-pages", type=int)
-    a = p.parse_args(argv)
-    if a.command != "pipeline":
-        cfg = dataclasses.replace(cfg, whiten_components=a.whiten)
+    return p
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    for name in ("stdout", "stderr"):
+        _any_script(name)
+    cfg = Config.from_env()
+    a = parser(cfg).parse_args(argv)
+    cfg = dataclasses.replace(cfg, keep_audio=a.keep_audio) if a.command == "pipeline" else dataclasses.replace(cfg, whiten_components=a.whiten)
     spark = spark or SparkSession.builder.appName("sonoquarry").getOrCreate()
-    {"recommend": _recommend, "evaluate": _evaluate, "pipeline": _pipeline}[a.command](spark, a, cfg)
+    return {"recommend": _recommend, "evaluate": _evaluate, "sweep": _sweep, "pipeline": _pipeline}[a.command](spark, a, cfg)
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -33,7 +33,7 @@ class Config:
     whiten_components: int = 256
     whiten_alpha: float = 1.0
     whiten_eps: float = 1e-5
-    keep_audio: bool = True
+    keep_audio: bool = False
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Config":

@@ -27,6 +27,12 @@ def resolve(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return queries.select("query").distinct().join(best, "query", "left").select("query", "b.mbid", "b.mb_name")
 
 
+def candidate_rows(found: DataFrame, query: str = "query") -> DataFrame:
+    """The rows that ``resolve`` compares, of service answers (``query, place, payload``: one candidate artist each)."""
+    kind = "struct<mbid:string,mb_name:string,country:string,type:string,score:int,aliases:array<struct<name:string,sort_name:string>>>"
+    return found.select(F.col(query).alias("query"), F.col("place").alias("pos"), F.from_json("payload", kind).alias("a")).select("query", "pos", "a.*")
+
+
 def neighbours(lists: DataFrame, top: int = 3) -> DataFrame:
     """``mbid, near``: of each artist's similar list the first ``top`` by score (null counts 0, the list's order among equals).
 
@@ -49,11 +55,12 @@ def similar_map(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def similar_payload(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """Similar artists of a service answer, plain list or wrapped in ``payload``; entries need ``artist_mbid``."""
+    """Similar artists of a service answer, a plain list or one wrapped as ``data`` or ``similar_artists``; entries need ``artist_mbid``."""
     kind = "array<struct<artist_mbid:string,name:string,score:double>>"
     plain = F.from_json(column, kind)
-    wrapped = F.from_json(column, f"struct<payload:{kind}>")["payload"]
-    rows = F.when(F.ltrim(column).startswith("["), plain).otherwise(wrapped)
+    wrapped = F.from_json(column, f"struct<data:{kind},similar_artists:{kind}>")
+    held = F.when(F.size(wrapped["data"]) > 0, wrapped["data"]).otherwise(F.coalesce(wrapped["similar_artists"], wrapped["data"]))
+    rows = F.when(F.ltrim(column).startswith("["), plain).otherwise(held)
     return payload.select("*", F.transform(F.filter(rows, lambda r: r["artist_mbid"].isNotNull()), lambda r: F.struct(r["artist_mbid"].alias("mbid"), r["name"].alias("name"), r["score"].alias("score"))).alias("similar"))
 
 

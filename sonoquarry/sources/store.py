@@ -8,27 +8,37 @@ from .. import schemas
 from ..operators import catalogue
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A Parquet table with its declared schema; an empty one if nothing is there yet."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
+def shards(spark: SparkSession, folder: str, pattern: str = "part*.parquet") -> list[str]:
+    """Names of a store's shards in order; other files don't count."""
+    if not exists(spark, folder):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(f.getPath().getName() for f in found)
+
+
 def read_embeddings(spark: SparkSession, folder: str, legacy: str | None = None) -> DataFrame:
     """All shards and the single file of older stores."""
     out = read_table(spark, folder, schemas.EMBEDDINGS)
-    return out.unionByName(read_table(spark, legacy, schemas.EMBEDDINGS), allowMissingColumns=True) if legacy and _exists(spark, legacy) else out
+    return out.unionByName(read_table(spark, legacy, schemas.EMBEDDINGS), allowMissingColumns=True) if legacy and exists(spark, legacy) else out
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     """The first path that is there: a local file before the pinned copy."""
-    return next((p for p in paths if _exists(spark, p)), None)
+    return next((p for p in paths if exists(spark, p)), None)
 
 
 def append(rows: DataFrame, path: str) -> int:
@@ -58,9 +68,24 @@ def guard(spark: SparkSession, folder: str, model: str, version: str, force: boo
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line."""
     df.write.mode("overwrite").json(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file (a report) on any file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_map(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """``value``: a JSON map as one text, from the first of the paths that is there (a local file before the pinned copy); None if none is."""
+    path = first_existing(spark, *paths)
+    return None if path is None else spark.read.text(path, wholetext=True)
+
+
 def write_ids(df: DataFrame, ident: str, path: str) -> None:
     """One id per line, ascending."""
     df.select(df[ident].cast("string").alias("value"), df[ident].alias("_i")).orderBy("_i").select("value").write.mode("overwrite").text(path)

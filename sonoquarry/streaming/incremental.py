@@ -18,7 +18,7 @@ def embed_stream(
     def each(batch: DataFrame, _: int) -> None:
         work = catalogue.todo(batch.dropDuplicates(["theme_id"]), store.read_embeddings(spark, folder))
         done = audio.embed(work, embedder, model, version, source=source).filter("error_class is null")
-        rows = done.selectExpr("theme_id", "audio_id", "embedding", "embed_model", "embed_version", "1 as n_chunks_used", "cast(null as double) as total_seconds_used")
+        rows = done.select("theme_id", "audio_id", "embedding", "embed_model", "embed_version", "n_chunks_used", "total_seconds_used")
         store.append(rows, folder)
 
     return spark.readStream.schema(schema).parquet(incoming).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

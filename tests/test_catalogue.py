@@ -40,6 +40,7 @@ def test_store(spark, tmp_path):
     legacy = str(tmp_path / "old.parquet")
     emb(spark, 9).drop("n_chunks_used").write.parquet(legacy)
     assert rows(store.read_embeddings(spark, p, legacy), "theme_id") == [(1,), (2,), (3,), (9,)]
+    assert len(store.shards(spark, p)) >= 2 and store.shards(spark, p) == sorted(store.shards(spark, p)) and store.shards(spark, str(tmp_path / "none")) == []
     store.guard(spark, p, CFG.embed_model, CFG.embed_version)
     store.append(emb(spark, 4, version="sr16000-c10x1s10"), p)
     with pytest.raises(StaleEmbeddings, match="sr16000"):
@@ -124,13 +125,67 @@ def test_lookup_reports_what_is_missing(spark):
         return lambda k: {"id": k} if k != 2 else None
     keys = spark.createDataFrame([(1,), (2,), (2,), (None,)], "mal_id long")
     got = rest.lookup(keys, "mal_id", fetch)
-    assert rows(got) == [(1, '{"id": 1}'), (2, None)] and rows(rest.not_found(got, "mal_id")) == [(2,)]
+    assert rows(got) == [(1, '{"id": 1}'), (2, None)] and rows(rest.not_found(keys, got, "mal_id")) == [(2,)]
 
 
-def test_first_match_by_site(caplog):
+def test_matches_by_site(spark):
     held = {"5": [{"slug": "a"}, {"slug": "b"}], "6": []}
-    get = rest.by_site_id(lambda url, p: {"anime": held.get(p["filter[external_id]"])}, catalogue.SITE)
-    assert get(5)["slug"] == "a" and "2 matches" in caplog.text and get(6) is None and get(7) is None
+    def fetch():
+        return rest.site_matches(lambda url, p: {"anime": held.get(p["filter[external_id]"])}, catalogue.SITE)
+    keys = spark.createDataFrame([(5,), (6,), (7,), (5,)], "mal_id long")
+    found = rest.matches(keys, "mal_id", fetch)
+    assert rows(rest.first_matches(found)) == [(5, '{"slug": "a"}')] and rows(rest.ambiguous(found, "mal_id")) == [(5, 2)] and rows(rest.not_found(keys, found, "mal_id")) == [(6,), (7,)]
+
+
+def test_site_source_is_read_by_pushed_keys(spark, tmp_path):
+    (tmp_path / "5.json").write_text(json.dumps({"anime": [{"slug": "a"}, {"slug": "b"}]}))
+    rest.register(spark)
+    d = spark.read.format("site_catalogue").options(site=catalogue.SITE, folder=str(tmp_path), parallel="2").load()
+    assert rows(d.filter("external_id in (5, 6)")) == [(5, 0, '{"slug": "a"}'), (5, 1, '{"slug": "b"}')] and rows(d.filter("external_id = 6")) == []
+    (tmp_path / "7.json").write_text(json.dumps({"anime": [{"slug": "c"}]}))
+    assert rows(d.filter("external_id = 7"), "payload") == [('{"slug": "c"}',)]
+    with pytest.raises(Exception, match="by key"):
+        spark.read.format("site_catalogue").options(site=catalogue.SITE, folder=str(tmp_path)).load().collect()
+
+
+def test_ranked_ids():
+    pages = {1: {"data": [{"mal_id": 3}, {"mal_id": None}, {"mal_id": 3}], "pagination": {"has_next_page": True}}, 2: {"data": [{"mal_id": 8}], "pagination": {"has_next_page": False}}}
+    asked = []
+    def fetch(url, p):
+        asked.append(p)
+        return pages[p["page"]]
+    assert rest.ranked_ids(fetch, 2) == [3, 3] and asked == [{"limit": 25, "page": 1, "filter": "bypopularity"}]
+    assert rest.ranked_ids(fetch, 9, "score") == [3, 3, 8] and "filter" not in asked[-1]
+    with pytest.raises(ValueError):
+        rest.ranked_ids(fetch, 1, "fame")
+
+
+def test_artist_service(spark):
+    answers = {"A B": [{"id": "m1", "name": "Other"}, {"id": "m2", "name": "x", "aliases": [{"name": "a-b", "sort-name": None}]}], "C": None}
+    def fetch():
+        return rest.artist_candidates(lambda url, p: {"artists": answers[p["query"]]})
+    q = spark.createDataFrame([("A B",), ("C",)], "query string")
+    found = artists.candidate_rows(rest.matches(q, "query", fetch))
+    assert rows(artists.resolve(q, found)) == [("A B", "m2", "x"), ("C", None, None)]
+
+
+def test_cache_is_filled_with_what_it_lacks(spark, tmp_path):
+    folder = str(tmp_path)
+    calls = []
+    def write(key, text):
+        path = files.cache_path(folder, key)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(text)
+    write(1, json.dumps({"mal_id": 1, "title": "one"}))
+    write(2, "{")  # unreadable: fetched again
+    write(3, "{}")  # known to be absent
+    keys = spark.createDataFrame([(1,), (2,), (3,), (4000,), (5,), (5,), (None,)], "mal_id long")
+    todo = files.missing(keys, files.read_cache(spark, folder))
+    assert rows(todo) == [(2,), (4000,), (5,)]
+    got = files.fill_cache(todo, folder, lambda: lambda k: {"mal_id": k, "title": f"t{k}"} if k != 5 else None)
+    assert got.count() == 3 and os.path.exists(files.cache_path(folder, 4000)) and "/0004/" in files.cache_path(folder, 4000)
+    assert rows(files.missing(keys, files.read_cache(spark, folder))) == [] and rows(catalogue.metadata_rows(files.read_cache(spark, folder)), "mal_id", "title") == [(1, "one"), (2, "t2"), (4000, "t4000")]
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -167,11 +222,22 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert stage("themes") == 3 and stage("mal") == 3
     assert stage("audio") == 2 and stage("audio") == 0  # complete files are skipped
     assert rows(files.listed(spark, paths.files), "audio_basename") == [("b1.ogg",), ("b2.ogg",)]
-    assert stage("embed") == 1
+    assert stage("embed") == 1 and rows(files.listed(spark, paths.files), "audio_basename") == [("b2.ogg",)]
     errors = store.read_table(spark, paths.embed_errors, schemas.EMBED_ERRORS)
     assert {r.theme_id for r in errors.collect()} == {2, 3} and max(len(r.error_message) for r in errors.collect()) == 500
     assert stage("join") == 1 and rows(spark.read.parquet(paths.dataset), "theme_id", "title") == [(1, "T1")]
     assert stage("themes", top_n=2) == 2 and stage("themes", limit_pages=1) == 2
+    # with services: the ranking's anime by site id, metadata that the cache lacks, all stages in a row
+    ranking = lambda url, p: {"data": [{"mal_id": 2}, {"mal_id": 1}, {"mal_id": 77}], "pagination": {}}
+    by_site = lambda: lambda k: page(k)["anime"] * 2 if k != 77 else []
+    def metadata():
+        return lambda k: {"mal_id": k, "title": f"N{k}"}
+    paths = pipeline.Paths(str(tmp_path / "other"))
+    os.makedirs(paths.files)
+    full = pipeline.Services(fetch_file=fetch, embedder=lambda: lambda path: audio.Pooled([1.0, float(len(path))], 2, 55.5), ranking=ranking, by_site=by_site, metadata=metadata)
+    assert pipeline.run_stage(spark, "all", paths, CFG, full, top_n=3) == 2
+    assert rows(spark.read.parquet(paths.dataset), "theme_id", "title", "n_chunks_used", "total_seconds_used") == [(1, "N1", 2, 55.5), (2, "N2", 2, 55.5)]
+    assert os.listdir(paths.files) == []  # recordings aren't kept unless asked for
     with pytest.raises(ValueError):
         stage("themes", top_n=1, limit_pages=1)
     with pytest.raises(ValueError):
@@ -215,8 +281,23 @@ def test_artist_tables(spark):
     assert rows(artists.list_sizes(sizes)) == [(3, 2, 3)]
     text = spark.createDataFrame([(json.dumps({"A": {"mbid": "m"}, "B": None}), json.dumps({"m": [{"mbid": "n", "score": 1}], "k": None}))], "a string, s string")
     assert rows(artists.artist_map(text, "a")) == [("A", "m")] and rows(artists.similar_map(text, "s"), "mbid") == [("m",)]
-    payload = spark.createDataFrame([(json.dumps([{"artist_mbid": "p"}, {"name": "q"}]),), (json.dumps({"payload": [{"artist_mbid": "w"}]}),)], "payload string")
-    assert [[x.mbid for x in r.similar] for r in artists.similar_payload(payload).collect()] == [["p"], ["w"]]
+    payload = spark.createDataFrame([(json.dumps([{"artist_mbid": "p"}, {"name": "q"}]),), (json.dumps({"data": [{"artist_mbid": "w"}]}),), (json.dumps({"similar_artists": [{"artist_mbid": "v"}], "data": []}),)], "payload string")
+    assert [[x.mbid for x in r.similar] for r in artists.similar_payload(payload).collect()] == [["p"], ["w"], ["v"]]
+
+
+def test_masked_pooling(spark):
+    rng = np.random.default_rng(0)
+    hidden, real = rng.normal(size=(3, 2, 9, 4)), np.array([100, 31])
+    layers = [(10, 5), (3, 2)]
+    made = audio.pool_layers(hidden, real, layers)
+    n = [9, 2]
+    assert made.shape == (3, 4) and np.allclose(made, np.stack([hidden[:, c, :n[c]].mean(axis=1) for c in (0, 1)]).mean(axis=0))
+    df = spark.createDataFrame([([(100, hidden[1, 0].tolist()), (31, hidden[1, 1].tolist())],), ([],)], "c array<struct<real_len:int,frames:array<array<double>>>>")
+    got = [r.v for r in df.select(audio.pool_chunks(F.col("c"), layers).alias("v")).collect()]
+    assert np.allclose(got[0], made[1]) and got[1] is None
+    assert audio.check_sample_rate(24000, None) == audio.check_sample_rate(24000, 24000) == 24000
+    with pytest.raises(DataError):
+        audio.check_sample_rate(24000, 16000)
 
 
 def test_hash_half(spark):
