@@ -6,8 +6,7 @@ There is no shuffle: every record is projected where it is read.
 
 Defined results
 - null, blank, truncated or otherwise invalid JSON, or JSON with trailing text: no rows. So for a
-  payload that is a list or scalar. Of a key that an object repeats, the last value counts (the
-  session setting for this is switched on).
+  payload that is a list or scalar. Of a key that an object repeats, the last value counts.
 - a list may come as a list, as one object in its place (position 0) or as a string that holds
   either as JSON; anything else counts as an empty list.
 - null and non-object elements keep their position and give no row.
@@ -16,9 +15,13 @@ Defined results
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Fields read from the objects of each level (all kept as VARIANT until they are typed in the flat tables).
 _ANIME = "struct<slug:variant,name:variant,year:variant,animethemes:variant>"
 _THEME = "struct<id:variant,type:variant,sequence:variant,slug:variant,song:variant,animethemeentries:variant>"
@@ -44,9 +47,16 @@ def parse_whole(text: Column) -> Column:
     return F.when(F.size(held) == 1, F.element_at(held, 1))
 
 
-def _repeated_keys(df: DataFrame) -> None:
-    """A repeated key is valid JSON; by default the parser refuses it."""
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+@contextmanager
+def _repeated_keys(df: DataFrame):
+    """A repeated key is valid JSON; by default the parser refuses it. Plans keep the setting they were made under, so the session's is put back."""
+    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
 
 
 def as_list(v: Column) -> Column:
@@ -74,7 +84,11 @@ def _objects(holder: Column, list_of, kind: str, keys: tuple[str, ...], own: str
 
 def project(payloads: DataFrame, record: str = "record_id", payload: str = "payload") -> DataFrame:
     """One row per record with an array of keyed objects for each level (``themes`` .. ``audios``)."""
-    _repeated_keys(payloads)
+    with _repeated_keys(payloads):
+        return _project(payloads, record, payload)
+
+
+def _project(payloads: DataFrame, record: str, payload: str) -> DataFrame:
     root = payloads.select(F.col(record).alias("record_id"), parse_whole(F.col(payload)).alias("doc"))
     top = root.select("record_id", _get(F.col("doc"), "struct<anime:variant,animethemes:variant>").alias("top"), "doc")
     one = F.array(F.struct(F.lit(0).alias("anime_pos"), _get(F.col("doc"), _ANIME).alias("node")))
@@ -119,6 +133,12 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def flat_tables(payloads: DataFrame, record: str = "record_id", payload: str = "payload") -> dict[str, DataFrame]:
+    """All four flat tables from one parse: the keyed objects are written once, each table reads its own level's column."""
+    p = cut(project(payloads, record, payload).drop("animes"))
+    return {level: _flat(p, level) for level in LEVELS}
+
+
 def flat_table(payloads: DataFrame, level: str, record: str = "record_id", payload: str = "payload") -> DataFrame:
     """The flat table of one level with its ancestor keys and typed fields; one ``inline`` emits its rows.
 
@@ -127,7 +147,10 @@ def flat_table(payloads: DataFrame, level: str, record: str = "record_id", paylo
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, got {level!r}")
-    p = project(payloads, record, payload)
+    return _flat(project(payloads, record, payload), level)
+
+
+def _flat(p: DataFrame, level: str) -> DataFrame:
     def n(name, kind="string"):
         return F.try_variant_get(F.col(f"node.{name}"), "$", kind).alias(name)
     if level == "theme":
@@ -185,7 +208,11 @@ def typed_anime(payloads: DataFrame, record: str = "record_id", payload: str = "
     def resource(v):
         return F.struct(text(v, "site"), number(v, "external_id"))
 
-    _repeated_keys(payloads)
+    with _repeated_keys(payloads):
+        return _typed(payloads, record, payload, part, is_object, text, resource, theme)
+
+
+def _typed(payloads: DataFrame, record: str, payload: str, part, is_object, text, resource, theme) -> DataFrame:
     p = payloads.select(F.col(record).alias("record_id"), parse_whole(F.col(payload)).alias("doc"))
     p = p.withColumn("many", part(F.col("doc"), "anime")).filter(is_object(F.col("doc")))
     p = p.select("record_id", F.posexplode(F.when(F.col("many").isNotNull(), as_list(F.col("many"))).otherwise(F.array("doc"))).alias("anime_pos", "a")).filter(is_object(F.col("a")))

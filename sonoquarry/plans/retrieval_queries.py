@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import Config
 from ..functions import scores, vectors
 from ..operators import artists, audio, catalogue, evaluate, nested, recommend, variants, whitening
-from ..session import cut, spread, table
+from ..session import checkpoint_dir, cut, spread, table
+from ..sources import files, store
 from .core_queries import _P1, _listed
 
 CFG = Config()
@@ -103,6 +107,23 @@ def gram(spark, sf):
     return spark.createDataFrame(rows, "i int, j int, x double").select("i", "j", F.round("x", 4).alias("x"))
 
 
+def whiten_gram(spark, sf):
+    """Covariance of the vectors whitened to all components: the identity."""
+    import numpy as np
+
+    e = spread(embeddings(spark, sf).select("theme_id", "embedding"))
+    w = whitening.apply(e, "embedding", whitening.fit(e, "embedding", DIMS))
+    n, mean = whitening.moments(w, "whitened")
+    g = np.round(whitening.gram(w, "whitened", mean) / n, 3) + 0.0
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(DIMS) for j in range(DIMS)], "i int, j int, x double")
+
+
+def whiten_variance(spark, sf):
+    """Components and share of the variance kept when none is left out."""
+    fitted = whitening.fit(spread(embeddings(spark, sf).select("embedding")), "embedding", 10 * DIMS)
+    return spark.createDataFrame([(fitted.components, round(fitted.variance_kept, 6))], "components int, variance_kept double")
+
+
 def whiten_project(spark, sf):
     e = spread(embeddings(spark, sf).select("theme_id", "embedding"))
     return whitening.apply(e, "embedding", whitening.fit(e, "embedding", 32)).select("theme_id", "whitened")
@@ -184,15 +205,68 @@ def incremental_todo(spark, sf):
 
 
 def dup_basenames(spark, sf):
-    return catalogue.duplicate_basenames(table(spark, sf, "animethemes"))
+    """Names of several recordings, were files named by their anime only."""
+    rows = table(spark, sf, "animethemes").select("audio_id", F.split("audio_basename", "-")[0].alias("audio_basename"))
+    return catalogue.duplicate_basenames(rows)
+
+
+def _shared_folder(spark, name: str) -> str:
+    """A folder of this application's, deleted with it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def shard_union(spark, sf):
-    """Current and older vectors as one table, counted by version."""
-    e = table(spark, sf, "theme_vectors").select("theme_id", "embed_model", "embed_version", "n_chunks_used")
-    now = e.filter(F.col("embed_version") == CFG.embed_version)
-    old = e.filter(F.col("embed_version") != CFG.embed_version).drop("n_chunks_used")
-    return now.unionByName(old, allowMissingColumns=True).groupBy("embed_version").agg(F.count(F.lit(1)).alias("n"), F.count("n_chunks_used").alias("n_with_chunks"))
+    """Vectors appended to a store in shards, and a single older file without one of the columns, counted by version."""
+    e = table(spark, sf, "theme_vectors").select("theme_id", "audio_id", "embedding", "embed_model", "embed_version", "n_chunks_used", "total_seconds_used")
+    now, old = _shared_folder(spark, "store"), _shared_folder(spark, "legacy")
+    for part in (F.col("theme_id") % 2 == 0, F.col("theme_id") % 2 != 0, F.col("theme_id").isNull()):
+        store.append(e.filter((F.col("embed_version") == CFG.embed_version) & part), now)
+    store.overwrite(e.filter(F.col("embed_version") != CFG.embed_version).drop("n_chunks_used"), old)
+    return store.read_embeddings(spark, now, old).groupBy("embed_version").agg(F.count(F.lit(1)).alias("n"), F.count("n_chunks_used").alias("n_with_chunks"))
+
+
+def download_targets(spark, sf):
+    return files.download_targets(table(spark, sf, "animethemes"))
+
+
+def metadata_flatten(spark, sf):
+    """Metadata documents (as the service would give them) to rows."""
+    def refs(names, ids=None):
+        if ids is None:
+            return F.transform(names, lambda x: F.struct(F.lit(None).cast("long").alias("mal_id"), x.alias("name")))
+        held = F.coalesce(names, F.array().cast("array<string>")), F.coalesce(ids, F.array().cast("array<bigint>"))
+        return F.zip_with(*held, lambda n, i: F.struct(i.alias("mal_id"), n.alias("name")))
+
+    m = table(spark, sf, "mal").filter("mal_id is not null")
+    doc = F.to_json(F.struct(
+        "mal_id", "title", F.struct(F.col("aired_from").alias("from"), F.col("aired_to").alias("to")).alias("aired"), F.col("start_year").alias("year"), F.col("mal_rank").alias("rank"), "score",
+        refs("genres", "genre_ids").alias("genres"), refs("studios", "studio_ids").alias("studios"), refs("themes").alias("themes"),
+    ))
+    rows = m.select("ingest_pos", F.from_json(doc, schemas.MAL_DOC).alias("d")).select("ingest_pos", "d.*")
+    out = catalogue.metadata_rows(rows.withColumn("synopsis", F.col("ingest_pos").cast("string")))
+    return out.select(F.col("synopsis").cast("long").alias("ingest_pos"), "mal_id", "title", "aired_from", "aired_to", "year", "rank", "score", "genres", "genre_ids", "studios", "studio_ids", "themes")
+
+
+def embed_capture(spark, sf):
+    """Themes embedded by a model that passes whole vectors through and fails on others."""
+    def model():
+        def run(v):
+            if v is None or len(v) != DIMS or not all(x is not None and abs(x) < float("inf") for x in v):
+                raise ValueError("not a whole vector")
+            return audio.Pooled(v, len(v) // 8, len(v) / 2)
+        return run
+
+    rows = spread(table(spark, sf, "theme_vectors").select("ingest_pos", "embedding"))
+    out = audio.embed(rows, model, CFG.embed_model, CFG.embed_version, columns="ingest_pos long", source="embedding")
+    return out.select("ingest_pos", "embed_version", F.size("embedding").alias("dims"), "n_chunks_used", "total_seconds_used", "error_class", "error_message")
+
+
+def pool_frames(spark, sf):
+    """Vectors as eight frames of eight values each, of which the first few are real."""
+    e = embeddings(spark, sf).select("theme_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))
+    p = e.select("theme_id", audio.masked_mean(frames, F.col("theme_id") % 8 + 1).alias("m"))
+    return p.select("theme_id", F.round(F.element_at("m", 1), 6).alias("first"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def scan_prune(spark, sf):
@@ -282,6 +356,24 @@ def neighbours_in_corpus(spark, sf):
     return artists.in_corpus(top3_neighbours(spark, sf), table(spark, sf, "animethemes"), _resolved(spark, sf))
 
 
+def artist_map(spark, sf):
+    """Resolved artists by way of the JSON map that a run keeps them in."""
+    mb = table(spark, sf, "mb_artists").filter("query is not null")
+    entry = F.when(F.col("mbid").isNotNull(), F.struct("query", "mbid", "mb_name", "country", F.col("artist_type").alias("type"), "score"))
+    path = _shared_folder(spark, "artists")
+    one = mb.agg(F.map_from_entries(F.collect_list(F.struct("query", entry.alias("entry")))).alias("m"))  # one document, as the map's file is
+    one.select(F.to_json("m").alias("value")).write.text(path)
+    return artists.artist_map(store.read_map(spark, _shared_folder(spark, "none"), path))
+
+
+def similar_payloads(spark, sf):
+    """Similar artists as the service gives them (a plain list or a wrapped one), back to lists, then the nearest three."""
+    lists = _similar(spark, sf)
+    rows = F.transform("similar", lambda x: F.struct(x["mbid"].alias("artist_mbid"), x["name"].alias("name"), x["score"].alias("score")))
+    wrapped = F.when(F.xxhash64("mbid") % 2 == 0, F.to_json(rows)).otherwise(F.to_json(F.struct(rows.alias("data"))))
+    return artists.neighbours(artists.similar_payload(lists.select("mbid", wrapped.alias("payload"))))
+
+
 # --- variants --------------------------------------------------------------------------------------------
 
 
@@ -292,14 +384,19 @@ def _layers(spark, sf):
 
 
 def variant_layers(spark, sf):
-    v = _layers(spark, sf).withColumn("n", vectors.norm(F.transform("embedding", lambda x: x.cast("double"))))
-    return v.groupBy("variant").agg(F.count(F.lit(1)).alias("n_themes"), F.round(F.avg("n"), 6).alias("mean_norm"))
+    """Variants written as files of a folder each, read back together."""
+    folder = _shared_folder(spark, "variants")
+    v = cut(_layers(spark, sf))
+    for name in ("layer00", "layer01"):
+        store.overwrite(v.filter(F.col("variant") == name).drop("variant"), f"{folder}/{name}.parquet")
+    rows = store.read_variants(spark, folder).withColumn("n", vectors.norm(F.transform("embedding", lambda x: x.cast("double"))))
+    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n_themes"), F.round(F.avg("n"), 6).alias("mean_norm"))
 
 
 def variant_complete(spark, sf):
-    """Themes that have a vector of every version."""
-    rows = table(spark, sf, "theme_vectors").filter("theme_id is not null and embed_version is not null").select("theme_id", F.col("embed_version").alias("variant"))
-    return variants.complete_ids(rows)
+    """Themes of which both halves of a vector are whole."""
+    rows = table(spark, sf, "theme_vectors").filter("theme_id is not null").select("theme_id", F.array(F.slice("embedding", 1, DIMS // 2), F.slice("embedding", DIMS // 2 + 1, DIMS // 2)).alias("layers"))
+    return variants.complete_ids(variants.explode_layers(rows).filter(vectors.usable(F.col("embedding"), DIMS // 2)))
 
 
 def variant_dataset(spark, sf):
@@ -353,7 +450,60 @@ def _ranks(spark, sf, mode):
 
 def paired_delta(spark, sf):
     d = evaluate.paired(_ranks(spark, sf, "purist"), _ranks(spark, sf, "comfort"))
-    return evaluate.paired_summary(d).select(_six("delta"), "better", "worse", "n_seeds")
+    return evaluate.paired_summary(d).select(_six("mrr_baseline"), _six("mrr"), _six("delta"), "better", "worse", "n_seeds")
+
+
+def median_ranks(spark, sf):
+    t = seeds(spark, sf)
+    out = None
+    for family in evaluate.FAMILIES:
+        m = evaluate.median_first_rank(evaluate.family_scores(t, family)).select(F.lit(family).alias("family"), "median_rank", "median_pool")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def corpus_meta(spark, sf):
+    """What a run's record says of its corpus."""
+    d = cut(recommend.prepare(dataset(spark, sf)))
+    size = d.agg(F.count(F.lit(1)).alias("themes"), F.countDistinct("mal_id").alias("anime"), F.max(F.size("u")).alias("embed_dim"))
+    return size.crossJoin(evaluate.fingerprint(d)).crossJoin(vectors.mean_offdiagonal_cosine(d, "u").select(_six("mean_cosine")))  # a row each
+
+
+def _halves(spark, sf) -> DataFrame:
+    """``variant, seed, rank`` of both halves of the vectors as variants."""
+    d = cut(dataset(spark, sf).select("theme_id", "mal_id", "audio_id", "artist_ids", "genres", "start_year", "embedding"))
+    ranks = None
+    for n in (0, 1):
+        half = d.withColumn("embedding", F.slice("embedding", n * DIMS // 2 + 1, DIMS // 2)).filter(vectors.usable(F.col("embedding")))
+        r = evaluate.family_scores(evaluate.seed_table(recommend.prepare(half), CFG), "artist").withColumn("variant", F.lit(f"layer0{n}"))
+        ranks = r if ranks is None else ranks.unionByName(r)
+    return cut(ranks)
+
+
+def _by_anime(spark, sf) -> DataFrame:
+    return themes(spark, sf).select(F.col("theme_id").alias("seed"), "mal_id")
+
+
+def sweep_vectors(spark, sf):
+    return evaluate.sweep(_halves(spark, sf), _by_anime(spark, sf), "layer01").select("variant", "n_shared", _six("tune_mrr"), _six("holdout_mrr"), "selected", "is_reference")
+
+
+def sweep_holdout(spark, sf):
+    """The paired test of the selected half of the vectors against the other over the held-out anime; all zero where the reference was selected."""
+    ranks, groups = _halves(spark, sf), _by_anime(spark, sf)
+    first = evaluate.sweep(ranks, groups, "").filter("selected").first().variant
+    reference = "layer01" if first == "layer00" else "layer00"
+    diffs = evaluate.holdout(ranks, groups, evaluate.sweep(ranks, groups, reference))
+    return evaluate.paired_summary(diffs).select(_six("mrr_baseline"), _six("mrr"), _six("delta"), "better", "worse", "n_seeds")
+
+
+def bootstrap_bounds(spark, sf):
+    """Of every metric: whether its interval holds the value, and about as wide as the normal distribution has it."""
+    values = cut(evaluate.per_seed(seeds(spark, sf)))
+    m = values.groupBy("name").agg(F.avg("value").alias("v"), F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n_seeds"))
+    j = m.join(evaluate.intervals(values), "name")
+    width = 2 * 1.96 * F.col("sd") / F.sqrt("n_seeds")
+    return j.select("name", "n_seeds", F.col("v").between(F.col("ci_low") - 1e-12, F.col("ci_high") + 1e-12).alias("inside"), (F.abs(F.col("ci_high") - F.col("ci_low") - width) <= 0.25 * width + 1e-9).alias("near_normal"))
 
 
 def variant_sweep(spark, sf):
@@ -370,15 +520,17 @@ QUERIES = {
     "mean_offdiag_cosine": mean_offdiag_cosine, "cosine_consecutive": cosine_consecutive, "metadata_weight": metadata_weight,
     "recommend_purist": _mode("purist"), "recommend_discovery": _mode("discovery"), "recommend_comfort": _mode("comfort"),
     "recommend_exclude_same": _mode("discovery", exclude_same_anime=True), "recommend_no_dedup": _mode("discovery", dedup_audio=False), "recommend_cap1": _mode("discovery", max_per_anime=1),
-    "recommend_cap5": _mode("discovery", max_per_anime=5), "recommend_one_seed": recommend_one_seed, "whiten_project": whiten_project, "recommend_whitened": recommend_whitened,
+    "recommend_cap5": _mode("discovery", max_per_anime=5), "recommend_one_seed": recommend_one_seed, "whiten_project": whiten_project, "whiten_gram": whiten_gram, "whiten_variance": whiten_variance, "recommend_whitened": recommend_whitened,
     "pick_audio": pick_audio, "flatten_nested": flatten_nested, "dedup_keep_first": dedup_keep_first, "build_dataset": build_dataset, "exclude_errors": exclude_errors, "join_loss": join_loss,
     "staleness_offenders": staleness_offenders, "incremental_todo": incremental_todo, "dup_basenames": dup_basenames, "shard_union": shard_union,
+    "download_targets": download_targets, "metadata_flatten": metadata_flatten, "embed_capture": embed_capture, "pool_frames": pool_frames, "artist_map": artist_map, "similar_payloads": similar_payloads,
     "hash_split": hash_split, "split_chunks": split_chunks, "pool_mean": pool_mean, "feature_lengths": feature_lengths,
     "artist_frequency": artist_frequency, "normalize_name": normalize_name, "artist_resolve": artist_resolve, "top3_neighbours": top3_neighbours, "neighbour_sizes": neighbour_sizes, "artist_coverage": artist_coverage,
     "neighbours_in_corpus": neighbours_in_corpus, "variant_layers": variant_layers, "variant_complete": variant_complete, "variant_dataset": variant_dataset,
     "eval_seed_table": eval_seed_table, "artist_first_hit": _first_hit("artist"), "related_first_hit": _first_hit("behavioural"), "recall_at_k": _values("recall", ("name", "value", "n_seeds")),
     "mrr": _values("mrr", ("name", "value", "n_seeds")), "random_recall": random_recall, "random_mrr": random_mrr, "controls": _values("^(genre|era)", ("name", "value", "baseline", "n_seeds")), "lift_table": _values("."),
-    "bootstrap_ci": bootstrap_ci, "bootstrap_ci_large": bootstrap_ci_large, "paired_delta": paired_delta, "variant_sweep": variant_sweep,
+    "bootstrap_ci": bootstrap_ci, "bootstrap_ci_large": bootstrap_ci_large, "bootstrap_bounds": bootstrap_bounds, "paired_delta": paired_delta, "variant_sweep": variant_sweep,
+    "median_ranks": median_ranks, "corpus_meta": corpus_meta, "sweep_vectors": sweep_vectors, "sweep_holdout": sweep_holdout,
 }
 
 
@@ -417,6 +569,10 @@ se as (select mbid, unnest(l) as e, unnest(range(1, len(l) + 1)) as pos from sim
 nb as (select distinct mbid, near from (select mbid, e.mbid as near, row_number() over (partition by mbid order by e.score desc, pos) as n from se) where n <= 3 and near is not null)"""
 
 
+#: The same where entries without an id are left out before the first three are taken, as a service's answers have it.
+_SIM2 = _SIM.replace("from sim1)", "from (select mbid, list_filter(l, lambda x: x.mbid is not null) as l from sim1))")
+
+
 def _eval(scale: float = 0.0) -> str:
     return _DS + ", " + _SIM + """, own as (select ds.theme_id, list_distinct(list(m.mbid)) as mb from (select theme_id, unnest(artist_names) as name from ds) ds join (select query as name, mbid from mb_artists where mbid is not null) m using (name) group by 1),
 nea as (select theme_id, list(distinct near) as nr from (select theme_id, unnest(mb) as mbid from own) join nb using (mbid) group by 1)""" + _pairs(scale, True) + """,
@@ -441,6 +597,15 @@ lt as (select name, avg(value) as value, avg(base) as baseline, case when avg(ba
 """
 
 
+_U = "list_transform(ve.v, lambda x: x / sqrt(list_inner_product(ve.v, ve.v))) as u"
+
+
+def _eval_half(n: int) -> str:
+    """The evaluation with one half of the vectors."""
+    h = f"ve.v[{n * DIMS // 2 + 1}:{(n + 1) * DIMS // 2}]"
+    return _eval().replace(_U, f"list_transform({h}, lambda x: x / sqrt(list_inner_product({h}, {h}))) as u")
+
+
 def _half(x: str) -> str:
     return f"(('0x' || right(md5({x}::varchar), 1))::int % 2)::int"
 
@@ -469,6 +634,8 @@ select a.i::int as i, b.i::int as j, round(sum(a.x * b.x), 4) as x from c a join
 q as (select theme_id, before, mal_id = bm as same_anime, list_has_any(aa, ba) as same_artist, coalesce(abs(start_year - b_y) <= 2, false) as era, len(list_intersect(gg, bg)) as ni, len(gg) + len(bg) - len(list_intersect(gg, bg)) as nu from l where before is not null),
 j as (select *, case when nu > 0 then ni / nu::double else 0 end as ja from q)
 select theme_id, before, same_anime, same_artist, era, round(ja, 6) as jaccard, round((0.1::double * same_anime::int + 0.3::double * same_artist::int + 0.05::double * era::int + 0.3::double * ja) / 0.75::double, 6) as weight from j""",
+    "whiten_gram": f"select i::int as i, j::int as j, (i = j)::int::double as x from range({DIMS}) a(i), range({DIMS}) b(j)",
+    "whiten_variance": f"select {DIMS} as components, 1.0::double as variance_kept",
     "recommend_purist": _rec(0), "recommend_discovery": _rec(1), "recommend_comfort": _rec(2), "recommend_exclude_same": _rec(1, exclude=True), "recommend_no_dedup": _rec(1, dedup=False),
     "recommend_cap1": _rec(1, cap=1), "recommend_cap5": _rec(1, cap=5),
     "recommend_one_seed": f"""select x.seed, x.rank, x.theme_id, y.mal_id, y.audio_id, y.title, coalesce(y.theme_type, 'None') || coalesce(y.theme_sequence::varchar, '') as theme_label, y.song_title,
@@ -492,7 +659,19 @@ select record_id, anime_pos::int as anime_pos, theme_id, anime_slug, mal_id, nod
 select count(*) as n_themes, count(*) filter (m) as without_metadata, count(*) filter (e) as without_vector, count(*) filter (not m and not e) as complete from j""",
     "staleness_offenders": f"select distinct embed_model, embed_version from theme_vectors where not (embed_model is not distinct from '{CFG.embed_model}' and embed_version is not distinct from '{CFG.embed_version}') order by 1, 2 limit 5",
     "incremental_todo": f"with {_TH}, {_VE} select theme_id, audio_id from th where theme_id not in (select theme_id from ve)",
-    "dup_basenames": "select audio_basename, count(distinct audio_id) as n from animethemes where audio_id is not null and audio_basename is not null group by 1 having count(distinct audio_id) > 1",
+    "dup_basenames": "select split_part(audio_basename, '-', 1) as audio_basename, count(distinct audio_id) as n from animethemes where audio_id is not null and audio_basename is not null group by 1 having count(distinct audio_id) > 1",
+    "download_targets": """select audio_id, audio_link, audio_basename, audio_size from animethemes where audio_id is not null and audio_link is not null and audio_basename is not null
+  qualify row_number() over (partition by audio_id order by ingest_pos) = 1""",
+    "metadata_flatten": """select ingest_pos, mal_id, title, aired_from, aired_to, start_year as year, mal_rank as rank, score, list_filter(coalesce(genres, []), lambda x: x is not null and x <> '') as genres,
+  list_filter(coalesce(genre_ids, []), lambda x: x is not null) as genre_ids, list_filter(coalesce(studios, []), lambda x: x is not null and x <> '') as studios,
+  list_filter(coalesce(studio_ids, []), lambda x: x is not null) as studio_ids, list_filter(coalesce(themes, []), lambda x: x is not null and x <> '') as themes from mal where mal_id is not null""",
+    "embed_capture": f"""with g as (select ingest_pos, coalesce(len(embedding) = {DIMS} and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), false) as ok from theme_vectors)
+select ingest_pos, '{CFG.embed_version}' as embed_version, case when ok then {DIMS} end as dims, case when ok then {DIMS // 8} end as n_chunks_used, case when ok then {DIMS / 2}::double end as total_seconds_used,
+  case when not ok then 'ValueError' end as error_class, case when not ok then 'not a whole vector' end as error_message from g""",
+    "pool_frames": f"""with {_VE}, x as (select theme_id, theme_id % 8 + 1 as n, unnest(v) as x, unnest(range({DIMS})) as i from ve), m as (select theme_id, i % 8 as d, sum(x) / any_value(n) as x from x where i // 8 < n group by all)
+select theme_id, round(max(x) filter (d = 0), 6) as first, round(sum(x), 6) as total from m group by 1""",
+    "artist_map": "select query as name, mbid from mb_artists where mbid is not null and query is not null",
+    "similar_payloads": f"with {_SIM2} select mbid, near from nb",
     "shard_union": f"select embed_version, count(*) as n, count(case when embed_version = '{CFG.embed_version}' then n_chunks_used end) as n_with_chunks from theme_vectors where embed_version is not null group by 1",
     "hash_split": f"with {_ML} select mal_id, {_half('mal_id')} as half from ml",
     "split_chunks": f"""with {_VE}, c as (select theme_id, i::int as chunk_no, v[i * 20 + 1:i * 20 + 30] as p from ve, (select unnest([0, 1, 2]) as i))
@@ -512,7 +691,8 @@ select count(*) as n_themes, round(avg((theme_id in (select theme_id from h wher
     "neighbours_in_corpus": f"""with {_SIM} select mbid, near from nb where near in (select m.mbid from mb_artists m join (select distinct unnest(artist_names) as name from animethemes) a on a.name = m.query where m.mbid is not null)""",
     "variant_layers": f"""with {_VE}, l as (select 'layer00' as variant, v[1:{DIMS // 2}] as e from ve union all select 'layer01', v[{DIMS // 2 + 1}:{DIMS}] from ve)
 select variant, count(*) as n_themes, round(avg(sqrt(list_inner_product(e, e))), 6) as mean_norm from l group by 1""",
-    "variant_complete": "select theme_id from theme_vectors where theme_id is not null and embed_version is not null group by 1 having count(distinct embed_version) = (select count(distinct embed_version) from theme_vectors where theme_id is not null)",
+    "variant_complete": f"""with h as (select theme_id, n, embedding[n * {DIMS // 2} + 1:(n + 1) * {DIMS // 2}] as e from theme_vectors, (select unnest([0, 1]) as n) where theme_id is not null)
+select theme_id from h where len(e) = {DIMS // 2} and list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0)) group by 1 having count(distinct n) = 2""",
     "variant_dataset": _DS + f" select theme_id, mal_id, variant, '{CFG.embed_model}' as embed_model, embed_version || '-' || variant as embed_version, {DIMS // 2} as dims from ds, (select unnest(['layer00', 'layer01']) as variant)",
     "eval_seed_table": _eval() + " select seed, pool, n_artist, n_behavioural, " + ", ".join(f"round({x}_{y} + {_NUDGE}::double, 6) as {x}_{y}" for x in ("share", "jaccard", "near") for y in ("at", "pool")) + " from s",
     "artist_first_hit": _eval() + " select seed, rank, pool, n_rel from fam where fam = 'artist'",
@@ -523,7 +703,19 @@ select variant, count(*) as n_themes, round(avg(sqrt(list_inner_product(e, e))),
     "random_mrr": _eval() + " select seed, round(base, 6) as baseline from mrrb where fam = 'artist'",
     "controls": _eval() + " select name, round(value, 6) as value, round(baseline, 6) as baseline, n_seeds from lt where name like 'genre%' or name like 'era%'",
     "lift_table": _eval() + " select name, round(value, 6) as value, round(baseline, 6) as baseline, round(lift, 6) as lift, n_seeds from lt",
-    "paired_delta": f"select round(avg(1.0::double / b.rank - 1.0::double / a.rank), 6) as delta, count(*) filter (b.rank < a.rank) as better, count(*) filter (b.rank > a.rank) as worse, count(*) as n_seeds from {_ranks_sql(0)} a join {_ranks_sql(2)} b using (seed)",
+    "bootstrap_bounds": _eval() + " select name, n_seeds, true as inside, true as near_normal from lt",
+    "median_ranks": _eval() + """ select f.family, floor(median(fam.rank))::bigint as median_rank, floor(median(fam.pool))::bigint as median_pool
+  from (select unnest(['artist', 'behavioural']) as family, unnest(['artist', 'related']) as fam) f left join fam using (fam) group by 1""",
+    "corpus_meta": _DS + """ select (select count(*) from ds) as themes, (select count(distinct mal_id) from ds) as anime, (select max(len(u))::int from ds) as embed_dim,
+  (select left(sha256(string_agg(theme_id::varchar, ',' order by theme_id)), 16) from ds) as fingerprint, round(avg(list_inner_product(a.u, b.u)), 6) as mean_cosine from ds a join ds b on a.theme_id < b.theme_id""",
+    "sweep_vectors": f"""with u as (select 'layer00' as variant, * from ({_eval_half(0)} select seed, artist_rank as rank, mal_id from s where n_artist > 0) union all select 'layer01', * from ({_eval_half(1)} select seed, artist_rank as rank, mal_id from s where n_artist > 0)),
+sh as (select seed from u group by 1 having count(distinct variant) = 2), g as (select variant, count(*) as n_shared, avg(1.0::double / rank) filter ({_half('mal_id')} = 0) as t, avg(1.0::double / rank) filter ({_half('mal_id')} = 1) as h from u where seed in (select seed from sh) group by 1)
+select variant, n_shared, round(t, 6) as tune_mrr, round(h, 6) as holdout_mrr, row_number() over (order by t desc, variant) = 1 as selected, variant = 'layer01' as is_reference from g""",
+    "sweep_holdout": f"""with a as ({_eval_half(0)} select seed, artist_rank as rank, mal_id from s where n_artist > 0), b as ({_eval_half(1)} select seed, artist_rank as rank, mal_id from s where n_artist > 0),
+j as (select a.seed, a.mal_id, 1.0::double / a.rank as x, 1.0::double / b.rank as y from a join b using (seed)), w as (select avg(x) >= avg(y) as first from j where {_half('mal_id')} = 0),
+h as (select case when first then y else x end as base, case when first then x else y end as chosen from j, w where {_half('mal_id')} = 1)
+select round(avg(base), 6) as mrr_baseline, round(avg(chosen), 6) as mrr, round(avg(chosen - base), 6) as delta, count(*) filter (chosen > base) as better, count(*) filter (chosen < base) as worse, count(*) as n_seeds from h""",
+    "paired_delta": f"select round(avg(1.0::double / a.rank), 6) as mrr_baseline, round(avg(1.0::double / b.rank), 6) as mrr, round(avg(1.0::double / b.rank - 1.0::double / a.rank), 6) as delta, count(*) filter (b.rank < a.rank) as better, count(*) filter (b.rank > a.rank) as worse, count(*) as n_seeds from {_ranks_sql(0)} a join {_ranks_sql(2)} b using (seed)",
     "variant_sweep": f"""with u as (select 'purist' as variant, * from {_ranks_sql(0)} union all select 'discovery', * from {_ranks_sql(1)} union all select 'comfort', * from {_ranks_sql(2)}),
 sh as (select seed from u group by 1 having count(distinct variant) = 3), g as (select variant, count(*) as n_shared, avg(1.0::double / rank) filter ({_half('mal_id')} = 0) as t, avg(1.0::double / rank) filter ({_half('mal_id')} = 1) as h from u where seed in (select seed from sh) group by 1)
 select variant, n_shared, round(t, 6) as tune_mrr, round(h, 6) as holdout_mrr, row_number() over (order by t desc, variant) = 1 as selected, variant = 'purist' as is_reference from g""",

@@ -90,3 +90,12 @@ def test_best_audio_and_site_id(spark):
 def test_keep_first(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 2, "a"), (2, 9, "c")], "theme_id long, ingest_pos long, v string")
     assert rows(catalogue.keep_first(df, "theme_id", "ingest_pos"), "theme_id", "v") == [(1, "a"), (2, "c")]
+
+
+def test_the_session_keeps_its_settings_and_tables_share_a_parse(spark):
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(1, '{"animethemes": [{"id": 3, "id": 4, "animethemeentries": [{"videos": [{"nc": true, "audio": {"id": 9}}]}]}]}'), (2, "{")], "record_id long, payload string")
+    one = {level: rows(nested.flat_table(df, level)) for level in nested.LEVELS}
+    assert {level: rows(t) for level, t in nested.flat_tables(df).items()} == one and spark.conf.get(name) == before
+    assert [len(t) for t in one.values()] == [1, 1, 1, 1] and one["theme"][0][3] == 4
