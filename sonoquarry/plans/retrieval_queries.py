@@ -125,8 +125,10 @@ def whiten_variance(spark, sf):
 
 
 def whiten_project(spark, sf):
+    """Squared length of each vector whitened to all components (without the stabiliser): its distance to the mean by the covariance."""
     e = spread(embeddings(spark, sf).select("theme_id", "embedding"))
-    return whitening.apply(e, "embedding", whitening.fit(e, "embedding", 32)).select("theme_id", "whitened")
+    w = whitening.apply(e, "embedding", whitening.fit(e, "embedding", CFG.whiten_components, eps=0.0))
+    return w.select("theme_id", F.size("whitened").alias("components"), F.round(F.pow(vectors.norm(F.col("whitened")), 2), 6).alias("length2"))
 
 
 # --- recommendations -------------------------------------------------------------------------------------
@@ -149,7 +151,7 @@ def recommend_one_seed(spark, sf):
 
 def recommend_whitened(spark, sf):
     d = dataset(spark, sf).select("theme_id", "mal_id", "audio_id", "artist_ids", "artist_names", "genres", "start_year", "embedding")
-    w = whitening.apply(d, "embedding", whitening.fit(d, "embedding", 32, CFG.whiten_alpha, CFG.whiten_eps))
+    w = whitening.apply(d, "embedding", whitening.fit(d, "embedding", CFG.whiten_components, CFG.whiten_alpha, 0.0))
     return _recommend(recommend.recommend(cut(recommend.prepare(w, "whitened").drop("embedding", "whitened")), CFG))
 
 
@@ -617,6 +619,29 @@ def _ranks_sql(scale: float) -> str:
 _PICK = _P1 + """, cand as (select v.record_id, v.anime_pos, v.theme_pos, v.entry_pos, v.video_pos, coalesce(try_cast(v.node->>'$.nc' as boolean), false) as nc, try_cast(v.node->>'$.resolution' as int) as raw, a.node as audio
   from videos v join audios a using (record_id, anime_pos, theme_pos, entry_pos, video_pos)),
 best as (select * from cand qualify row_number() over (partition by record_id, anime_pos, theme_pos order by nc desc, coalesce(raw, 0) desc, entry_pos, video_pos) = 1)"""
+
+
+def _inverse(source: str) -> str:
+    """Mean of ``v`` and inverse covariance (population size) of the rows of ``source``, by elimination on lists; ``dev`` has the centred vectors."""
+    return f"""mn as (select list(x order by i) as mu from (select i, avg(x) as x from (select unnest(v) as x, unnest(range({DIMS})) as i from {source}) group by i)),
+dev as (select theme_id, list_transform(v, lambda x, i: x - mu[i]) as d from {source}, mn),
+dl as (select theme_id, unnest(d) as x, unnest(range({DIMS})) as i from dev),
+cv as (select a.i, b.i as j, sum(a.x * b.x) / (select count(*) from dev) as x from dl a join dl b using (theme_id) group by all),
+mt as (select list(r order by i) as m from (select i, list_concat(list(x order by j), list_transform(range({DIMS}), lambda q: (q = i)::int::double)) as r from cv group by i)),
+gj as (select 0 as k, m from mt union all
+  select k + 1, list_transform(m, lambda r, i: case when i = k + 1 then p else list_transform(r, lambda x, j: x - r[k + 1] * p[j]) end)
+  from (select k, m, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) as p from gj where k < {DIMS})),
+iv as (select list_transform(m, lambda r: r[{DIMS} + 1:]) as inv from gj where k = {DIMS}),
+wh as (select theme_id, d, list_transform(inv, lambda r: list_inner_product(r, d)) as t from dev, iv),
+wu as (select theme_id, list_transform(d, lambda x: x / sqrt(list_inner_product(d, t))) as wu, list_transform(t, lambda x: x / sqrt(list_inner_product(d, t))) as wt, list_inner_product(d, t) as length2 from wh)"""
+
+
+def _rec_whitened() -> str:
+    sql = _DS.replace("with th", "with recursive th", 1) + ", " + _inverse("ds") + ", dw as (select ds.*, wu, wt from ds join wu using (theme_id))"
+    pairs_sql = _pairs(1, False).replace("list_inner_product(a.u, b.u)", "list_inner_product(a.wu, b.wt)").replace("from ds a join ds b", "from dw a join dw b")
+    return sql + pairs_sql + _rec(1).removeprefix(_DS + _pairs(1, False))
+
+
 _KEY = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
 
 SQL = {
@@ -634,6 +659,8 @@ select a.i::int as i, b.i::int as j, round(sum(a.x * b.x), 4) as x from c a join
 q as (select theme_id, before, mal_id = bm as same_anime, list_has_any(aa, ba) as same_artist, coalesce(abs(start_year - b_y) <= 2, false) as era, len(list_intersect(gg, bg)) as ni, len(gg) + len(bg) - len(list_intersect(gg, bg)) as nu from l where before is not null),
 j as (select *, case when nu > 0 then ni / nu::double else 0 end as ja from q)
 select theme_id, before, same_anime, same_artist, era, round(ja, 6) as jaccard, round((0.1::double * same_anime::int + 0.3::double * same_artist::int + 0.05::double * era::int + 0.3::double * ja) / 0.75::double, 6) as weight from j""",
+    "whiten_project": f"with recursive {_VE}, {_inverse('ve')} select theme_id, {DIMS} as components, round(length2, 6) as length2 from wu",
+    "recommend_whitened": _rec_whitened(),
     "whiten_gram": f"select i::int as i, j::int as j, (i = j)::int::double as x from range({DIMS}) a(i), range({DIMS}) b(j)",
     "whiten_variance": f"select {DIMS} as components, 1.0::double as variance_kept",
     "recommend_purist": _rec(0), "recommend_discovery": _rec(1), "recommend_comfort": _rec(2), "recommend_exclude_same": _rec(1, exclude=True), "recommend_no_dedup": _rec(1, dedup=False),
