@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 DIRECTIONS = 16
-#: Mean vectors of a cell, points of a leaf in it, queries of a block.
-CELL, LEAF, ASKING = 32768, 1024, 131072
+#: Mean vectors of a cell for few and for many vectors, points of a leaf, queries of a block and those searched at a time.
+CELL, LARGE_CELL, LEAF, ASKING, AT_ONCE = 32768, 131072, 1024, 131072, 32768
 #: Sample rows per cell that the splits are fitted on, levels fitted at a time, rows that calibrate the stopping threshold.
 PER_CELL, STEP_LEVELS, CALIBRATION = 32, 10, 4096
 #: Probability that a neighbour's leaf isn't visited, and that its projection lies beyond the bound of all directions.
@@ -175,7 +175,7 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
     if not len(points) or not len(asking):
         return none
     first, levels = len(tree.cuts), max(0, math.ceil(math.log2(len(points) / leaf)))
-    pp, pq = points @ tree.directions, asking @ tree.directions
+    pp = points @ tree.directions
     cuts = fit_levels(pp, first, levels)
     at = descend(pp, cuts, first)
     order = np.argsort(at, kind="stable")
@@ -196,7 +196,17 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
         box = np.minimum(np.searchsorted(held, place), len(held) - 1)
         limit = limits(threshold(np.maximum(np.maximum(low[box] - pp[some], pp[some] - high[box]), 0), d2))
 
-    need = np.empty((len(pq), len(held)), np.float32)  # the squared distance down to which a leaf must be visited
+    grown = np.hstack([-2 * pp, np.einsum("ij,ij->i", pp, pp)[:, None], np.ones((len(pp), 1))]).astype(np.float32)
+    leaves = begin, end, low, high, limit, grown
+    found = [_ask(tree, points, point_ids, leaves, asking[s:s + AT_ONCE], asking_ids[s:s + AT_ONCE], bound[s:s + AT_ONCE], k, least, counts) for s in range(0, len(asking), AT_ONCE)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _ask(tree: Tree, points: np.ndarray, point_ids: np.ndarray, leaves: tuple, asking: np.ndarray, asking_ids: np.ndarray, bound: np.ndarray, k: int, least: float, counts: Counts | None):
+    """The search of some queries among the points, which lie leaf by leaf."""
+    begin, end, low, high, limit, grown = leaves
+    pq = asking @ tree.directions
+    need = np.empty((len(pq), len(begin)), np.float32)  # the squared distance down to which a leaf must be visited
     for s in range(0, len(pq), 1024):
         x = pq[s:s + 1024, None, :]
         gap = np.maximum(np.maximum(low - x, x - high), 0)
@@ -206,13 +216,12 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
     turn = np.argsort(need, axis=1, kind="stable").astype(np.int32)
     need = np.take_along_axis(need, turn, axis=1)
     # one product gives |q|^2 - 2 q p + |p|^2 less the chi-square bound of q
-    pq2, one = np.einsum("ij,ij->i", pq, pq), np.ones((max(len(pp), len(pq)), 1))
-    pp = np.hstack([-2 * pp, np.einsum("ij,ij->i", pp, pp)[:, None], one[:len(pp)]]).astype(np.float32)
-    pq = np.hstack([pq, one[:len(pq)], one[:len(pq)]]).astype(np.float32)
+    pq2 = np.einsum("ij,ij->i", pq, pq)
+    pq = np.hstack([pq, np.ones((len(pq), 2))]).astype(np.float32)
     bound = np.minimum(bound, tree.radius2)
     best = np.full((len(pq), k), -2.0)
     who = np.full((len(pq), k), _NOBODY, np.int64)
-    for j in range(len(held)):
+    for j in range(len(begin)):
         active = np.flatnonzero(need[:, j] <= bound)
         if not len(active):
             break
@@ -227,7 +236,7 @@ def search(tree: Tree, points: np.ndarray, point_ids: np.ndarray, asking: np.nda
                 q = active[t:min(t + 8192, e)]
                 left = pq[q]
                 left[:, -1] = pq2[q] - bound[q] * tree.point_limit - 1e-4  # what rounding may add
-                x, y = np.divmod(np.flatnonzero(left @ pp[a:b].T <= 0), b - a)
+                x, y = np.divmod(np.flatnonzero(left @ grown[a:b].T <= 0), b - a)
                 if counts is not None:
                     counts.compared += len(q) * (b - a)
                     counts.verified += len(x)
@@ -339,6 +348,11 @@ def _load(source: _Source, asks: DataFrame, tree: Tree, total: int, dims: int, a
         tree.blocks[r.cell] = max(1, math.ceil(r.n / share / asking))
 
 
+def cell_size(total: int) -> int:
+    """Mean vectors of a cell: with more vectors fewer copies travel if the cells are larger, up to what a task should hold."""
+    return min(LARGE_CELL, max(CELL, 32 * math.isqrt(total)))
+
+
 def _salt(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
 
@@ -368,11 +382,11 @@ def _placed(cell, role, ids, vec, bound) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(role, pa.int8()), ids, vec, pa.array(bound, pa.float64())], names=["cell", "role", "id", "vec", "bound"])
 
 
-def _links(source: _Source, reps: DataFrame, total: int, dims: int, k: int, least: float, cell: int, leaf: int, asking: int) -> DataFrame:
+def _links(source: _Source, reps: DataFrame, total: int, dims: int, k: int, least: float, cell: int | None, leaf: int, asking: int) -> DataFrame:
     """``a, b, cosine`` of the vectors found near each other, of those in ``reps`` (``id, pos, dir``)."""
     spark = reps.sparkSession
     tree = Tree(dims, 2 - 2 * least)
-    depth = max(0, math.ceil(math.log2(total / cell)))
+    depth = max(0, math.ceil(math.log2(total / (cell or cell_size(total)))))
     if depth:
         _fit(source, reps, tree, total, depth, dims)
         some = source.among(reps, 2 * CALIBRATION / total).select("vec").limit(CALIBRATION).toArrow()
@@ -415,10 +429,10 @@ def _links(source: _Source, reps: DataFrame, total: int, dims: int, k: int, leas
     return found.unionByName(_in_cells(visited, int(tree.blocks.sum()), sent, dims, k, least, leaf))
 
 
-def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims: int = 64, k: int = 5, least: float = 0.90, cell: int = CELL, leaf: int = LEAF, asking: int = ASKING) -> DataFrame:
+def nearest(rows: DataFrame, vector_id: str, vector: str, position: str, *, dims: int = 64, k: int = 5, least: float = 0.90, cell: int | None = None, leaf: int = LEAF, asking: int = ASKING) -> DataFrame:
     """``id, other, cosine, rank_no``: up to ``k`` most similar vectors of every vector, with a cosine of ``least`` or more.
 
-    ``cell``: mean vectors of a task's cell, ``leaf``: points of a leaf, ``asking``: visitors of a task. They set costs, not results.
+    ``cell``: mean vectors of a task's cell (``cell_size`` if None), ``leaf``: points of a leaf, ``asking``: visitors of a task. They set costs, not results.
     """
     spark = rows.sparkSession
     source = _Source(rows, vector_id, vector, position, dims)
