@@ -53,6 +53,12 @@ def run(catalogue: DataFrame, cfg: Config, *, label: str = "current", dataset: s
     return record, table
 
 
+def _difference(diffs: DataFrame) -> dict:
+    """Summary of paired differences, their interval and whether it excludes 0."""
+    interval = evaluate.paired_interval(diffs).drop("name").withColumn("significant", evaluate.significant(F.col("ci_low"), F.col("ci_high")))
+    return evaluate.paired_summary(diffs).first().asDict() | interval.first().asDict()
+
+
 def compare(baseline: DataFrame, table: DataFrame) -> dict[str, dict]:
     """Paired differences of reciprocal ranks by family, with their intervals; families without shared seeds are left out."""
     out = {}
@@ -64,8 +70,7 @@ def compare(baseline: DataFrame, table: DataFrame) -> dict[str, dict]:
             continue
         if diffs.isEmpty():
             continue
-        both = evaluate.paired_summary(diffs).crossJoin(evaluate.paired_interval(diffs).drop("name"))  # a row each
-        out[family] = both.withColumn("significant", evaluate.significant(F.col("ci_low"), F.col("ci_high"))).first().asDict()
+        out[family] = _difference(diffs)
     return out
 
 
@@ -115,8 +120,7 @@ def sweep(catalogues: dict[str, DataFrame], cfg: Config, reference: str, *, mode
         found = {"variants": rows, "selected": next(r["variant"] for r in rows if r["selected"])}
         diffs = evaluate.holdout(ranks, groups, table)
         if diffs is not None and not diffs.isEmpty():
-            both = evaluate.paired_summary(diffs).crossJoin(evaluate.paired_interval(diffs).drop("name"))  # a row each
-            found["holdout"] = both.withColumn("significant", evaluate.significant(F.col("ci_low"), F.col("ci_high"))).first().asDict()
+            found["holdout"] = _difference(diffs)
         out[family] = found
     return out
 

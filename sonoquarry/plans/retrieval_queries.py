@@ -468,7 +468,8 @@ def corpus_meta(spark, sf):
     """What a run's record says of its corpus."""
     d = cut(recommend.prepare(dataset(spark, sf)))
     size = d.agg(F.count(F.lit(1)).alias("themes"), F.countDistinct("mal_id").alias("anime"), F.max(F.size("u")).alias("embed_dim"))
-    return size.crossJoin(evaluate.fingerprint(d)).crossJoin(vectors.mean_offdiagonal_cosine(d, "u").select(_six("mean_cosine")))  # a row each
+    row = size.first().asDict() | evaluate.fingerprint(d).first().asDict() | vectors.mean_offdiagonal_cosine(d, "u").select(_six("mean_cosine")).first().asDict()
+    return spark.createDataFrame([row], "themes long, anime long, embed_dim int, fingerprint string, mean_cosine double")
 
 
 def _halves(spark, sf) -> DataFrame:
