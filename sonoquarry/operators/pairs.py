@@ -1,12 +1,10 @@
 """All-pairs scoring of seeds against candidates in blocks.
 
-The relation is a grid: seeds fall into row blocks, candidates into column blocks (by their recording, so
-that rows which may replace one another in de-duplication share a block). A recording with more than ``HOT`` rows is
-spread over all column blocks by its themes: its rows are marked ``hot``, cells keep them apart from the others, and the
-callers find the best of them over all cells. Each cell is one task of
-bounded size that multiplies dense blocks and adds the metadata signals; nothing is broadcast and no
-pair leaves its cell. The number of pairs is quadratic by definition of an exact ranking; ``nearest`` vectors
-of large collections belong to an index, not here.
+Candidates fall into blocks (by their recording, so that rows which may replace one another in de-duplication share a block), which are
+written once into the shared folder. A recording with more than ``HOT`` rows is spread over all blocks by its themes: its rows are marked
+``hot``, and the callers find the best of them over all blocks. Each task has a line of seeds and reads block after block; nothing is
+broadcast, no row is copied per line and no pair leaves its task (see ``ranking``). The number of pairs is quadratic by definition of an exact
+ranking; ``nearest`` vectors of large collections belong to an index, not here.
 
 Scores equal to nine decimals tie; the smaller theme_id comes first. Inner products are exact sums (see ``halves``), so a
 score doesn't depend on the blocks, the order of a matrix product or the number of cores.
@@ -15,15 +13,18 @@ score doesn't depend on the blocks, the order of a matrix product or the number
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..session import checkpoint_dir
 
 SEEDS, CANDIDATES = 16384, 16384
 #: Rows of one recording beyond which it is spread over the column blocks; so at most two a block on average.
@@ -128,6 +129,66 @@ def score(seeds: Side, candidates: Side, cfg: Config, scale: float, exclude_same
         yield Scores(seeds, candidates, at, cosine, weight, raw, np.round(raw, 9), allowed, partner, jaccard, era)
 
 
+def _store(df: DataFrame, by: str) -> str:
+    """Write ``df`` into the shared folder, a folder for each value of ``by``; deleted when the application ends."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.partitionBy(by).parquet(place.toString())
+    fs.deleteOnExit(place)
+    return fs.makeQualified(place).toString()
+
+
+def _load(folder: str, n: int) -> pa.Table | None:
+    """One block of a stored table; None if it has no rows."""
+    import pyarrow.fs as pfs
+    import pyarrow.parquet as pq
+
+    fs, path = pfs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    found = sorted(f.path for f in fs.get_file_info(pfs.FileSelector(f"{path}/_block={n}", allow_not_found=True)) if f.path.endswith(".parquet"))
+    parts = []
+    for f in found:
+        with fs.open_input_file(f) as source:
+            parts.append(pq.ParquetFile(source).read(use_threads=False))
+    out = pa.concat_tables(parts) if parts else None
+    return out if out is not None and len(out) else None
+
+
+def lines(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pa.Table, Callable[[], Iterator[pa.Table]]], Iterator[pd.DataFrame]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``each(asking, blocks)`` to every line of seeds; ``blocks()`` reads the candidates' blocks one by one. ``seeds``: the rows that ask (all
+    if None); ``carry``: further columns that both sides need."""
+    spark = rows.sparkSession
+    both = [*COLUMNS, *carry]
+    columns = column_blocks(rows)
+    spread = hot(rows, columns)
+    own = F.pmod(F.when(spread, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).cast("int")
+    stored = _store(rows.select(*both, spread.alias("hot"), own.alias("_block")).repartitionById(columns, F.col("_block")), "_block")
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    if seeds is None:
+        asked, n, parts = stored, columns, max(1, math.ceil(CANDIDATES / SEEDS), -(-wanted // columns))
+    else:
+        n_asking = seeds.count()
+        n, parts = max(1, math.ceil(n_asking / SEEDS), min(n_asking, wanted)), 1
+        line = F.pmod(F.xxhash64("theme_id"), F.lit(n)).cast("int")
+        asked = _store(seeds.select(*both, line.alias("_block")).repartitionById(n, F.col("_block")), "_block")
+
+    def blocks() -> Iterator[pa.Table]:
+        for b in range(columns):
+            if (t := _load(stored, b)) is not None:
+                yield t
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"].tolist():
+                t = _load(asked, i // parts)
+                if t is not None and parts > 1:
+                    t = t.take(np.arange(i % parts, len(t), parts))
+                if t is not None and len(t):
+                    yield from each(t, blocks)
+
+    return spark.range(0, n * parts, 1, n * parts).mapInPandas(run, schema)
+
+
 def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``each(seeds, candidates)`` to every cell. ``seeds``: the rows that ask (all if None), with any columns of
     their own; ``carry``: further columns of ``rows`` that both sides need."""
@@ -136,11 +197,11 @@ def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame,
     both = [*COLUMNS, *carry]
     columns = column_blocks(rows)
     n_asking = asking.count()
-    hot = _hot(rows, columns)
+    many = hot(rows, columns)
     lines = max(1, math.ceil(n_asking / SEEDS), min(n_asking, -(-2 * spark.sparkContext.defaultParallelism // columns)))
     kinds = dict(asking.dtypes)
     extra = [] if seeds is None else [c for c in asking.columns if c not in both]
-    c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), hot.alias("hot"), F.pmod(F.when(hot, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).alias("_own"))
+    c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), many.alias("hot"), F.pmod(F.when(many, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).alias("_own"))
     c = c.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda x: x * columns + F.col("_own"))))
     s = asking.select(*both, *extra, F.lit(True).alias("asks"), F.lit(False).alias("hot"), F.pmod(F.xxhash64("theme_id"), F.lit(lines)).alias("_own"))
     s = s.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda x: F.col("_own") * columns + x)))
@@ -161,11 +222,11 @@ def column_blocks(rows: DataFrame) -> int:
     return max(1, math.ceil(rows.count() / CANDIDATES))
 
 
-def _hot(rows: DataFrame, columns: int) -> Column:
+def hot(rows: DataFrame, columns: int) -> Column:
     """Whether a row's recording (null is one as well) has too many rows for one block."""
     if columns == 1:
         return F.lit(False)
     many = [r.audio_id for r in rows.groupBy("audio_id").count().filter(F.col("count") > HOT).select("audio_id").collect()]  # a bounded share of the rows
     named = [x for x in many if x is not None]
-    hot = F.coalesce(F.col("audio_id").isin(named), F.lit(False)) if named else F.lit(False)
-    return hot | F.col("audio_id").isNull() if None in many else hot
+    found = F.coalesce(F.col("audio_id").isin(named), F.lit(False)) if named else F.lit(False)
+    return found | F.col("audio_id").isNull() if None in many else found
