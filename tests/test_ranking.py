@@ -14,6 +14,7 @@ RECOMMENDED = {
     "recommend_cap1": dict(max_per_anime=1),
     "recommend_comfort": dict(mode="comfort"),
     "recommend_exclude_same": dict(exclude_same_anime=True),
+    "recommend_whitened": dict(),
 }
 
 
