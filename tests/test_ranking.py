@@ -15,6 +15,7 @@ RECOMMENDED = {
     "recommend_comfort": dict(mode="comfort"),
     "recommend_exclude_same": dict(exclude_same_anime=True),
     "recommend_whitened": dict(),
+    "recommend_cap5": dict(max_per_anime=5),
 }
 
 
