@@ -16,6 +16,7 @@ RECOMMENDED = {
     "recommend_exclude_same": dict(exclude_same_anime=True),
     "recommend_whitened": dict(),
     "recommend_cap5": dict(max_per_anime=5),
+    "recommend_discovery": dict(mode="discovery"),
 }
 
 
