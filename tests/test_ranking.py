@@ -17,6 +17,7 @@ RECOMMENDED = {
     "recommend_whitened": dict(),
     "recommend_cap5": dict(max_per_anime=5),
     "recommend_discovery": dict(mode="discovery"),
+    "recommend_no_dedup": dict(dedup_audio=False),
 }
 
 
