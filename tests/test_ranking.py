@@ -18,6 +18,7 @@ RECOMMENDED = {
     "recommend_cap5": dict(max_per_anime=5),
     "recommend_discovery": dict(mode="discovery"),
     "recommend_no_dedup": dict(dedup_audio=False),
+    "recommend_purist": dict(mode="purist"),
 }
 
 
