@@ -190,31 +190,13 @@ def lines(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pa.Table, Ca
 
 
 def grid(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Apply ``each(seeds, candidates)`` to every cell. ``seeds``: the rows that ask (all if None), with any columns of
-    their own; ``carry``: further columns of ``rows`` that both sides need."""
-    spark = rows.sparkSession
-    asking = rows if seeds is None else seeds
-    both = [*COLUMNS, *carry]
-    columns = column_blocks(rows)
-    n_asking = asking.count()
-    many = hot(rows, columns)
-    lines = max(1, math.ceil(n_asking / SEEDS), min(n_asking, -(-2 * spark.sparkContext.defaultParallelism // columns)))
-    kinds = dict(asking.dtypes)
-    extra = [] if seeds is None else [c for c in asking.columns if c not in both]
-    c = rows.select(*both, *[F.lit(None).cast(kinds[e]).alias(e) for e in extra], F.lit(False).alias("asks"), many.alias("hot"), F.pmod(F.when(many, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).alias("_own"))
-    c = c.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda x: x * columns + F.col("_own"))))
-    s = asking.select(*both, *extra, F.lit(True).alias("asks"), F.lit(False).alias("hot"), F.pmod(F.xxhash64("theme_id"), F.lit(lines)).alias("_own"))
-    s = s.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda x: F.col("_own") * columns + x)))
-    cells = c.unionByName(s).drop("_own")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)  # one cell, of bounded size
-        if parts:
-            f = pd.concat(parts, ignore_index=True)
-            yield each(f[f["asks"]], f[~f["asks"]])
+    """Apply ``each(seeds, candidates)`` to every line and block."""
+    def cells(asking: pa.Table, blocks: Callable[[], Iterator[pa.Table]]) -> Iterator[pd.DataFrame]:
+        a = asking.to_pandas().assign(asks=True)
+        for block in blocks():
+            yield each(a, block.to_pandas().assign(asks=False))
 
-    # a partition for each cell: hashing would put several heavy cells into one
-    return cells.repartitionById(lines * columns, F.col("cell").cast("int")).drop("cell").mapInPandas(run, schema)
+    return lines(rows, seeds, cells, schema, carry)
 
 
 def column_blocks(rows: DataFrame) -> int:

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from sonoquarry.functions import scores
-from sonoquarry.operators import pairs, ranking, recommend
+from sonoquarry.operators import evaluate, pairs, ranking, recommend
 
 from .test_retrieval import CFG, corpus
 
@@ -79,3 +79,64 @@ def test_no_row_is_copied_for_each_line(spark, monkeypatch, name):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and sum(spark.read.parquet(x).count() for x in stored) == 80
     assert found.count() == 80 * 20
+
+
+def seed_rows(t, scale, exclude, control_k):
+    """The evaluation of every seed out of the dense scores."""
+    f = t.to_pandas().sort_values("theme_id")
+    side = pairs.Side.of(f)
+    own, near = ([{x for x in v if x is not None} if v is not None else set() for v in f[c]] for c in ("mbids", "near_mbids"))
+    out = []
+    for s in pairs.score(side, side, CFG, scale, exclude):
+        for i in range(len(s.final)):
+            a = s.at.start + i
+            d = pd.DataFrame({"theme": side.theme_id, "audio": side.audio_id, "final": s.final[i], "artist": s.partner[i], "behavioural": [bool(own[j] & (near[a] - own[a])) and not own[j] & own[a] for j in range(len(f))],
+                              "share": s.jaccard[i] > 0, "jaccard": s.jaccard[i], "near": s.era[i]})[s.allowed[i]].sort_values(["final", "theme"], ascending=[False, True]).drop_duplicates("audio").reset_index(drop=True)
+            row = {"seed": side.theme_id[a], "pool": len(d)}
+            for x in ("artist", "behavioural"):
+                row |= {f"n_{x}": d[x].sum(), f"{x}_rank": d.index[d[x]][0] + 1 if d[x].any() else 0}
+            out.append(row | {f"{x}_at": d[x][:control_k].mean() for x in ("share", "jaccard", "near")} | {f"{x}_pool": d[x].mean() for x in ("share", "jaccard", "near")})
+    return pd.DataFrame(out).set_index("seed").sort_index().astype(float)
+
+
+def line_of(t, blocks, scale, exclude, spread=()):
+    line = evaluate._Line(ranking.Rows(t, seeds=True, carry=True), CFG, scale, exclude, 10)
+    audio, theme = t["audio_id"].to_numpy(), t["theme_id"].to_numpy()
+    hot = np.isin(audio, spread)
+    block = np.where(hot, theme, audio) % blocks
+    parts = [t.append_column("hot", pa.array(hot)).filter(pa.array(block == b)) for b in range(blocks)]
+    for p in parts:
+        line.seek(p)
+    line.between()
+    for p in parts:
+        line.rank(p)
+    return line.table(10)
+
+
+@pytest.mark.parametrize("mode", scores.MODES)
+@pytest.mark.parametrize("blocks,spread", [(1, ()), (3, ()), (3, (4, 7))])
+def test_seed_table_is_that_of_all_pairs(mode, blocks, spread):
+    t, scale = table(n=300), scores.mode_scale(mode)
+    got = line_of(t, blocks, scale, True, spread).set_index("seed").sort_index()
+    wanted = seed_rows(t, scale, True, 10)
+    assert len(got) == len(wanted) == 300
+    assert np.abs(got[wanted.columns].fillna(0).astype(float) - wanted).max().max() < 1e-9
+
+
+#: Each query that is made of ``seed_table``, with the modes that it ranks in.
+EVALUATED = {
+    "artist_first_hit": ("purist",),
+}
+
+
+@pytest.mark.parametrize("mode", sorted({m for x in EVALUATED.values() for m in x}))
+def test_few_pairs_are_scored_exactly(monkeypatch, mode):
+    """The time that an evaluation takes: the bound settles nearly all pairs."""
+    scored, exact = [], ranking.Slice.exact
+    monkeypatch.setattr(ranking.Slice, "exact", lambda s, r, c: scored.append(len(r)) or exact(s, r, c))
+    t = table(n=3000, dims=32, names=200)
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(3000, 32))
+    t = t.set_column(t.column_names.index("u"), "u", pa.array(list(u / np.linalg.norm(u, axis=1)[:, None])))
+    assert len(line_of(t, 2, scores.mode_scale(mode), True)) == 3000
+    assert sum(scored) < 0.1 * 3000 * 3000
