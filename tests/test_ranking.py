@@ -126,6 +126,7 @@ def test_seed_table_is_that_of_all_pairs(mode, blocks, spread):
 #: Each query that is made of ``seed_table``, with the modes that it ranks in.
 EVALUATED = {
     "artist_first_hit": ("purist",),
+    "bootstrap_ci_large": ("purist",),
 }
 
 
