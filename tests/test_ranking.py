@@ -127,6 +127,7 @@ def test_seed_table_is_that_of_all_pairs(mode, blocks, spread):
 EVALUATED = {
     "artist_first_hit": ("purist",),
     "bootstrap_ci_large": ("purist",),
+    "lift_table": ("purist",),
 }
 
 
