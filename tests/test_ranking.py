@@ -128,6 +128,7 @@ EVALUATED = {
     "artist_first_hit": ("purist",),
     "bootstrap_ci_large": ("purist",),
     "lift_table": ("purist",),
+    "paired_delta": ("purist", "comfort"),
 }
 
 
