@@ -129,6 +129,7 @@ EVALUATED = {
     "bootstrap_ci_large": ("purist",),
     "lift_table": ("purist",),
     "paired_delta": ("purist", "comfort"),
+    "recall_at_k": ("purist",),
 }
 
 
