@@ -130,6 +130,7 @@ EVALUATED = {
     "lift_table": ("purist",),
     "paired_delta": ("purist", "comfort"),
     "recall_at_k": ("purist",),
+    "sweep_vectors": ("purist",),
 }
 
 
