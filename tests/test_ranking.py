@@ -131,6 +131,7 @@ EVALUATED = {
     "paired_delta": ("purist", "comfort"),
     "recall_at_k": ("purist",),
     "sweep_vectors": ("purist",),
+    "bootstrap_bounds": ("purist",),
 }
 
 
