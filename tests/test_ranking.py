@@ -132,6 +132,7 @@ EVALUATED = {
     "recall_at_k": ("purist",),
     "sweep_vectors": ("purist",),
     "bootstrap_bounds": ("purist",),
+    "controls": ("purist",),
 }
 
 
