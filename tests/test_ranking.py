@@ -133,6 +133,7 @@ EVALUATED = {
     "sweep_vectors": ("purist",),
     "bootstrap_bounds": ("purist",),
     "controls": ("purist",),
+    "median_ranks": ("purist",),
 }
 
 
