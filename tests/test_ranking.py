@@ -134,6 +134,7 @@ EVALUATED = {
     "bootstrap_bounds": ("purist",),
     "controls": ("purist",),
     "median_ranks": ("purist",),
+    "random_mrr": ("purist",),
 }
 
 
