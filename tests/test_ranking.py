@@ -135,6 +135,7 @@ EVALUATED = {
     "controls": ("purist",),
     "median_ranks": ("purist",),
     "random_mrr": ("purist",),
+    "related_first_hit": ("purist",),
 }
 
 
