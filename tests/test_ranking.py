@@ -136,6 +136,7 @@ EVALUATED = {
     "median_ranks": ("purist",),
     "random_mrr": ("purist",),
     "related_first_hit": ("purist",),
+    "variant_sweep": tuple(scores.MODES),
 }
 
 
