@@ -137,6 +137,7 @@ EVALUATED = {
     "random_mrr": ("purist",),
     "related_first_hit": ("purist",),
     "variant_sweep": tuple(scores.MODES),
+    "bootstrap_ci": ("purist",),
 }
 
 
