@@ -138,6 +138,7 @@ EVALUATED = {
     "related_first_hit": ("purist",),
     "variant_sweep": tuple(scores.MODES),
     "bootstrap_ci": ("purist",),
+    "eval_seed_table": ("purist",),
 }
 
 
