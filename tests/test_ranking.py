@@ -139,6 +139,7 @@ EVALUATED = {
     "variant_sweep": tuple(scores.MODES),
     "bootstrap_ci": ("purist",),
     "eval_seed_table": ("purist",),
+    "mrr": ("purist",),
 }
 
 
