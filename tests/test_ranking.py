@@ -140,6 +140,7 @@ EVALUATED = {
     "bootstrap_ci": ("purist",),
     "eval_seed_table": ("purist",),
     "mrr": ("purist",),
+    "random_recall": ("purist",),
 }
 
 
