@@ -19,8 +19,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, length: Column) -> Column:
-    """``v`` divided by its length."""
-    return F.transform(v, lambda x: x / length)
+    """``v`` divided by its length, which is worked out once a row (inside of a lambda it would be for every value)."""
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: x / n)
 
 
 def usable(v: Column, dims: int | None = None) -> Column:

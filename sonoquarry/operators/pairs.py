@@ -130,7 +130,9 @@ def score(seeds: Side, candidates: Side, cfg: Config, scale: float, exclude_same
 
 
 def _store(df: DataFrame, by: str) -> str:
-    """Write ``df`` into the shared folder, a folder for each value of ``by``; deleted when the application ends."""
+    """Write ``df`` into the shared folder, a folder for each value of ``by``; deleted when the application ends.
+
+    Nothing is exchanged for that (a second copy on disk): each task writes a file into every folder, so tasks should be few."""
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -139,6 +141,11 @@ def _store(df: DataFrame, by: str) -> str:
     return fs.makeQualified(place).toString()
 
 
+def _few(df: DataFrame, blocks: int) -> DataFrame:
+    """``df`` in as many parts as keep all cores busy, of 16 blocks' rows at most on average."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(blocks / 16)))
+
+
 def _load(folder: str, n: int) -> pa.Table | None:
     """One block of a stored table; None if it has no rows."""
     import pyarrow.fs as pfs
@@ -162,7 +169,7 @@ def lines(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pa.Table, Ca
     columns = column_blocks(rows)
     spread = hot(rows, columns)
     own = F.pmod(F.when(spread, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).cast("int")
-    stored = _store(rows.select(*both, spread.alias("hot"), own.alias("_block")).repartitionById(columns, F.col("_block")), "_block")
+    stored = _store(_few(rows.select(*both, spread.alias("hot"), own.alias("_block")), columns), "_block")
     wanted = 2 * spark.sparkContext.defaultParallelism
     if seeds is None:
         asked, n, parts = stored, columns, max(1, math.ceil(CANDIDATES / SEEDS), -(-wanted // columns))
@@ -170,7 +177,7 @@ def lines(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pa.Table, Ca
         n_asking = seeds.count()
         n, parts = max(1, math.ceil(n_asking / SEEDS), min(n_asking, wanted)), 1
         line = F.pmod(F.xxhash64("theme_id"), F.lit(n)).cast("int")
-        asked = _store(seeds.select(*both, line.alias("_block")).repartitionById(n, F.col("_block")), "_block")
+        asked = _store(_few(seeds.select(*both, line.alias("_block")), n), "_block")
 
     def blocks() -> Iterator[pa.Table]:
         for b in range(columns):

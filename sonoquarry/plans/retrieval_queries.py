@@ -43,9 +43,14 @@ def dataset(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.build_dataset(themes(spark, sf).drop("ingest_pos", "ingested_at", "deleted_at"), metadata(spark, sf), embeddings(spark, sf))
 
 
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors (as they are stored: unit vectors take twice the room) and metadata, written once: several passes read it."""
+    return cut(dataset(spark, sf).select("theme_id", "mal_id", "audio_id", "artist_ids", "artist_names", "genres", "start_year", "embedding"))
+
+
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit vectors and metadata, written once: several passes read it."""
-    return cut(recommend.prepare(dataset(spark, sf)).select("theme_id", "mal_id", "audio_id", "artist_ids", "artist_names", "genres", "start_year", "u"))
+    """Unit vectors and metadata."""
+    return recommend.prepare(_whole(spark, sf)).drop("embedding")
 
 
 def _six(name: str, alias: str | None = None):
@@ -150,9 +155,9 @@ def recommend_one_seed(spark, sf):
 
 
 def recommend_whitened(spark, sf):
-    d = dataset(spark, sf).select("theme_id", "mal_id", "audio_id", "artist_ids", "artist_names", "genres", "start_year", "embedding")
+    d = _whole(spark, sf)
     w = whitening.apply(d, "embedding", whitening.fit(d, "embedding", CFG.whiten_components, CFG.whiten_alpha, 0.0))
-    return _recommend(recommend.recommend(cut(recommend.prepare(w, "whitened").drop("embedding", "whitened")), CFG))
+    return _recommend(recommend.recommend(recommend.prepare(w, "whitened").drop("embedding", "whitened"), CFG))
 
 
 # --- catalogue -------------------------------------------------------------------------------------------
@@ -410,8 +415,8 @@ def variant_dataset(spark, sf):
 
 
 def seeds(spark, sf, mode: str = "purist") -> DataFrame:
-    c = evaluate.with_mbids(prepared(spark, sf), _resolved(spark, sf), artists.neighbours(_similar(spark, sf)))
-    return cut(evaluate.seed_table(c, CFG, mode=mode))
+    c = evaluate.with_mbids(_whole(spark, sf), _resolved(spark, sf), artists.neighbours(_similar(spark, sf)))
+    return cut(evaluate.seed_table(recommend.prepare(c).drop("embedding"), CFG, mode=mode))
 
 
 def eval_seed_table(spark, sf):

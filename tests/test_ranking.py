@@ -155,3 +155,21 @@ def test_few_pairs_are_scored_exactly(monkeypatch, mode):
     t = t.set_column(t.column_names.index("u"), "u", pa.array(list(u / np.linalg.norm(u, axis=1)[:, None])))
     assert len(line_of(t, 2, scores.mode_scale(mode), True)) == 3000
     assert sum(scored) < 0.1 * 3000 * 3000
+
+
+#: Rankings whose disk is watched.
+STORED = ["recommend_comfort"]
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_blocks_are_stored_without_another_copy(spark, monkeypatch, name):
+    """The disk that a query takes besides its blocks: vectors are written as they came, unit vectors only into the blocks, and without an exchange."""
+    from sonoquarry.plans import retrieval_queries
+
+    written, plans, cut, store = [], [], retrieval_queries.cut, pairs._store
+    monkeypatch.setattr(retrieval_queries, "cut", lambda df: written.extend(df.columns) or cut(df))
+    monkeypatch.setattr(pairs, "_store", lambda df, by: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, by))
+    found = retrieval_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert written and "u" not in written
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "FileScan" in plans[0]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
