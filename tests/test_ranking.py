@@ -158,7 +158,7 @@ def test_few_pairs_are_scored_exactly(monkeypatch, mode):
 
 
 #: Rankings whose disk is watched.
-STORED = ["recommend_comfort", "recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery", "recommend_no_dedup"]
+STORED = ["recommend_comfort", "recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery", "recommend_no_dedup", "recommend_purist"]
 
 
 @pytest.mark.parametrize("name", STORED)
