@@ -540,11 +540,12 @@ def link(
     meet = pairs.join(refs, "rid").join(keys.select("kid", "key"), "kid").select("kid", "key", "mbid", "name", "weight")
     joined = cut(sorted_by_key(meet).mapInPandas(verify, "kid long, mbid string, best double"))
 
-    # mentions near no known name: each band's heaviest is a possible centre for the others in the band
+    # mentions near no known name are possible centres for all that share a band with them: lighter ones of their kind, and mentions that known names would take
     free = keys.filter(~F.col("key").startswith("#")).join(joined.select("kid"), "kid", "left_anti").select("kid", "key", "n")
     free_placed = placed.withColumnRenamed("id", "kid").join(free.select("kid", "n"), "kid")
-    heads = free_placed.groupBy("bucket").agg(F.max(F.struct("n", "kid")).alias("head"), F.count(F.lit(1)).alias("size")).select("bucket", "head")
-    near = placed.join(heads, "bucket").select(F.col("id").alias("kid"), F.col("head.kid").alias("centre")).filter("kid <> centre").distinct()
+    taken = placed.withColumnRenamed("id", "kid").join(joined.filter("mbid is not null").select("kid", F.lit(None).cast("double").alias("n")), "kid")
+    near = taken.unionByName(free_placed).join(free_placed.select("bucket", F.col("kid").alias("centre"), F.col("n").alias("c")), "bucket")
+    near = near.filter(F.col("n").isNull() | (F.struct("c", "centre") > F.struct(F.col("n").alias("c"), F.col("kid").alias("centre")))).select("kid", "centre").distinct()
     met = near.join(keys.select("kid", "key"), "kid").join(free.select(F.col("kid").alias("centre"), F.col("key").alias("other")), "centre").select("kid", "key", "centre", "other")
     edges = cut(sorted_by_key(met).mapInPandas(verify_mentions, "member long, centre long, s double"))
     weight = free.select("kid", "n")

@@ -115,3 +115,15 @@ def test_edits():
     pairs = [("abc", "abc"), ("abc", "acb"), ("abc", "abx"), ("abcd", "axyd"), ("a", "abcd"), ("", "ab"), ("ab", "")]
     assert names.edits([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [0, 1, 1, 2, 3, 2, 2]
     assert names.edits([], []).tolist() == []
+
+
+def test_every_mention_of_a_band_can_be_a_centre(spark, monkeypatch):
+    """Not only a band's heaviest, which may be like none of the others."""
+    monkeypatch.setattr(names, "bands_for", lambda similarity, recall: (2, 1))
+    hashing = names.MinHash(2, 1)
+    known, star, member, heavy = "Alvareth Nimodor", "Alvorotha Nimodor", "Alvoroth Nimodor", "Alvorotha Nimodor Pell"
+    at = dict(zip((known, star, member, heavy), hashing.keys([names.words_of(x) for x in (known, star, member, heavy)]).tolist()))
+    assert at[known][1] == at[member][1] and at[star][0] == at[member][0] == at[heavy][0] and at[star][1] != at[member][1]
+    t = spark.createDataFrame([(heavy, 99.0), (star, 9.0), (member, 1.0), ("Alvareth Nimodorr", 1.0), ("Alvorota Nimodor", 1.0)], "text string, n double")
+    k = spark.createDataFrame([("m1", known, 1.0)], "mbid string, name string, weight double")
+    assert rows(names.link(t, k, spark.createDataFrame([], "nick string, given_name string"))) == [("Alvareth Nimodorr", "m1")]
