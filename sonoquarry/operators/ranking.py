@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from . import pairs
 
 #: Seeds that are compared with a block at a time, pairs that are scored exactly at a time.
 STEP, EXACT = 128, 1 << 14
+#: Columns that are scored at a time: a processor's cache holds the scores, and 255 words of flags add up without overflow.
+TILE = 2040
 #: Stands for no recording and no anime.
 NONE = np.iinfo(np.int64).min
 
@@ -89,7 +92,8 @@ class Shared:
         if not n.sum():
             return np.zeros(0, np.int64)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.unique(np.repeat((self.left.row[a:b] - s) * self.width, n) + self.row[np.repeat(low, n) + within])
+        found = np.sort(np.repeat((self.left.row[a:b] - s) * self.width, n) + self.row[np.repeat(low, n) + within])
+        return found[np.append(True, found[1:] != found[:-1])]
 
 
 def among(x: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -99,6 +103,19 @@ def among(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[np.minimum(np.searchsorted(places, x), len(places) - 1)] == x
 
 
+def places(flags: np.ndarray) -> "tuple[np.ndarray, np.ndarray]":
+    """Rows and columns where a contiguous matrix of few true values is true, row by row: looked for in words of eight."""
+    flat = flags.reshape(-1)
+    n = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:n].view(np.uint64))
+    at, within = np.nonzero(flat[:n].reshape(-1, 8)[words])
+    return np.divmod(np.append(words[at] * 8 + within, n + np.flatnonzero(flat[n:])), flags.shape[1])
+
+
+def tiles(low: int, high: int) -> "list[tuple[int, int]]":
+    return [(x, min(x + TILE, high)) for x in range(low, high, TILE)]
+
+
 class Rows:
     """Rows of a table as arrays. Seeds lie by genres and year; candidates by recording: first those of recordings with one row in
     the block, then the others (first row of each, second row, ...), then the rows of recordings that are spread over blocks."""
@@ -178,15 +195,26 @@ def jaccards(a: Rows, b: Rows) -> np.ndarray:
 
 
 class Cell:
-    """A line of seeds against a block of candidates."""
+    """A line of seeds against a block of candidates. Without ``weights`` they aren't worked out where no score needs them."""
 
-    def __init__(self, a: Rows, c: Rows, cfg: Config, scale: float, exclude_same: bool):
+    def __init__(self, a: Rows, c: Rows, cfg: Config, scale: float, exclude_same: bool, weights: bool = True):
         self.a, self.c, self.cfg, self.scale, self.exclude_same = a, c, cfg, scale, exclude_same
         self.jaccard = jaccards(a, c)
         self.partners, self.same, self.self_ = Shared(a.artists, c.artists, c.n), Shared(a.anime, c.anime, c.n), Shared(a.own, c.own, c.n)
         #: Metadata's share of the final score, by which signals are multiplied.
         self.unit = scale * cfg.alpha_blend / (cfg.w_max if cfg.w_max > 0 else 1)
+        self.weights = weights or bool(self.unit)
         self.room, self.flags = np.empty(STEP * c.n, np.float32), np.empty(STEP * c.n, bool)  # used by slice after slice
+        self.eras: dict[float, np.ndarray] = {}
+
+    def era(self, year: float) -> np.ndarray:
+        """What nearness of years adds to the scores of a seed of ``year``."""
+        if year not in self.eras:
+            if len(self.eras) >= 128:
+                self.eras.clear()
+            with np.errstate(invalid="ignore"):
+                self.eras[year] = (np.abs(self.c.year - year) <= self.cfg.era_window_years) * np.float32(self.unit * self.cfg.w_era)
+        return self.eras[year]
 
     def slices(self) -> Iterator["Slice"]:
         for i, s in enumerate(range(0, self.a.n, STEP)):
@@ -204,38 +232,54 @@ class Slice:
 
     def __init__(self, cell: Cell, i: int, s: int, e: int):
         self.cell, self.i, self.s, self.e, self.width = cell, i, s, e, cell.c.n
-        self.partner, self.same = cell.partners.of(s, e), cell.same.of(s, e)
         itself = cell.self_.of(s, e)
         self.off = np.union1d(itself, self.same) if cell.exclude_same else itself
 
+    @cached_property
+    def partner(self) -> np.ndarray:
+        return self.cell.partners.of(self.s, self.e)
+
+    @cached_property
+    def same(self) -> np.ndarray:
+        return self.cell.same.of(self.s, self.e)
+
+    @cached_property
+    def _alike(self) -> "tuple[np.ndarray, np.ndarray, np.ndarray]":
+        """First rows of the runs of seeds with the same genres and year, their ends, and what genres add to the scores by the candidate's genre set."""
+        cell = self.cell
+        k, y = cell.a.kind[self.s:self.e], cell.a.year[self.s:self.e]
+        new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | ~((y[1:] == y[:-1]) | np.isnan(y[1:]) & np.isnan(y[:-1]))))
+        return new, np.append(new[1:], len(k)), (cell.unit * cell.cfg.alpha_genre * cell.jaccard[k[new]]).astype(np.float32)
+
+    @cached_property
+    def _added(self) -> "list[tuple[np.ndarray, np.ndarray, np.float32]]":
+        """Rows and columns, by column, of the pairs whose scores something is added to, and what."""
+        cell, out = self.cell, []
+        more = [(self.partner, cell.unit * cell.cfg.w_artist), (self.same, cell.unit * cell.cfg.w_anime)] if cell.unit else []
+        for where, x in [*more, (self.off, -np.inf)]:
+            r, c = np.divmod(where, self.width)
+            order = np.argsort(c, kind="stable")
+            out.append((r[order], c[order], np.float32(x)))
+        return out
+
     def near(self, low: int = 0, high: int | None = None) -> np.ndarray:
-        """Scores of all pairs (of the columns from ``low`` to ``high``) within ``margin``; -inf where not allowed. They hold until the next slice's."""
+        """Scores of all pairs (of the columns from ``low`` to ``high``) within ``margin``; -inf where not allowed. They hold until the next call."""
         cell, a, c = self.cell, self.cell.a, self.cell.c
         high = c.n if high is None else high
         out = cell.room[:(self.e - self.s) * (high - low)].reshape(self.e - self.s, high - low)
         np.matmul(a.u32[self.s:self.e], c.u32[low:high].T, out=out)
         if cell.unit:
-            cfg, kind, year = cell.cfg, c.kind[low:high], c.year[low:high]
-            k, y = a.kind[self.s:self.e], a.year[self.s:self.e]
-            new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | ~((y[1:] == y[:-1]) | np.isnan(y[1:]) & np.isnan(y[:-1]))))
-            table = (cell.unit * cfg.alpha_genre * cell.jaccard[k[new]]).astype(np.float32)
-            for t, p, q in zip(table, new, np.append(new[1:], len(k))):
-                bias = t[kind]
-                if not np.isnan(y[p]):
-                    bias += (np.abs(year - y[p]) <= cfg.era_window_years) * np.float32(cell.unit * cfg.w_era)
+            kind, bias = c.kind[low:high], np.empty(high - low, np.float32)
+            for p, q, t in zip(*self._alike):
+                np.take(t, kind, out=bias, mode="clip")
+                if not np.isnan(a.year[self.s + p]):
+                    bias += cell.era(a.year[self.s + p])[low:high]
                 out[p:q] += bias
-            self._add(out, self.partner, cell.unit * cfg.w_artist, low, high)
-            self._add(out, self.same, cell.unit * cfg.w_anime, low, high)
-        self._add(out, self.off, -np.inf, low, high)
+        for r, col, x in self._added:
+            i, j = np.searchsorted(col, (low, high))
+            out[r[i:j], col[i:j] - low] += x
         return out
 
-    def _add(self, out: np.ndarray, places: np.ndarray, x: float, low: int, high: int) -> None:
-        r, c = np.divmod(places, self.width)
-        if low or high < self.width:
-            inside = (c >= low) & (c < high)
-            r, c = r[inside], c[inside]
-        out[r, c - low] += np.float32(x)
-
     def approximate(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The same for single pairs."""
         x = np.empty(len(r), np.float64)
@@ -244,12 +288,19 @@ class Slice:
             x[p] = np.einsum("ij,ij->i", self.cell.a.u32[self.s + r[p]], self.cell.c.u32[c[p]])
         return x + self.cell.unit * self.signals(r, c)[0] if self.cell.unit else x
 
-    def signals(self, r: np.ndarray, c: np.ndarray) -> "tuple[np.ndarray, np.ndarray, np.ndarray]":
-        """Sum of the weighted signals, Jaccard similarity and whether the years are near."""
-        cell, cfg, place = self.cell, self.cell.cfg, r * self.width + c
-        jaccard = cell.jaccard[cell.a.kind[self.s + r], cell.c.kind[c]]
+    def alike(self, r: np.ndarray, c: np.ndarray) -> "tuple[np.ndarray, np.ndarray]":
+        """Jaccard similarity and whether the years are near."""
+        cell = self.cell
         with np.errstate(invalid="ignore"):
-            era = np.abs(cell.a.year[self.s + r] - cell.c.year[c]) <= cfg.era_window_years
+            era = np.abs(cell.a.year[self.s + r] - cell.c.year[c]) <= cell.cfg.era_window_years
+        return cell.jaccard[cell.a.kind[self.s + r], cell.c.kind[c]], era
+
+    def signals(self, r: np.ndarray, c: np.ndarray) -> "tuple[np.ndarray, np.ndarray, np.ndarray]":
+        """Sum of the weighted signals (0 if nothing needs it), Jaccard similarity and whether the years are near."""
+        cfg, place = self.cell.cfg, r * self.width + c
+        jaccard, era = self.alike(r, c)
+        if not self.cell.weights:
+            return np.zeros(len(r)), jaccard, era
         return cfg.w_anime * among(place, self.same) + cfg.w_artist * among(place, self.partner) + cfg.w_era * era + cfg.alpha_genre * jaccard, jaccard, era
 
     def exact(self, r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
@@ -317,19 +368,43 @@ class First:
         f = take(f | {"place": place}, place < self.k)
         return f if last else join([f, hot | {"place": np.full(len(hot["row"]), -1)}])
 
-    def offer(self, s: Slice, near: np.ndarray) -> None:
-        least = self.least[s.s:s.e]
+    def search(self, s: Slice) -> None:
+        """Take in a slice's candidates, some columns at a time if all of its seeds have enough so far."""
+        if self.few(s):
+            self.offer(s, s.near())
+            return
+        limit, found = self.limit(s)[:, None], []
+        for low, high in tiles(0, s.width):
+            near = s.near(low, high)
+            r, c = places(np.greater_equal(near, limit, out=s.cell.flags[:near.size].reshape(near.shape)))
+            found.append((r, c + low))
+        self.add(s, found)
+
+    def few(self, s: Slice) -> bool:
+        """Whether some seeds of the slice have fewer than ``k`` candidates so far."""
+        return bool(np.isneginf(self.least[s.s:s.e]).any())
+
+    def limit(self, s: Slice) -> np.ndarray:
+        """The score from which a candidate may be among the first, of the seeds that have enough so far."""
         with np.errstate(over="ignore"):
-            limit = (least - self.margin).astype(np.float32)
+            limit = (self.least[s.s:s.e] - self.margin).astype(np.float32)
         limit[np.isneginf(limit)] = np.inf
-        r, c = np.divmod(np.flatnonzero(np.greater_equal(near, limit[:, None], out=s.cell.flags[:near.size].reshape(near.shape))), s.width)
+        return limit
+
+    def add(self, s: Slice, found: "list[tuple[np.ndarray, np.ndarray]]") -> None:
+        """Take in candidates, given as rows and columns."""
+        r, c = (np.concatenate(x) for x in zip(*found))
         if len(r):
             self._keep(s, s.exact(r, c))
+
+    def offer(self, s: Slice, near: np.ndarray) -> None:
+        least = self.least[s.s:s.e]
+        self.add(s, [places(np.greater_equal(near, self.limit(s)[:, None], out=s.cell.flags[:near.size].reshape(near.shape)))])
         todo, want = np.flatnonzero(np.isneginf(least)), 2 * self.k + 16
         while len(todo):  # too few so far: the best of the block, more of them where recordings and caps leave too few
-            few = near[todo]
+            few = near[todo] if len(todo) < len(near) else near
             floor = np.partition(few, s.width - want, axis=1)[:, s.width - want] if want < s.width else np.full(len(todo), -np.inf, np.float32)
-            r, c = np.nonzero((few >= floor[:, None]) & (few > -np.inf))
+            r, c = places(few >= np.maximum(floor, np.finfo(np.float32).min)[:, None])
             if len(r):
                 self._keep(s, s.exact(todo[r], c))
             done = (self.least[s.s + todo] >= floor.astype(np.float64) + 2 * self.margin) | np.isneginf(floor)

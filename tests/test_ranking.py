@@ -173,3 +173,32 @@ def test_blocks_are_stored_without_another_copy(spark, monkeypatch, name):
     assert written and "u" not in written
     assert len(plans) == 1 and "Exchange" not in plans[0] and "FileScan" in plans[0]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+#: Queries made of ``seed_table`` of which the scores' way through the cache is watched.
+TILED = ["bootstrap_ci_large"]
+
+
+@pytest.mark.parametrize("name", TILED)
+def test_scores_are_made_and_judged_some_columns_at_a_time(monkeypatch, name):
+    """Only a line's first block is scored whole, and one comparison finds the few candidates before early first hits."""
+    widths, near, mode = [], ranking.Slice.near, EVALUATED[name][-1]
+    monkeypatch.setattr(ranking.Slice, "near", lambda s, low=0, high=None: widths.append(((s.width if high is None else high) - low, s.width)) or near(s, low, high))
+    monkeypatch.setattr(ranking, "TILE", 40, raising=False)
+    t, scale = table(n=400), scores.mode_scale(mode)
+    got = line_of(t, 4, scale, True).set_index("seed").sort_index()
+    wanted = seed_rows(t, scale, True, 10)
+    assert np.abs(got[wanted.columns].fillna(0).astype(float) - wanted).max().max() < 1e-9
+    slices = -(-400 // ranking.STEP)
+    assert sum(w == whole for w, whole in widths) == slices < len(widths)
+
+
+def test_large_intervals_draw_once_a_seed(spark):
+    """Weights are of a seed, whatever the number of its metrics."""
+    values = spark.createDataFrame([(m, s, float(s % 7)) for m in ("a", "b", "c") for s in range(60)], "name string, seed long, value double")
+    plan = evaluate.intervals_large(values, resamples=50)._jdf.queryExecution().executedPlan().toString()
+    got = {r.name: (r.ci_low, r.ci_high) for r in evaluate.intervals_large(values, resamples=50).collect()}
+    weights = np.stack([np.random.default_rng([evaluate.SEED, s]).poisson(1.0, 50) for s in range(60)])
+    low, high = np.percentile((weights * (np.arange(60) % 7)[:, None]).sum(0) / weights.sum(0), [2.5, 97.5])
+    assert set(got) == {"a", "b", "c"} and all(abs(x - low) < 1e-9 and abs(y - high) < 1e-9 for x, y in got.values())
+    assert "hashpartitioning(seed" in plan
