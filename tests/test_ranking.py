@@ -176,7 +176,7 @@ def test_blocks_are_stored_without_another_copy(spark, monkeypatch, name):
 
 
 #: Queries made of ``seed_table`` of which the scores' way through the cache is watched.
-TILED = ["bootstrap_ci_large", "lift_table", "paired_delta"]
+TILED = ["bootstrap_ci_large", "lift_table", "paired_delta", "recall_at_k"]
 
 
 @pytest.mark.parametrize("name", TILED)
