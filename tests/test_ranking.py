@@ -176,7 +176,7 @@ def test_blocks_are_stored_without_another_copy(spark, monkeypatch, name):
 
 
 #: Queries made of ``seed_table`` of which the scores' way through the cache is watched.
-TILED = ["bootstrap_ci_large", "lift_table", "paired_delta", "recall_at_k", "sweep_vectors", "bootstrap_bounds", "controls", "median_ranks", "random_mrr", "related_first_hit", "variant_sweep", "bootstrap_ci", "eval_seed_table", "mrr"]
+TILED = ["bootstrap_ci_large", "lift_table", "paired_delta", "recall_at_k", "sweep_vectors", "bootstrap_bounds", "controls", "median_ranks", "random_mrr", "related_first_hit", "variant_sweep", "bootstrap_ci", "eval_seed_table", "mrr", "random_recall"]
 
 
 @pytest.mark.parametrize("name", TILED)
