@@ -21,6 +21,8 @@ from . import pairs
 STEP, EXACT = 128, 1 << 14
 #: Columns that are scored at a time: a processor's cache holds the scores, and 255 words of flags add up without overflow.
 TILE = 2040
+#: Pairs that metadata could lift to a limit are looked up one by one where they are at most one in so many.
+FEW = 32
 #: Stands for no recording and no anime.
 NONE = np.iinfo(np.int64).min
 
@@ -118,7 +120,7 @@ def tiles(low: int, high: int) -> "list[tuple[int, int]]":
 
 class Rows:
     """Rows of a table as arrays. Seeds lie by genres and year; candidates by recording: first those of recordings with one row in
-    the block, then the others (first row of each, second row, ...), then the rows of recordings that are spread over blocks."""
+    the block (by genres), then the others (first row of each, second row, ...), then the rows of recordings that are spread over blocks."""
 
     def __init__(self, table: pa.Table, seeds: bool, carry: bool = False):
         theme, audio = _keys(table, "theme_id"), _keys(table, "audio_id")
@@ -135,7 +137,7 @@ class Rows:
         if seeds:
             order = np.lexsort((theme, year, kind))
         else:
-            order = self._by_recording(theme, audio, hot)
+            order = self._by_recording(theme, audio, hot, kind)
         new = np.empty(n, np.int64)
         new[order] = np.arange(n)
         self.n, self.theme, self.audio, self.hot, self.year, self.kind = n, theme[order], audio[order], hot[order], year[order], kind[order]
@@ -150,7 +152,7 @@ class Rows:
         if carry:
             self.mbids, self.near = Keys.of(*_lists(table, "mbids")).at(new), Keys.of(*_lists(table, "near_mbids")).at(new)
 
-    def _by_recording(self, theme: np.ndarray, audio: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    def _by_recording(self, theme: np.ndarray, audio: np.ndarray, hot: np.ndarray, kind: np.ndarray) -> np.ndarray:
         cold = np.flatnonzero(~hot)
         _, code, sizes = np.unique(audio[cold], return_inverse=True, return_counts=True)
         size = sizes[code]
@@ -158,6 +160,7 @@ class Rows:
         slot = self._slots(code[order])
         single = size[order] == 1
         alone, shared = order[single], order[~single]
+        alone = alone[np.argsort(kind[cold[alone]], kind="stable")]
         slot = slot[~single]
         by_slot = np.argsort(slot, kind="stable")  # of each slot: recordings by falling number of rows
         counts = np.bincount(slot) if len(slot) else np.zeros(0, np.int64)
@@ -206,6 +209,7 @@ class Cell:
         self.weights = weights or bool(self.unit)
         self.room, self.flags = np.empty(STEP * c.n, np.float32), np.empty(STEP * c.n, bool)  # used by slice after slice
         self.eras: dict[float, np.ndarray] = {}
+        self.closests: dict[tuple[int, int], np.ndarray] = {}
 
     def era(self, year: float) -> np.ndarray:
         """What nearness of years adds to the scores of a seed of ``year``."""
@@ -216,6 +220,12 @@ class Cell:
                 self.eras[year] = (np.abs(self.c.year - year) <= self.cfg.era_window_years) * np.float32(self.unit * self.cfg.w_era)
         return self.eras[year]
 
+    def closest(self, low: int, high: int) -> np.ndarray:
+        """The largest similarity of each of the seeds' genre sets to one of the columns from ``low`` to ``high``."""
+        if (low, high) not in self.closests:
+            self.closests[low, high] = self.jaccard[:, np.unique(self.c.kind[low:high])].max(axis=1, initial=0)
+        return self.closests[low, high]
+
     def slices(self) -> Iterator["Slice"]:
         for i, s in enumerate(range(0, self.a.n, STEP)):
             yield Slice(self, i, s, min(s + STEP, self.a.n))
@@ -244,13 +254,25 @@ class Slice:
         return self.cell.same.of(self.s, self.e)
 
     @cached_property
-    def _alike(self) -> "tuple[np.ndarray, np.ndarray, np.ndarray]":
-        """First rows of the runs of seeds with the same genres and year, their ends, and what genres add to the scores by the candidate's genre set."""
-        cell = self.cell
-        k, y = cell.a.kind[self.s:self.e], cell.a.year[self.s:self.e]
-        new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | ~((y[1:] == y[:-1]) | np.isnan(y[1:]) & np.isnan(y[:-1]))))
+    def _kinds(self) -> "tuple[np.ndarray, np.ndarray, np.ndarray]":
+        """First rows of the runs of seeds with the same genres, their ends, and what genres add to the scores by the candidate's genre set."""
+        cell, k = self.cell, self.cell.a.kind[self.s:self.e]
+        new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         return new, np.append(new[1:], len(k)), (cell.unit * cell.cfg.alpha_genre * cell.jaccard[k[new]]).astype(np.float32)
 
+    @cached_property
+    def _years(self) -> "list[tuple[int, int, float]]":
+        """First rows, ends and years of the runs of seeds with the same known year."""
+        y = self.cell.a.year[self.s:self.e]
+        new = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+        return [(p, q, y[p]) for p, q in zip(new, np.append(new[1:], len(y))) if not np.isnan(y[p])]
+
+    def spare(self, low: int, high: int) -> np.ndarray:
+        """What genres and nearness of years add to a seed's scores at most, of the columns from ``low`` to ``high``."""
+        cell = self.cell
+        genres = cell.unit * cell.cfg.alpha_genre * cell.closest(low, high)[cell.a.kind[self.s:self.e]]
+        return np.maximum(genres, 0) + max(cell.unit * cell.cfg.w_era, 0) * ~np.isnan(cell.a.year[self.s:self.e])
+
     @cached_property
     def _added(self) -> "list[tuple[np.ndarray, np.ndarray, np.float32]]":
         """Rows and columns, by column, of the pairs whose scores something is added to, and what."""
@@ -262,24 +284,55 @@ class Slice:
             out.append((r[order], c[order], np.float32(x)))
         return out
 
-    def near(self, low: int = 0, high: int | None = None) -> np.ndarray:
-        """Scores of all pairs (of the columns from ``low`` to ``high``) within ``margin``; -inf where not allowed. They hold until the next call."""
+    def bare(self, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Scores without what genres and nearness of years add, of all pairs (of the columns from ``low`` to ``high``) within ``margin``; -inf where not allowed. They hold until the next call."""
         cell, a, c = self.cell, self.cell.a, self.cell.c
         high = c.n if high is None else high
         out = cell.room[:(self.e - self.s) * (high - low)].reshape(self.e - self.s, high - low)
         np.matmul(a.u32[self.s:self.e], c.u32[low:high].T, out=out)
-        if cell.unit:
-            kind, bias = c.kind[low:high], np.empty(high - low, np.float32)
-            for p, q, t in zip(*self._alike):
-                np.take(t, kind, out=bias, mode="clip")
-                if not np.isnan(a.year[self.s + p]):
-                    bias += cell.era(a.year[self.s + p])[low:high]
-                out[p:q] += bias
         for r, col, x in self._added:
             i, j = np.searchsorted(col, (low, high))
             out[r[i:j], col[i:j] - low] += x
         return out
 
+    def dress(self, out: np.ndarray, low: int, high: int) -> None:
+        """Add what genres and nearness of years do to the scores of ``bare``."""
+        cell, kind = self.cell, self.cell.c.kind[low:high]
+        bias = np.empty(high - low, np.float32)
+        for p, q, t in zip(*self._kinds):
+            np.take(t, kind, out=bias, mode="clip")
+            out[p:q] += bias
+        for p, q, year in self._years:
+            out[p:q] += cell.era(year)[low:high]
+
+    def near(self, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Whole scores of all pairs (of the columns from ``low`` to ``high``) within ``margin``; -inf where not allowed. They hold until the next call."""
+        out = self.bare(low, high)
+        if self.cell.unit:
+            self.dress(out, low, low + out.shape[1])
+        return out
+
+    def reaching(self, low: int, high: int, limit: np.ndarray) -> "tuple[np.ndarray, np.ndarray]":
+        """Rows and columns of the pairs (of the columns from ``low`` to ``high``) whose scores are ``limit`` of the row at least, within ``margin``.
+
+        Genres and years are looked up for the few pairs that they could lift to the limit; for all pairs where these are many."""
+        out, unit = self.bare(low, high), self.cell.unit
+        flags = self.cell.flags[:out.size].reshape(out.shape)
+        if not unit:
+            r, c = places(np.greater_equal(out, limit[:, None], out=flags))
+            return r, low + c
+        np.greater_equal(out, (limit - self.spare(low, high) - 1e-6).astype(np.float32)[:, None], out=flags)
+        if np.count_nonzero(flags) * FEW > flags.size:
+            self.dress(out, low, high)
+            r, c = places(np.greater_equal(out, limit[:, None], out=flags))
+            return r, low + c
+        r, c = places(flags)
+        x = out[r, c]
+        c = low + c
+        jaccard, era = self.alike(r, c)
+        lifted = x + unit * (self.cell.cfg.alpha_genre * jaccard + self.cell.cfg.w_era * era) >= limit[r]
+        return r[lifted], c[lifted]
+
     def approximate(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         """The same for single pairs."""
         x = np.empty(len(r), np.float64)
@@ -373,12 +426,8 @@ class First:
         if self.few(s):
             self.offer(s, s.near())
             return
-        limit, found = self.limit(s)[:, None], []
-        for low, high in tiles(0, s.width):
-            near = s.near(low, high)
-            r, c = places(np.greater_equal(near, limit, out=s.cell.flags[:near.size].reshape(near.shape)))
-            found.append((r, c + low))
-        self.add(s, found)
+        limit = self.limit(s)
+        self.add(s, [s.reaching(low, high, limit) for low, high in tiles(0, s.width)])
 
     def few(self, s: Slice) -> bool:
         """Whether some seeds of the slice have fewer than ``k`` candidates so far."""

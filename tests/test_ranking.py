@@ -202,3 +202,36 @@ def test_large_intervals_draw_once_a_seed(spark):
     low, high = np.percentile((weights * (np.arange(60) % 7)[:, None]).sum(0) / weights.sum(0), [2.5, 97.5])
     assert set(got) == {"a", "b", "c"} and all(abs(x - low) < 1e-9 and abs(y - high) < 1e-9 for x, y in got.values())
     assert "hashpartitioning(seed" in plan
+
+
+#: Rankings whose way past the metadata is watched.
+LOOKED_UP = ["recommend_exclude_same"]
+
+
+@pytest.mark.parametrize("name", LOOKED_UP)
+def test_metadata_is_looked_up_for_few_pairs(monkeypatch, name):
+    """Whole scores of all pairs are made of a line's first block only; after it, of the pairs that metadata could lift to a seed's limit."""
+    kw = {"mode": "discovery", "exclude_same_anime": False, "dedup_audio": True, "max_per_anime": None} | RECOMMENDED[name]
+    n, dims, blocks, k = 1200, 32, 4, 5
+    u = np.random.default_rng(3).normal(size=(n, dims))
+    t = table(n=n, dims=dims, names=40)
+    t = t.set_column(t.column_names.index("u"), "u", pa.array(list(u / np.linalg.norm(u, axis=1)[:, None])))
+    scale = scores.mode_scale(kw["mode"])
+    d = dense(t, scale, kw["exclude_same_anime"])
+    if kw["dedup_audio"]:
+        d = d[d.groupby(["seed", "audio"]).cumcount() == 0]
+    if kw["max_per_anime"]:
+        d = d[d.groupby(["seed", "mal"]).cumcount() < kw["max_per_anime"]]
+    wanted = d[d.groupby("seed").cumcount() < k].groupby("seed")["theme_id"].apply(list).to_dict()
+    monkeypatch.setattr(ranking, "TILE", 96)
+    whole, near = [], ranking.Slice.near
+    monkeypatch.setattr(ranking.Slice, "near", lambda s, low=0, high=None: whole.append((s.e - s.s) * ((s.width if high is None else high) - low)) or near(s, low, high))
+    a = ranking.Rows(t, seeds=True)
+    first = ranking.First(a.n, k, kw["dedup_audio"], kw["max_per_anime"], ranking.margin(dims, CFG, scale))
+    block = t["audio_id"].to_numpy() % blocks
+    for b in range(blocks):
+        for s in ranking.Cell(a, ranking.Rows(t.filter(pa.array(block == b)), seeds=False), CFG, scale, kw["exclude_same_anime"]).slices():
+            first.search(s)
+    got = pd.concat([pd.DataFrame({"seed": a.theme[f["row"]], "theme_id": f["theme"], "place": f["place"]}) for f in first.results()]).sort_values(["seed", "place"])
+    assert got.groupby("seed")["theme_id"].apply(list).to_dict() == wanted
+    assert sum(whole) == n * (block == 0).sum()
