@@ -83,20 +83,22 @@ def fit(df: DataFrame, vector: str, components: int, alpha: float = 1.0, eps: fl
     return Whitening(True, k, float(squares[:k].sum() / total) if total > 0 else 0.0, mean, basis[:, :k] / scale)
 
 
-def apply(df: DataFrame, vector: str, fitted: Whitening, ident: str = "theme_id", into: str = "whitened") -> DataFrame:
-    """``df`` with the projected vectors in ``into``, projected once and written to the shared folder; refused where a vector collapses to zero."""
+def apply(df: DataFrame, vector: str, fitted: Whitening, ident: str = "theme_id", into: str = "whitened", keep: bool = True) -> DataFrame:
+    """``df`` with the projected vectors in ``into`` (without those they are made of unless ``keep``), projected once and written to the shared folder; refused where a vector collapses to zero."""
     if not fitted.enabled:
-        return df.withColumn(into, F.transform(F.col(vector), lambda x: x.cast("double")))
+        out = df.withColumn(into, F.transform(F.col(vector), lambda x: x.cast("double")))
+        return out if keep else out.drop(vector)
     mean, projection = fitted.mean, fitted.projection
     kept = df.drop(into)
     at = kept.columns.index(vector)
-    schema = StructType([*kept.schema.fields, StructField(into, ArrayType(DoubleType()))])
+    stays = [i for i in range(len(kept.columns)) if keep or i != at]
+    schema = StructType([*[kept.schema.fields[i] for i in stays], StructField(into, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = (_rows(b.column(at)) - mean) @ projection if len(b) else np.zeros((0, projection.shape[1]))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * projection.shape[1], pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in stays], values], names=[*[b.schema.names[i] for i in stays], into])
 
     made = cut(kept.mapInArrow(run, schema))
     bad = [r[0] for r in made.filter(~(vectors.norm(F.col(into)) > 1e-9)).select(ident).orderBy(ident).limit(10).collect()]

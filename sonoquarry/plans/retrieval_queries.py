@@ -156,8 +156,8 @@ def recommend_one_seed(spark, sf):
 
 def recommend_whitened(spark, sf):
     d = _whole(spark, sf)
-    w = whitening.apply(d, "embedding", whitening.fit(d, "embedding", CFG.whiten_components, CFG.whiten_alpha, 0.0))
-    return _recommend(recommend.recommend(recommend.prepare(w, "whitened").drop("embedding", "whitened"), CFG))
+    w = whitening.apply(d, "embedding", whitening.fit(d, "embedding", CFG.whiten_components, CFG.whiten_alpha, 0.0), keep=False)
+    return _recommend(recommend.recommend(recommend.prepare(w, "whitened").drop("whitened"), CFG))
 
 
 # --- catalogue -------------------------------------------------------------------------------------------

@@ -205,7 +205,7 @@ def test_large_intervals_draw_once_a_seed(spark):
 
 
 #: Rankings whose way past the metadata is watched.
-LOOKED_UP = ["recommend_exclude_same"]
+LOOKED_UP = ["recommend_exclude_same", "recommend_whitened"]
 
 
 @pytest.mark.parametrize("name", LOOKED_UP)
@@ -235,3 +235,14 @@ def test_metadata_is_looked_up_for_few_pairs(monkeypatch, name):
     got = pd.concat([pd.DataFrame({"seed": a.theme[f["row"]], "theme_id": f["theme"], "place": f["place"]}) for f in first.results()]).sort_values(["seed", "place"])
     assert got.groupby("seed")["theme_id"].apply(list).to_dict() == wanted
     assert sum(whole) == n * (block == 0).sum()
+
+
+def test_whitened_vectors_are_stored_without_those_they_are_made_of(spark, monkeypatch):
+    """The disk of ``recommend_whitened`` besides its blocks: vectors once as they came, once whitened."""
+    from sonoquarry.operators import whitening
+    from sonoquarry.plans import retrieval_queries
+
+    written, cut = [], whitening.cut
+    monkeypatch.setattr(whitening, "cut", lambda df: written.append(df.columns) or cut(df))
+    retrieval_queries.recommend_whitened(spark, "/root/testdata/sf0.001")
+    assert len(written) == 1 and "whitened" in written[0] and "embedding" not in written[0]
