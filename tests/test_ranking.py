@@ -205,7 +205,7 @@ def test_large_intervals_draw_once_a_seed(spark):
 
 
 #: Rankings whose way past the metadata is watched.
-LOOKED_UP = ["recommend_exclude_same", "recommend_whitened"]
+LOOKED_UP = ["recommend_exclude_same", "recommend_whitened", "recommend_cap5"]
 
 
 @pytest.mark.parametrize("name", LOOKED_UP)
