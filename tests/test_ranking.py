@@ -205,7 +205,7 @@ def test_large_intervals_draw_once_a_seed(spark):
 
 
 #: Rankings whose way past the metadata is watched.
-LOOKED_UP = ["recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery"]
+LOOKED_UP = ["recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery", "recommend_no_dedup"]
 
 
 @pytest.mark.parametrize("name", LOOKED_UP)
