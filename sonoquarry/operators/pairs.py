@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -161,27 +161,40 @@ def _load(folder: str, n: int) -> pa.Table | None:
     return out if out is not None and len(out) else None
 
 
-def lines(rows: DataFrame, seeds: DataFrame | None, each: Callable[[pa.Table, Callable[[], Iterator[pa.Table]]], Iterator[pd.DataFrame]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Apply ``each(asking, blocks)`` to every line of seeds; ``blocks()`` reads the candidates' blocks one by one. ``seeds``: the rows that ask (all
-    if None); ``carry``: further columns that both sides need."""
-    spark = rows.sparkSession
-    both = [*COLUMNS, *carry]
+@dataclass
+class Stored:
+    """Candidates in blocks, which several rankings may read."""
+
+    spark: SparkSession
+    folder: str
+    blocks: int
+
+
+def stored(rows: DataFrame, carry: tuple[str, ...] = ()) -> Stored:
+    """Write the candidates' blocks; ``carry``: further columns that a ranking needs."""
     columns = column_blocks(rows)
     spread = hot(rows, columns)
     own = F.pmod(F.when(spread, F.xxhash64("theme_id")).otherwise(F.xxhash64("audio_id")), F.lit(columns)).cast("int")
-    stored = _store(_few(rows.select(*both, spread.alias("hot"), own.alias("_block")), columns), "_block")
+    return Stored(rows.sparkSession, _store(_few(rows.select(*COLUMNS, *carry, spread.alias("hot"), own.alias("_block")), columns), "_block"), columns)
+
+
+def lines(rows: DataFrame | Stored, seeds: DataFrame | None, each: Callable[[pa.Table, Callable[[], Iterator[pa.Table]]], Iterator[pd.DataFrame]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``each(asking, blocks)`` to every line of seeds; ``blocks()`` reads the candidates' blocks one by one. ``seeds``: the rows that ask (all
+    if None); ``carry``: further columns that both sides need."""
+    held = rows if isinstance(rows, Stored) else stored(rows, carry)
+    spark, folder, columns = held.spark, held.folder, held.blocks
     wanted = 2 * spark.sparkContext.defaultParallelism
     if seeds is None:
-        asked, n, parts = stored, columns, max(1, math.ceil(CANDIDATES / SEEDS), -(-wanted // columns))
+        asked, n, parts = folder, columns, max(1, math.ceil(CANDIDATES / SEEDS), -(-wanted // columns))
     else:
         n_asking = seeds.count()
         n, parts = max(1, math.ceil(n_asking / SEEDS), min(n_asking, wanted)), 1
         line = F.pmod(F.xxhash64("theme_id"), F.lit(n)).cast("int")
-        asked = _store(_few(seeds.select(*both, line.alias("_block")), n), "_block")
+        asked = _store(_few(seeds.select(*COLUMNS, *carry, line.alias("_block")), n), "_block")
 
     def blocks() -> Iterator[pa.Table]:
         for b in range(columns):
-            if (t := _load(stored, b)) is not None:
+            if (t := _load(folder, b)) is not None:
                 yield t
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

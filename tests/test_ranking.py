@@ -205,7 +205,7 @@ def test_large_intervals_draw_once_a_seed(spark):
 
 
 #: Rankings whose way past the metadata is watched.
-LOOKED_UP = ["recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery", "recommend_no_dedup"]
+LOOKED_UP = ["recommend_exclude_same", "recommend_whitened", "recommend_cap5", "recommend_discovery", "recommend_no_dedup", "recommend_purist"]
 
 
 @pytest.mark.parametrize("name", LOOKED_UP)
@@ -246,3 +246,39 @@ def test_whitened_vectors_are_stored_without_those_they_are_made_of(spark, monke
     monkeypatch.setattr(whitening, "cut", lambda df: written.append(df.columns) or cut(df))
     retrieval_queries.recommend_whitened(spark, "/root/testdata/sf0.001")
     assert len(written) == 1 and "whitened" in written[0] and "embedding" not in written[0]
+
+
+#: Queries made of ``seed_table`` of which the counts of many candidates are watched.
+COUNTED = ["paired_delta"]
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counted_scores_are_listed_only_where_some_are_too_near_to_tell(monkeypatch, name):
+    """Where many stand before a seed's limits they are counted twice, below and above the margin; and genres are taken once a genre set, not once a seed."""
+    mode, n = EVALUATED[name][-1], 400
+    t, scale = table(n=n, dims=32), scores.mode_scale(mode)
+    u = np.random.default_rng(4).normal(size=(n, 32))
+    t = t.set_column(t.column_names.index("u"), "u", pa.array(list(u / np.linalg.norm(u, axis=1)[:, None])))
+    monkeypatch.setattr(evaluate, "MANY", 1 << 40)
+    monkeypatch.setattr(ranking, "TILE", 40)
+    listed, places, taken, take = [], ranking.places, [], np.take
+    monkeypatch.setattr(ranking, "places", lambda flags: listed.append(flags.size) or places(flags))
+    monkeypatch.setattr(np, "take", lambda *x, **kw: taken.append(1) or take(*x, **kw))
+    slices, near = [], ranking.Slice.near
+    monkeypatch.setattr(ranking.Slice, "near", lambda s, low=0, high=None: slices.append(len(np.unique(s.cell.a.kind[s.s:s.e]))) or near(s, low, high))
+    got = line_of(t, 4, scale, True).set_index("seed").sort_index()
+    wanted = seed_rows(t, scale, True, 10)
+    assert np.abs(got[wanted.columns].fillna(0).astype(float) - wanted).max().max() < 1e-9
+    assert len(taken) == (sum(slices) if scale else 0)
+    assert sum(listed) < 1.95 * n * n
+
+
+@pytest.mark.parametrize("name", ["paired_delta"])
+def test_modes_read_the_same_blocks(spark, monkeypatch, name):
+    """The catalogue is prepared and stored once, whatever the number of modes."""
+    from sonoquarry.plans import retrieval_queries
+
+    stored, store = [], pairs._store
+    monkeypatch.setattr(pairs, "_store", lambda df, by: stored.append(by) or store(df, by))
+    retrieval_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(stored) == 1 < len(EVALUATED[name])
