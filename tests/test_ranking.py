@@ -249,7 +249,7 @@ def test_whitened_vectors_are_stored_without_those_they_are_made_of(spark, monke
 
 
 #: Queries made of ``seed_table`` of which the counts of many candidates are watched.
-COUNTED = ["paired_delta"]
+COUNTED = ["paired_delta", "variant_sweep"]
 
 
 @pytest.mark.parametrize("name", COUNTED)
@@ -273,7 +273,7 @@ def test_counted_scores_are_listed_only_where_some_are_too_near_to_tell(monkeypa
     assert sum(listed) < 1.95 * n * n
 
 
-@pytest.mark.parametrize("name", ["paired_delta"])
+@pytest.mark.parametrize("name", ["paired_delta", "variant_sweep"])
 def test_modes_read_the_same_blocks(spark, monkeypatch, name):
     """The catalogue is prepared and stored once, whatever the number of modes."""
     from sonoquarry.plans import retrieval_queries
