@@ -249,7 +249,7 @@ def test_whitened_vectors_are_stored_without_those_they_are_made_of(spark, monke
 
 
 #: Queries made of ``seed_table`` of which the counts of many candidates are watched.
-COUNTED = ["paired_delta", "variant_sweep", "lift_table", "recall_at_k"]
+COUNTED = ["paired_delta", "variant_sweep", "lift_table", "recall_at_k", "sweep_vectors"]
 
 
 @pytest.mark.parametrize("name", COUNTED)
