@@ -249,7 +249,7 @@ def test_whitened_vectors_are_stored_without_those_they_are_made_of(spark, monke
 
 
 #: Queries made of ``seed_table`` of which the counts of many candidates are watched.
-COUNTED = ["paired_delta", "variant_sweep", "lift_table", "recall_at_k", "sweep_vectors", "bootstrap_bounds", "controls", "median_ranks", "random_mrr", "related_first_hit", "bootstrap_ci", "eval_seed_table", "mrr"]
+COUNTED = ["paired_delta", "variant_sweep", "lift_table", "recall_at_k", "sweep_vectors", "bootstrap_bounds", "controls", "median_ranks", "random_mrr", "related_first_hit", "bootstrap_ci", "eval_seed_table", "mrr", "random_recall"]
 
 
 @pytest.mark.parametrize("name", COUNTED)
