@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, write
 
 SEEDS, CANDIDATES = 16384, 16384
 #: Rows of one recording beyond which it is spread over the column blocks; so at most two a block on average.
@@ -136,7 +136,7 @@ def _store(df: DataFrame, by: str) -> str:
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/blocks-{uuid.uuid4().hex}")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.partitionBy(by).parquet(place.toString())
+    write(df, place.toString(), by)
     fs.deleteOnExit(place)
     return fs.makeQualified(place).toString()
 

@@ -109,9 +109,13 @@ def places(flags: np.ndarray) -> "tuple[np.ndarray, np.ndarray]":
     """Rows and columns where a contiguous matrix of few true values is true, row by row: looked for in words of eight."""
     flat = flags.reshape(-1)
     n = len(flat) // 8 * 8
-    words = np.flatnonzero(flat[:n].view(np.uint64))
-    at, within = np.nonzero(flat[:n].reshape(-1, 8)[words])
-    return np.divmod(np.append(words[at] * 8 + within, n + np.flatnonzero(flat[n:])), flags.shape[1])
+    words = np.flatnonzero(flat[:n].view(np.uint64) != 0)
+    at = np.flatnonzero(flat[:n].reshape(-1, 8)[words])
+    at = words[at >> 3] * 8 + (at & 7)
+    if n < len(flat):
+        at = np.append(at, n + np.flatnonzero(flat[n:]))
+    row = at // flags.shape[1]
+    return row, at - row * flags.shape[1]
 
 
 def tiles(low: int, high: int) -> "list[tuple[int, int]]":

@@ -7,6 +7,7 @@ import pytest
 
 from sonoquarry.functions import scores
 from sonoquarry.operators import evaluate, pairs, ranking, recommend
+from sonoquarry.session import cut
 
 from .test_retrieval import CFG, corpus
 
@@ -282,3 +283,19 @@ def test_modes_read_the_same_blocks(spark, monkeypatch, name):
     monkeypatch.setattr(pairs, "_store", lambda df, by: stored.append(by) or store(df, by))
     retrieval_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(stored) == 1 < len(EVALUATED[name])
+
+
+@pytest.mark.parametrize("name", [
+    "recommend_cap5",
+])
+def test_shuffle_files_go_with_the_write(spark, name):
+    """What was shuffled for the candidates doesn't lie on disk beside their blocks and the ranking."""
+    def shuffled():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.length())}
+
+    before = shuffled()
+    rows = cut(spark.range(20_000).selectExpr("id as theme_id", "id % 7 as mal_id", "id % 900 as audio_id").groupBy("theme_id", "mal_id", "audio_id").count())
+    rows = rows.selectExpr("*", "array(mal_id) as artist_ids", "array('a') as genres", "2000 as start_year", "array(1D, 0D) as u").repartition(3)
+    pairs._store(rows.withColumn("_block", rows["theme_id"] % 2), "_block")
+    assert not {x for x in shuffled() - before if x.startswith("shuffle_")}
