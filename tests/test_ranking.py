@@ -289,6 +289,7 @@ def test_modes_read_the_same_blocks(spark, monkeypatch, name):
     "recommend_cap5",
     "recommend_discovery",
     "recommend_no_dedup",
+    "recommend_purist",
 ])
 def test_shuffle_files_go_with_the_write(spark, name):
     """What was shuffled for the candidates doesn't lie on disk beside their blocks and the ranking."""
